@@ -53,8 +53,14 @@ def join_small_side(
     on,
     how: str = "inner",
     max_bytes: int = DEFAULT_BROADCAST_BYTES,
+    size: int | None = None,
 ) -> DataFrame:
-    """Join ``big`` with ``small``; broadcast ``small`` only if measured under ``max_bytes``."""
-    _, size = estimated_bytes(small)
+    """Join ``big`` with ``small``; broadcast ``small`` only if measured under ``max_bytes``.
+
+    Past the bound the join is planned by Spark (sort-merge or shuffle hash).
+    ``size`` may pass a measurement the caller already made.
+    """
+    if size is None:
+        _, size = estimated_bytes(small)
     right = F.broadcast(small) if size <= max_bytes else small
     return big.join(right, on, how)

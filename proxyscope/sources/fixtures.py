@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proxyscope.plans.joins import join_small_side
+from proxyscope.plans.joins import estimated_bytes, join_small_side
 
 # The user-agent strings of the generated traffic, chosen by
 # user_id % 9, in this order.
@@ -68,10 +68,10 @@ def _user_agent(u: Column) -> Column:
     return expr
 
 
-def fixture_lines(events: DataFrame, pages: DataFrame, n_pages: int | None = None) -> DataFrame:
+def fixture_lines(events: DataFrame, pages: DataFrame) -> DataFrame:
     """One log line per event, as a single string column ``value``."""
-    if n_pages is None:
-        n_pages = pages.count()
+    page_urls = pages.select("page_id", F.col("url").alias("page_url"))
+    n_pages, size = estimated_bytes(page_urls)  # one job: row count and size of the join side
     if n_pages <= 0:
         raise ValueError("pages is empty: no URL to put into the log lines")
     ev = events.select(
@@ -82,7 +82,7 @@ def fixture_lines(events: DataFrame, pages: DataFrame, n_pages: int | None = Non
         "value",
         (F.col("event_id") % F.lit(n_pages)).alias("page_id"),
     )
-    joined = join_small_side(ev, pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    joined = join_small_side(ev, page_urls, "page_id", size=size)
 
     id_, u, kind = F.col("id"), F.col("u"), F.col("kind")
     ip = F.concat(F.lit("10.0."), (u % 4).cast("string"), F.lit("."), (u % 250).cast("string"))
