@@ -5,10 +5,9 @@ higher-order array functions), so the split runs inside generated code. It is
 a DataFrame transformation made of small projection stages: every
 intermediate value (the text after the scheme, the authority, the raw host...)
 is computed once into a named column and referenced by later stages, instead
-of being re-derived inside every branch; Catalyst does not merge a stage into
-the next when that would duplicate a non-trivial expression. The stages are
-written as SQL text, one ``selectExpr`` each, which keeps plan construction
-on the driver cheap. The costly steps, dot-segment removal, percent-encoding
+of being re-derived inside every branch. The stages are written as SQL text
+in one ``selectExpr`` whose later expressions refer to earlier aliases
+(lateral column aliases), which keeps plan construction on the driver cheap. The costly steps, dot-segment removal, percent-encoding
 and IPv4 number forms, are guarded by a cheap ``rlike`` test and only run for
 URLs that need them.
 
@@ -311,12 +310,14 @@ def with_url_parts(df: DataFrame, url_col: str, out_col: str = "url_parts", fast
     through the general stages (used by tests to check both paths agree).
     """
     keep = [f"`{c}`" for c in df.columns]
-    s = df.selectExpr("*", f"`{url_col}` AS __url0")
     stages = _FAST_STAGES if fast_path else [{"__url": "__url0"}]
+    # One projection list; later expressions refer to earlier aliases (lateral
+    # column aliases), which Spark resolves into the chain of projections.
+    exprs = [f"`{url_col}` AS __url0"]
     for stage in stages + _STAGES:
-        s = s.selectExpr("*", *[f"{expr} AS {name}" for name, expr in stage.items()])
+        exprs += [f"{expr} AS {name}" for name, expr in stage.items()]
     result = f"CASE WHEN __fast IS NOT NULL THEN {_FAST_RESULT} ELSE {_RESULT} END" if fast_path else _RESULT
-    return s.selectExpr(*keep, f"{result} AS `{out_col}`")
+    return df.selectExpr("*", *exprs).selectExpr(*keep, f"{result} AS `{out_col}`")
 
 
 def url_parts_of(df: DataFrame, url_col: str = "url", fast_path: bool = True) -> DataFrame:

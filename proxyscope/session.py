@@ -37,6 +37,10 @@ def get_spark(
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # The parsing projections compile to large generated methods; HotSpot
+        # does not JIT methods over 8000 bytes of bytecode, so past that size
+        # Spark should use per-operator code (split into small methods).
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
