@@ -64,8 +64,16 @@ def trim_to_null(c: Column) -> Column:
 
 
 def parse_log_ts(c: Column) -> Column:
-    """``15/Feb/2026:00:00:04 +0000`` to an instant; NULL when invalid (31 Feb, second 60)."""
-    return F.try_to_timestamp(c, F.lit(TIMESTAMP_FORMAT))
+    """``15/Feb/2026:00:00:04 +0000`` to an instant; NULL when invalid (31 Feb, second 60).
+
+    The offset may also be written ``+hh:mm`` or ``+hh mm``; it is brought to
+    ``+hhmm`` first (only when the third character from the end says so).
+    """
+    sep = F.substring(c, -3, 1)
+    norm = F.when(
+        sep.isin(":", " "), F.regexp_replace(c, r"([+-][0-9]{2})[: ]([0-9]{2})\z", "$1$2")
+    ).otherwise(c)
+    return F.try_to_timestamp(norm, F.lit(TIMESTAMP_FORMAT))
 
 
 def parse_status(c: Column) -> Column:

@@ -18,7 +18,11 @@ def read_lines(spark: SparkSession, path: str | list[str], with_file: bool = Fal
     """
     reader = spark.read.option("lineSep", "\n")
     df = reader.text(path)
-    value = F.regexp_replace(F.col("value"), r"\r\z", "").alias("value")
+    # Byte-level strip: a regex would re-encode the text and hide invalid UTF-8.
+    v = F.col("value")
+    value = F.when(
+        v.endswith("\r"), F.substr(v.cast("binary"), F.lit(1), F.octet_length(v) - 1).cast("string")
+    ).otherwise(v).alias("value")
     if with_file:
         return df.select(value, F.col("_metadata.file_path").alias("file"))
     return df.select(value)
