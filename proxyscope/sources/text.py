@@ -7,22 +7,27 @@ directory of logs is read by one parallel job instead of file by file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def without_cr(value: Column) -> Column:
+    """Drop one CR at the end of a line (the CR of a CRLF line end).
+
+    Byte-level: a regex would re-encode the text and hide invalid UTF-8.
+    """
+    return F.when(
+        value.endswith("\r"), F.substr(value.cast("binary"), F.lit(1), F.octet_length(value) - 1).cast("string")
+    ).otherwise(value)
+
+
 def read_lines(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
     """Lines of the text files at ``path`` (a file, directory or glob) as column ``value``.
 
     ``with_file=True`` adds ``file`` (the source file path) for per-file totals.
     """
-    reader = spark.read.option("lineSep", "\n")
-    df = reader.text(path)
-    # Byte-level strip: a regex would re-encode the text and hide invalid UTF-8.
-    v = F.col("value")
-    value = F.when(
-        v.endswith("\r"), F.substr(v.cast("binary"), F.lit(1), F.octet_length(v) - 1).cast("string")
-    ).otherwise(v).alias("value")
+    df = spark.read.option("lineSep", "\n").text(path)
+    value = without_cr(F.col("value")).alias("value")
     if with_file:
         return df.select(value, F.col("_metadata.file_path").alias("file"))
     return df.select(value)
