@@ -10,6 +10,7 @@ one row per hour of the requested range for a bounded one, 1000 statuses,
 from __future__ import annotations
 
 from collections.abc import Callable
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from proxyscope.operators import reports as R
 from proxyscope.operators import rollups as D
 from proxyscope.operators.filters import Bound
+from proxyscope.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -74,8 +76,21 @@ def report_document(name: str, report: DataFrame) -> DataFrame:
 
 
 def all_reports(requests: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
-    """The dashboard: every report document for one time range (``report``, ``doc``)."""
-    docs = [report_document(name, spec.fn(requests, start, end)) for name, spec in REPORTS.items()]
+    """The dashboard: every report document for one time range (``report``, ``doc``).
+
+    The table is read once: all reports come from one grouping-sets aggregate
+    (``operators.dashboard``), written once to a small table under the shared
+    checkpoint folder so the eleven documents read it instead of re-running
+    the scan (one row per key, not per request).
+    """
+    from proxyscope.operators.dashboard import dashboard_groups, dashboard_reports
+
+    spark = requests.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/proxyscope-dashboard-{uuid.uuid4().hex}"
+    dashboard_groups(requests, start, end).write.parquet(path)
+    groups = spark.read.parquet(path)
+    frames = dashboard_reports(groups, start is not None or end is not None)
+    docs = [report_document(name, frames[name]) for name in REPORTS]
     out = docs[0]
     for d in docs[1:]:
         out = out.unionByName(d)

@@ -179,3 +179,28 @@ def test_invariants(spark):
     for r in R.error_analysis(df, limit=None).collect():
         assert r.errors == r.server_errors + r.client_errors
     df.unpersist()
+
+
+@pytest.mark.parametrize("bounds", [(None, None), ("2024-01-03 00:00:00", "2024-01-05 12:00:00")])
+def test_dashboard_equals_single_reports(spark, bounds):
+    from proxyscope.operators.dashboard import dashboard_groups, dashboard_reports
+    from proxyscope.operators.export import REPORTS
+    from proxyscope.plans.registry import parsed_requests
+
+    df = parsed_requests(spark, "/root/testdata/sf0.001").cache()
+    frames = dashboard_reports(dashboard_groups(df, *bounds), bounds[0] is not None)
+    for name, spec in REPORTS.items():
+        single = spec.fn(df, *bounds)
+        assert frames[name].columns == single.columns, name
+        assert [tuple(r) for r in frames[name].collect()] == [tuple(r) for r in single.collect()], name
+    df.unpersist()
+
+
+def test_dashboard_reads_table_once(spark):
+    from proxyscope.operators.export import all_reports
+
+    df = all_reports(_requests(spark, [{"host": "a"}]))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan  # the documents read the grouped table only
+    assert "proxyscope-dashboard-" in plan
