@@ -1,7 +1,10 @@
 """Benchmark: import throughput and report latency at one scale factor.
 
 Setup (not timed): log lines are derived from ``events`` and ``pages`` at
-``$BENCH_SF_DIR`` and written as plain text files to a fresh scratch folder.
+``$BENCH_SF_DIR`` and written as plain text files to a fresh scratch folder,
+in time order like a real access log (no shuffle; ``events`` ids follow
+time). The import splits them into 4 MB ranges, so each task covers a few
+days, as it would with daily log files.
 
 Warm-up (timed separately, reported as ``import_first_run_sec`` and
 ``warmup``): two iterations of the same import into throwaway tables and every
@@ -12,6 +15,7 @@ runs, as in a long-running service. The measured numbers are steady state; at
 Timed:
 * ``import``: read the text files, parse every line, append the accepted rows
   to a date-partitioned Parquet table; totals observed in the same pass.
+  Median of three runs (all three are in ``import_runs_sec``).
 * every report (R1-R9, the roll-ups, bounded variants) over the stored table;
   the first pass over the full table is reported as ``cold``, the second as
   the result.
@@ -66,13 +70,13 @@ def main() -> None:
         f"local[{cpus}]",
         app="proxyscope-bench",
         shuffle_partitions=cpus,
-        extra={"spark.driver.memory": "16g", "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024)},
+        extra={"spark.driver.memory": "16g", "spark.sql.files.maxPartitionBytes": str(4 * 1024 * 1024)},
     )
     spark.sparkContext.setLogLevel("ERROR")
 
     scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     logs, table = f"{scratch}/logs", f"{scratch}/requests"
-    log_lines(spark, sf_dir).repartition(cpus).write.text(logs)
+    log_lines(spark, sf_dir).write.text(logs)
 
     t0 = time.perf_counter()
     warm_totals = import_logs(spark, f"{logs}/*.txt", f"{scratch}/warmup")
@@ -84,9 +88,13 @@ def main() -> None:
     warmup = {"import_sec": round(warm_import, 3), "lines": warm_totals["lines"],
               "total_sec": round(time.perf_counter() - t0, 3)}
 
-    t0 = time.perf_counter()
-    totals = import_logs(spark, f"{logs}/*.txt", table)
-    import_sec = time.perf_counter() - t0
+    # Three measured imports (the VM is noisy); the median is reported.
+    runs = []
+    for i in range(3):
+        t0 = time.perf_counter()
+        totals = import_logs(spark, f"{logs}/*.txt", table if i == 2 else f"{scratch}/measured{i}")
+        runs.append(round(time.perf_counter() - t0, 3))
+    import_sec = sorted(runs)[1]
 
     requests = load_requests(spark, table)
     cold, warm = {}, {}
@@ -109,6 +117,7 @@ def main() -> None:
         "lines": totals["lines"],
         "accepted": totals["accepted"],
         "import_lines_per_sec": round(totals["lines"] / import_sec, 1),
+        "import_runs_sec": runs,
         "import_first_run_sec": warmup["import_sec"],
         "cold": cold,
         "warmup": warmup,
