@@ -304,4 +304,36 @@ _REPORTS = {
 
 def oracle_queries() -> dict[str, str]:
     """name -> complete DuckDB statement."""
-    return {name: BASE + sql for name, sql in {**_PARSE_ONLY, **_REPORTS}.items()}
+    out = {name: BASE + sql for name, sql in {**_PARSE_ONLY, **_REPORTS}.items()}
+    out["report_document"] = BASE + report_documents()
+    return out
+
+
+# Report documents: each report as {key: [rows...]} JSON text, built by
+# DuckDB's JSON functions from the report SQL above.
+_DOCS = [
+    ("requests_over_time", "series", ["t", "n"], "t"),
+    ("top_hosts", "hosts", ["host", "n"], "n DESC, host ASC NULLS LAST"),
+    ("status_codes", "status", ["status", "n"], "n DESC, status ASC NULLS LAST"),
+    ("top_countries", "countries", ["country", "n"], "n DESC, country ASC NULLS LAST"),
+    ("bandwidth_over_time", "series", ["t", "mb"], "t"),
+    ("hourly_heatmap", "data", ["hour", "day", "n"], "hour, day"),
+    ("error_analysis", "hosts", ["host", "errors", "server_errors", "client_errors"],
+     "errors DESC, host ASC NULLS LAST"),
+    ("top_paths", "paths", ["path", "n", "avg_kb"], "n DESC, path ASC NULLS LAST"),
+    ("user_agents", "browsers", ["browser", "n"], "n DESC, browser ASC NULLS LAST"),
+    ("status_classes", "classes", ["class", "n"], "list_position(['2xx', '3xx', '4xx', '5xx', 'Other'], class)"),
+    ("weekday_totals", "days", ["day", "name", "n"], "day"),
+]
+
+
+def report_documents() -> str:
+    parts = []
+    for name, key, cols, order in _DOCS:
+        obj = "json_object(" + ", ".join(f"{_lit(c)}, {c}" for c in cols) + ")"
+        inner = _REPORTS[name]
+        parts.append(
+            f"SELECT {_lit(name)} AS report, CAST(json_object({_lit(key)}, "
+            f"(SELECT coalesce(to_json(list({obj} ORDER BY {order})), '[]'::JSON) FROM ({inner}) r)) AS VARCHAR) AS doc"
+        )
+    return " UNION ALL ".join(parts)

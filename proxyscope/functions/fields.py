@@ -54,8 +54,16 @@ def dash_to_null(c: Column) -> Column:
 
 
 def trim_unicode(c: Column) -> Column:
-    """Strip leading and trailing Unicode white space (``trim`` strips U+0020 only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Strip leading and trailing Unicode white space (``trim`` strips U+0020 only).
+
+    The regex only runs when the first or last character can be white space
+    (every Unicode white-space code point is <= U+0020 or >= U+0085).
+    """
+    def edge(ch: Column) -> Column:
+        code = F.ascii(ch)
+        return (code <= 32) | (code >= 133)
+
+    return F.when(edge(c) | edge(F.right(c, F.lit(1))), F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")).otherwise(c)
 
 
 def trim_to_null(c: Column) -> Column:
@@ -77,8 +85,9 @@ def parse_log_ts(c: Column) -> Column:
 
 
 def parse_status(c: Column) -> Column:
-    """Three-digit status to int; NULL for non-ASCII digits."""
-    return F.when(c.rlike(r"^[0-9]{3}\z"), c.try_cast("int"))
+    """Three-digit status to int; NULL for non-ASCII digits (the pattern's ``\\d``
+    accepts them, the integer cast does not)."""
+    return c.try_cast("int")
 
 
 def parse_bytes(c: Column) -> Column:
