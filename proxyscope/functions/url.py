@@ -33,6 +33,8 @@ not re-serialised) and Windows drive-letter quirks of ``file`` URLs.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -302,6 +304,34 @@ _FAST_RESULT = (
 )
 
 
+_NAME = re.compile(r"\b(__[A-Za-z0-9_]+)\b")
+
+
+def _general_path(stages: list[dict[str, str]]) -> tuple[list[str], dict[str, str]]:
+    """The general stages as one struct column per stage.
+
+    Stage ``i`` is ``CASE WHEN prev IS NULL THEN NULL ELSE named_struct(...)``
+    holding every value computed so far, so a URL that took the fast path
+    (input NULL) carries one NULL column through the stages instead of dozens
+    of NULL intermediates. Returns the projection list and, for the final
+    expressions, a map from each value name to its field reference.
+    """
+    exprs: list[str] = []
+    fields: dict[str, str] = {}
+    prev = "__url"
+    for i, stage in enumerate(stages):
+        def ref(m: re.Match) -> str:
+            return fields.get(m.group(1), m.group(1))
+
+        parts = [f"{q(n)}, {prev}.{n}" for n in fields]
+        parts += [f"{q(n)}, {_NAME.sub(ref, e)}" for n, e in stage.items()]
+        cur = f"__g{i}"
+        exprs.append(f"CASE WHEN {prev} IS NULL THEN NULL ELSE named_struct({', '.join(parts)}) END AS {cur}")
+        fields = {n: f"{cur}.{n}" for n in [*fields, *stage]}
+        prev = cur
+    return exprs, fields
+
+
 def with_url_parts(df: DataFrame, url_col: str, out_col: str = "url_parts", fast_path: bool = True) -> DataFrame:
     """Add ``out_col`` = struct<scheme, host, port, path, query> of ``url_col``.
 
@@ -310,14 +340,16 @@ def with_url_parts(df: DataFrame, url_col: str, out_col: str = "url_parts", fast
     through the general stages (used by tests to check both paths agree).
     """
     keep = [f"`{c}`" for c in df.columns]
-    stages = _FAST_STAGES if fast_path else [{"__url": "__url0"}]
+    pre = _FAST_STAGES if fast_path else [{"__url": "__url0"}]
     # One projection list; later expressions refer to earlier aliases (lateral
     # column aliases), which Spark resolves into the chain of projections.
     exprs = [f"`{url_col}` AS __url0"]
-    for stage in stages + _STAGES:
+    for stage in pre:
         exprs += [f"{expr} AS {name}" for name, expr in stage.items()]
-    result = f"CASE WHEN __fast IS NOT NULL THEN {_FAST_RESULT} ELSE {_RESULT} END" if fast_path else _RESULT
-    return df.selectExpr("*", *exprs).selectExpr(*keep, f"{result} AS `{out_col}`")
+    general, fields = _general_path(_STAGES)
+    slow = _NAME.sub(lambda m: fields.get(m.group(1), m.group(1)), _RESULT)
+    result = f"CASE WHEN __fast IS NOT NULL THEN {_FAST_RESULT} ELSE {slow} END" if fast_path else slow
+    return df.selectExpr("*", *exprs, *general).selectExpr(*keep, f"{result} AS `{out_col}`")
 
 
 def url_parts_of(df: DataFrame, url_col: str = "url", fast_path: bool = True) -> DataFrame:
