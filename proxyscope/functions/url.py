@@ -51,11 +51,23 @@ URL_PARTS_TYPE = T.StructType(
 # Special schemes and their default ports.
 DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
 
-# Character classes (Java regex) of the percent-encode sets.
-C0_SET = r"[\x00-\x1F]|[^\x00-\x7E]"
-PATH_SET = r"[\x00-\x20\"#<>?`{}]|[^\x00-\x7E]"
-QUERY_SET = r"[\x00-\x20\"#<>]|[^\x00-\x7E]"
-SPECIAL_QUERY_SET = r"[\x00-\x20\"#<>']|[^\x00-\x7E]"
+# The percent-encode sets. Each holds the C0 controls, DEL and
+# every non-ASCII code point, plus (with_space) U+0020 and the listed ASCII.
+ENCODE_SETS = {
+    "c0": (False, ""),
+    "path": (True, '"#<>?`{}'),
+    "query": (True, '"#<>'),
+    "special_query": (True, '"#<>\''),
+}
+
+
+def encode_set_class(name: str) -> str:
+    """Java regex class matching one code point of the named percent-encode set."""
+    with_space, extra = ENCODE_SETS[name]
+    listed = "".join("\\" + c if c in "\\[]^-" else c for c in extra)
+    return f"[\\x00-{'\\x20' if with_space else '\\x1F'}{listed}]|[^\\x00-\\x7E]"
+
+
 # Host code points that make parsing fail.
 FORBIDDEN_HOST = r"[\x00\t\n\r #/:<>?@\[\\\]^|]"
 FORBIDDEN_DOMAIN = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"
@@ -67,14 +79,30 @@ def q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def percent_encode_sql(col: str, char_class: str) -> str:
-    """SQL: UTF-8 percent-encode the characters of column ``col`` that are in ``char_class``."""
-    cls = q(char_class)
-    return (
-        f"CASE WHEN {col} RLIKE {cls} THEN array_join(transform(regexp_extract_all({col}, '(?s).', 0), "
-        f"ch -> CASE WHEN ch RLIKE {cls} THEN regexp_replace(hex(encode(ch, 'UTF-8')), '(..)', '%$1') "
-        f"ELSE ch END), '') ELSE {col} END"
-    )
+# Printable ASCII that ``url_encode`` (java.net.URLEncoder) escapes, apart
+# from "%" itself: it keeps only letters, digits and ".-*_".
+_URLENCODED_ASCII = [
+    chr(c) for c in range(0x21, 0x7F) if not (chr(c).isalnum() or chr(c) in ".-*_%")
+]
+
+
+def percent_encode_sql(col: str, set_name: str) -> str:
+    """SQL: UTF-8 percent-encode the code points of column ``col`` in the named encode set.
+
+    ``url_encode`` escapes every byte of every code point except letters,
+    digits and ``.-*_`` (space becomes ``+``), with upper-case hex as the URL
+    Standard writes it. The ASCII characters outside the set are then put
+    back, ``%25`` last so no restored ``%`` can start a new escape. Plain
+    string functions only, so the projection stays in generated code; it
+    runs only for values that hold a character of the set.
+    """
+    with_space, extra = ENCODE_SETS[set_name]
+    expr = f"replace(url_encode({col}), '+', {q('%20' if with_space else ' ')})"
+    for ch in _URLENCODED_ASCII:
+        if ch not in extra:
+            expr = f"replace({expr}, '%{ord(ch):02X}', {q(ch)})"
+    expr = f"replace({expr}, '%25', '%')"
+    return f"CASE WHEN {col} RLIKE {q(encode_set_class(set_name))} THEN {expr} ELSE {col} END"
 
 
 _SPECIAL = ", ".join(q(s) for s in DEFAULT_PORTS)
@@ -96,16 +124,21 @@ _RESOLVE = (
 _HEX_NUM = q(r"^0[xX][0-9A-Fa-f]*\z")
 _OCT_NUM = q(r"^0[0-7]+\z")
 _DEC_NUM = q(r"^(0|[1-9][0-9]{0,11})\z")
-_IPV4_PART = (
-    "p -> CASE "
-    f"WHEN p RLIKE {_HEX_NUM} THEN CASE "
-    "WHEN length(regexp_replace(substr(p, 3), '^0+', '')) = 0 THEN 0L "
-    "WHEN length(regexp_replace(substr(p, 3), '^0+', '')) <= 9 THEN CAST(conv(substr(p, 3), 16, 10) AS BIGINT) END "
-    f"WHEN p RLIKE {_OCT_NUM} THEN CASE "
-    "WHEN length(regexp_replace(substr(p, 2), '^0+', '')) = 0 THEN 0L "
-    "WHEN length(regexp_replace(substr(p, 2), '^0+', '')) <= 12 THEN CAST(conv(substr(p, 2), 8, 10) AS BIGINT) END "
-    f"WHEN p RLIKE {_DEC_NUM} THEN CAST(p AS BIGINT) END"
-)
+
+
+def ipv4_number_sql(p: str) -> str:
+    """SQL: the value of one IPv4 part ``p``, or NULL when it is not a number."""
+    return (
+        "CASE "
+        f"WHEN {p} RLIKE {_HEX_NUM} THEN CASE "
+        f"WHEN length(regexp_replace(substr({p}, 3), '^0+', '')) = 0 THEN 0L "
+        f"WHEN length(regexp_replace(substr({p}, 3), '^0+', '')) <= 9 THEN CAST(conv(substr({p}, 3), 16, 10) AS BIGINT) END "
+        f"WHEN {p} RLIKE {_OCT_NUM} THEN CASE "
+        f"WHEN length(regexp_replace(substr({p}, 2), '^0+', '')) = 0 THEN 0L "
+        f"WHEN length(regexp_replace(substr({p}, 2), '^0+', '')) <= 12 THEN CAST(conv(substr({p}, 2), 8, 10) AS BIGINT) END "
+        f"WHEN {p} RLIKE {_DEC_NUM} THEN CAST({p} AS BIGINT) END"
+    )
+
 
 _RX = {
     "trim": q(r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]"),
@@ -191,22 +224,35 @@ _STAGES: list[dict[str, str]] = [
     {
         "__port": "CASE WHEN __port_digits <> '' AND length(__port_digits) <= 5 THEN CAST(__port_digits AS INT) END",
         "__dom_ok": f"__dom <> '' AND NOT __dom RLIKE {q(FORBIDDEN_DOMAIN)}",
+        # An IPv4 address has at most four parts, so they are taken one by one
+        # (no higher-order function, which would end the generated-code span).
         "__v4": (
             f"CASE WHEN regexp_extract(__dom, {_RX['last_label']}, 1) RLIKE {_RX['number_label']} "
-            f"THEN transform(split(regexp_replace(__dom, {_RX['final_dot']}, ''), {_RX['dot']}, -1), {_IPV4_PART}) END"
+            f"THEN split(regexp_replace(__dom, {_RX['final_dot']}, ''), {_RX['dot']}, -1) END"
         ),
     },
+    {
+        "__v4n": "size(__v4)",
+        **{f"__v4x{i}": ipv4_number_sql(f"try_element_at(__v4, {i})") for i in range(1, 5)},
+    },
     {
         "__v4_ok": (
-            "size(__v4) BETWEEN 1 AND 4 AND forall(__v4, x -> x IS NOT NULL) "
-            "AND forall(slice(__v4, 1, size(__v4) - 1), x -> x <= 255) "
-            "AND element_at(__v4, -1) < shiftleft(1L, 8 * (5 - size(__v4)))"
+            "__v4n BETWEEN 1 AND 4 "
+            + "".join(f"AND (__v4n < {i} OR __v4x{i} IS NOT NULL) " for i in range(1, 5))
+            + "".join(f"AND (__v4n <= {i} OR __v4x{i} <= 255) " for i in range(1, 4))
+            + "AND CASE __v4n " + " ".join(f"WHEN {i} THEN __v4x{i}" for i in range(1, 5))
+            + " END < shiftleft(1L, 8 * (5 - __v4n))"
         ),
     },
     {
         "__v4_num": (
-            "CASE WHEN __v4_ok THEN aggregate(sequence(1, size(__v4)), 0L, (acc, i) -> acc + "
-            "IF(i < size(__v4), element_at(__v4, i) * shiftleft(1L, 8 * (4 - i)), element_at(__v4, i))) END"
+            "CASE WHEN __v4_ok THEN CASE __v4n "
+            + " ".join(
+                f"WHEN {n} THEN "
+                + " + ".join([f"__v4x{i} * {1 << (8 * (4 - i))}" for i in range(1, n)] + [f"__v4x{n}"])
+                for n in range(1, 5)
+            )
+            + " END END"
         ),
     },
     {
@@ -245,15 +291,15 @@ _STAGES: list[dict[str, str]] = [
     {"__path3": f"CASE WHEN __segs IS NOT NULL THEN concat('/', array_join({_RESOLVE}, '/')) ELSE __path2 END"},
     {
         "__path": (
-            f"CASE WHEN __opaque THEN {percent_encode_sql('__path3', C0_SET)} "
-            f"ELSE {percent_encode_sql('__path3', PATH_SET)} END"
+            f"CASE WHEN __opaque THEN {percent_encode_sql('__path3', 'c0')} "
+            f"ELSE {percent_encode_sql('__path3', 'path')} END"
         ),
         "__query": (
-            f"CASE WHEN __kind IN ('special', 'file') THEN {percent_encode_sql('__query_raw', SPECIAL_QUERY_SET)} "
-            f"ELSE {percent_encode_sql('__query_raw', QUERY_SET)} END"
+            f"CASE WHEN __kind IN ('special', 'file') THEN {percent_encode_sql('__query_raw', 'special_query')} "
+            f"ELSE {percent_encode_sql('__query_raw', 'query')} END"
         ),
         "__host_enc": (
-            f"CASE WHEN __kind = 'other' AND NOT __ipv6 THEN {percent_encode_sql('__host_out', C0_SET)} "
+            f"CASE WHEN __kind = 'other' AND NOT __ipv6 THEN {percent_encode_sql('__host_out', 'c0')} "
             "ELSE __host_out END"
         ),
     },
@@ -279,6 +325,15 @@ FAST_URL = (
     r"((?:/(?:(?![.]|%2[eE])" + _PATH_SAFE + r"+)?)*)(\?" + _QUERY_SAFE + r"*)?(?:#.*)?\z"
 )
 _FAST_GROUPS = "\n".join(f"${i}" for i in range(1, 6))
+# Two more shapes are common in proxy logs and decided without the general
+# stages: text that cannot start with a scheme (origin-form targets such as
+# ``/login?x``, or ``10.0.0.1:443``) is not a URL, and a CONNECT target
+# ``host:port`` is a non-special scheme with an opaque path, here restricted
+# to printable ASCII that needs no percent-encoding.
+NO_SCHEME = r"^[^A-Za-z\x00-\x20]"
+# (printable ASCII except # / : ? \ and space)
+OPAQUE_FAST = r"^[A-Za-z][A-Za-z0-9+.\-]*:[\x21\x22\x24-\x2E\x30-\x39\x3B-\x3E\x40-\x5B\x5D-\x7E]*\z"
+_NOT_OPAQUE = ", ".join(q(s) for s in (*DEFAULT_PORTS, "file"))
 _FAST_STAGES: list[dict[str, str]] = [
     {
         "__fastv": (
@@ -288,7 +343,15 @@ _FAST_STAGES: list[dict[str, str]] = [
     },
     {"__fast": "CASE WHEN size(__fastv) = 5 THEN __fastv END"},
     {
-        "__url": "CASE WHEN __fast IS NULL THEN __url0 END",
+        "__shape": (
+            "CASE WHEN __fast IS NOT NULL THEN 'special' "
+            f"WHEN __url0 RLIKE {q(NO_SCHEME)} THEN 'none' "
+            f"WHEN __url0 RLIKE {q(OPAQUE_FAST)} "
+            f"AND lower(substring_index(__url0, ':', 1)) NOT IN ({_NOT_OPAQUE}) THEN 'opaque' END"
+        ),
+    },
+    {
+        "__url": "CASE WHEN __shape IS NULL THEN __url0 END",
         "__fast_port": "CAST(nullif(__fast[2], '') AS INT)",
         "__fast_scheme": "lower(__fast[0])",
     },
@@ -303,33 +366,32 @@ _FAST_RESULT = (
     "ELSE CAST(NULL AS struct<scheme:string, host:string, port:int, path:string, query:string>) END"
 )
 
+_NULL_PARTS = "CAST(NULL AS struct<scheme:string, host:string, port:int, path:string, query:string>)"
+_OPAQUE_RESULT = (
+    "named_struct('scheme', lower(substring_index(__url0, ':', 1)), 'host', CAST(NULL AS STRING), "
+    "'port', CAST(NULL AS INT), 'path', substr(__url0, instr(__url0, ':') + 1), 'query', CAST(NULL AS STRING))"
+)
+
 
 _NAME = re.compile(r"\b(__[A-Za-z0-9_]+)\b")
 
 
 def _general_path(stages: list[dict[str, str]]) -> tuple[list[str], dict[str, str]]:
-    """The general stages as one struct column per stage.
+    """The general stages as plain columns, each guarded by ``__url IS NULL``.
 
-    Stage ``i`` is ``CASE WHEN prev IS NULL THEN NULL ELSE named_struct(...)``
-    holding every value computed so far, so a URL that took the fast path
-    (input NULL) carries one NULL column through the stages instead of dozens
-    of NULL intermediates. Returns the projection list and, for the final
-    expressions, a map from each value name to its field reference.
+    A URL that took the fast path has ``__url`` NULL; every general value is
+    then a NULL check and nothing more, while all stages stay top-level
+    columns that Catalyst prunes once they are dead, so the chain fits in one
+    whole-stage-codegen span. Returns the projection list and the name map
+    used by the final expressions (identity here).
     """
     exprs: list[str] = []
-    fields: dict[str, str] = {}
-    prev = "__url"
-    for i, stage in enumerate(stages):
-        def ref(m: re.Match) -> str:
-            return fields.get(m.group(1), m.group(1))
-
-        parts = [f"{q(n)}, {prev}.{n}" for n in fields]
-        parts += [f"{q(n)}, {_NAME.sub(ref, e)}" for n, e in stage.items()]
-        cur = f"__g{i}"
-        exprs.append(f"CASE WHEN {prev} IS NULL THEN NULL ELSE named_struct({', '.join(parts)}) END AS {cur}")
-        fields = {n: f"{cur}.{n}" for n in [*fields, *stage]}
-        prev = cur
-    return exprs, fields
+    names: dict[str, str] = {}
+    for stage in stages:
+        for n, e in stage.items():
+            exprs.append(f"CASE WHEN __url IS NULL THEN NULL ELSE ({e}) END AS {n}")
+            names[n] = n
+    return exprs, names
 
 
 def with_url_parts(df: DataFrame, url_col: str, out_col: str = "url_parts", fast_path: bool = True) -> DataFrame:
@@ -348,7 +410,12 @@ def with_url_parts(df: DataFrame, url_col: str, out_col: str = "url_parts", fast
         exprs += [f"{expr} AS {name}" for name, expr in stage.items()]
     general, fields = _general_path(_STAGES)
     slow = _NAME.sub(lambda m: fields.get(m.group(1), m.group(1)), _RESULT)
-    result = f"CASE WHEN __fast IS NOT NULL THEN {_FAST_RESULT} ELSE {slow} END" if fast_path else slow
+    result = (
+        f"CASE __shape WHEN 'special' THEN {_FAST_RESULT} WHEN 'none' THEN {_NULL_PARTS} "
+        f"WHEN 'opaque' THEN {_OPAQUE_RESULT} ELSE {slow} END"
+        if fast_path
+        else slow
+    )
     return df.selectExpr("*", *exprs, *general).selectExpr(*keep, f"{result} AS `{out_col}`")
 
 

@@ -77,3 +77,33 @@ def test_fast_path_agrees_on_generated_urls(spark):
     fast = sorted(tuple(r) for r in url_parts_of(df, "url", fast_path=True).collect())
     slow = sorted(tuple(r) for r in url_parts_of(df, "url", fast_path=False).collect())
     assert fast == slow
+
+
+def test_fast_shapes_agree_with_general_path(spark):
+    # CONNECT targets, origin-form and other scheme-less text, opaque URLs.
+    urls = [
+        "www.example.org:443", "Mail.Example.ORG:465", "10.0.0.1:443", "[::1]:443", "/login?url=http://x",
+        "/", "*", "?x", "#y", "mailto:x@y", "foo:", 'a:"q"%41', "a:b#c", "a:b?c", "a:/x", "a:b:c",
+        "http:a.com", "HTTPS:host:1", "file:x", "ws:y", "ftp:z", "x+y.z-w:80", "a:\u00e9", "\x01a:b",
+        " a:b", "a:b\x7f", "1a:b", "-", "a:~!$&'()*+,;=@[]^_`{|}",
+    ]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    fast = [tuple(r) for r in url_parts_of(df, "url", fast_path=True).orderBy("url").collect()]
+    slow = [tuple(r) for r in url_parts_of(df, "url", fast_path=False).orderBy("url").collect()]
+    assert fast == slow
+
+
+def test_percent_encode_sets_match_python_quote(spark):
+    from urllib.parse import quote
+
+    from proxyscope.functions.url import ENCODE_SETS, percent_encode_sql
+
+    printable = "".join(chr(c) for c in range(0x20, 0x7F))
+    texts = [printable, "\x00\x01\x1f\x7f", "aéb中c\U0001F600", "%41%zz%", "plain", "", "a+b c"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for name, (with_space, extra) in ENCODE_SETS.items():
+        encoded = set(extra) | {chr(c) for c in range(0x20)} | {"\x7f"} | ({" "} if with_space else set())
+        safe = "".join(ch for ch in printable if ch not in encoded)
+        got = [r[0] for r in df.selectExpr(percent_encode_sql("s", name)).collect()]
+        want = [quote(t, safe=safe, encoding="utf-8") for t in texts]
+        assert got == want, name
