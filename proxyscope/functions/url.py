@@ -26,9 +26,9 @@ Semantics (the URL Standard, as implemented by common URL libraries):
 * Any failure (bad port, forbidden host character, empty host) makes all five
   parts NULL.
 
-Not built: IDNA (a non-ASCII host is only lowercased, not converted to
-punycode), IPv6 compression (a bracketed literal is checked and lowercased,
-not re-serialised) and Windows drive-letter quirks of ``file`` URLs.
+IPv6 hosts are validated and serialised in canonical form (``[0:0::1]`` gives
+``[::1]``). Not built: IDNA (a non-ASCII host is only lowercased, not
+converted to punycode) and Windows drive-letter quirks of ``file`` URLs.
 """
 
 from __future__ import annotations
@@ -71,6 +71,12 @@ def encode_set_class(name: str) -> str:
 # Host code points that make parsing fail.
 FORBIDDEN_HOST = r"[\x00\t\n\r #/:<>?@\[\\\]^|]"
 FORBIDDEN_DOMAIN = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"
+# IPv4 in dotted decimal (no leading zeros, 0-255 each), as an IPv6 tail.
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IPV4_DOTTED = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
+# IPv6 in hex pieces: eight, or at most seven around one "::".
+_PIECES = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+IPV6_PIECES = rf"^(?:[0-9a-f]{{1,4}}(?::[0-9a-f]{{1,4}}){{7}}|(?:{_PIECES})?::(?:{_PIECES})?)\z"
 HAS_DOT_SEGMENT = r"(?:^|/)(?:\.|%2[eE]){1,2}(?:/|\z)"
 
 
@@ -160,7 +166,6 @@ _RX = {
     "number_label": q(r"^([0-9]+|0[xX][0-9A-Fa-f]*)\z"),
     "final_dot": q(r"\.\z"),
     "dot": q(r"\."),
-    "ipv6": q(r"^\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\]\z"),
     "backslash": q("\\\\"),
     "no_lead_slash": q(r"^(?![/\\])"),
 }
@@ -255,9 +260,56 @@ _STAGES: list[dict[str, str]] = [
             + " END END"
         ),
     },
+    # IPv6 host: pieces checked, "::" expanded, an IPv4 tail turned into two
+    # pieces, then serialised: lower-case hex without leading zeros and the
+    # first longest run of two or more zero pieces written as "::".
+    {
+        "__v6in": (
+            "CASE WHEN __ipv6 AND endswith(__host_raw, ']') AND length(__host_raw) >= 2 "
+            "THEN lower(substr(__host_raw, 2, length(__host_raw) - 2)) END"
+        ),
+    },
+    {"__v6tail": "substring_index(__v6in, ':', -1)"},
+    {
+        "__v6q": (
+            "CASE WHEN NOT contains(__v6in, '.') THEN __v6in "
+            f"WHEN __v6tail RLIKE {q(IPV4_DOTTED)} THEN concat("
+            "substr(__v6in, 1, length(__v6in) - length(__v6tail)), "
+            "lower(hex(CAST(try_element_at(split(__v6tail, '[.]'), 1) AS INT) * 256 "
+            "+ CAST(try_element_at(split(__v6tail, '[.]'), 2) AS INT))), ':', "
+            "lower(hex(CAST(try_element_at(split(__v6tail, '[.]'), 3) AS INT) * 256 "
+            "+ CAST(try_element_at(split(__v6tail, '[.]'), 4) AS INT)))) END"
+        ),
+    },
+    {"__v6n": "size(regexp_extract_all(__v6q, '[0-9a-f]+', 0))"},
+    {
+        "__v6full": (
+            f"CASE WHEN __v6q RLIKE {q(IPV6_PIECES)} AND (NOT contains(__v6q, '::') OR __v6n <= 7) THEN "
+            "CASE WHEN contains(__v6q, '::') THEN concat_ws(':', nullif(substring_index(__v6q, '::', 1), ''), "
+            "array_join(array_repeat('0', 8 - __v6n), ':'), nullif(substring_index(__v6q, '::', -1), '')) "
+            "ELSE __v6q END END"
+        ),
+    },
+    {"__v6s": "concat(':', regexp_replace(__v6full, '(^|:)0+(?=[0-9a-f])', '$1'), ':')"},
+    {
+        "__v6run": (
+            "CASE "
+            + " ".join(f"WHEN instr(__v6s, {q(':0' * n + ':')}) > 0 THEN {q(':0' * n + ':')}" for n in range(8, 1, -1))
+            + " END"
+        ),
+    },
+    {
+        "__v6host": (
+            "CASE WHEN __v6s IS NULL THEN NULL WHEN __v6run IS NULL THEN "
+            "concat('[', substr(__v6s, 2, length(__v6s) - 2), ']') ELSE concat('[', "
+            "substr(__v6s, 2, greatest(instr(__v6s, __v6run) - 2, 0)), '::', "
+            "substr(__v6s, instr(__v6s, __v6run) + length(__v6run), "
+            "length(__v6s) - instr(__v6s, __v6run) - length(__v6run)), ']') END"
+        ),
+    },
     {
         "__host": (
-            f"CASE WHEN __ipv6 THEN CASE WHEN __host_raw RLIKE {_RX['ipv6']} THEN lower(__host_raw) END "
+            "CASE WHEN __ipv6 THEN __v6host "
             "WHEN __kind IN ('special', 'file') THEN CASE WHEN __dom_ok THEN "
             "CASE WHEN __v4 IS NULL THEN __dom WHEN __v4_num IS NOT NULL THEN concat_ws('.', "
             + ", ".join(f"CAST(shiftrightunsigned(__v4_num, {s}) & 255 AS STRING)" for s in (24, 16, 8, 0))

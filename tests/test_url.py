@@ -107,3 +107,121 @@ def test_percent_encode_sets_match_python_quote(spark):
         got = [r[0] for r in df.selectExpr(percent_encode_sql("s", name)).collect()]
         want = [quote(t, safe=safe, encoding="utf-8") for t in texts]
         assert got == want, name
+
+
+def _whatwg_ipv6(text: str):
+    """The URL Standard's IPv6 parser and serializer, step by step (reference for the test)."""
+    address, piece, compress, i, n = [0] * 8, 0, None, 0, len(text)
+    hexdigits = "0123456789abcdefABCDEF"
+    if text[:1] == ":":
+        if text[1:2] != ":":
+            return None
+        i, piece = 2, 1
+        compress = piece
+    while i < n:
+        if piece == 8:
+            return None
+        if text[i] == ":":
+            if compress is not None:
+                return None
+            i, piece = i + 1, piece + 1
+            compress = piece
+            continue
+        value = length = 0
+        while length < 4 and i < n and text[i] in hexdigits:
+            value, i, length = value * 16 + int(text[i], 16), i + 1, length + 1
+        if i < n and text[i] == ".":
+            if length == 0 or piece > 6:
+                return None
+            i -= length
+            seen = 0
+            while i < n:
+                v4 = None
+                if seen > 0:
+                    if text[i] == "." and seen < 4:
+                        i += 1
+                    else:
+                        return None
+                if i >= n or not text[i].isdigit() or not text[i].isascii():
+                    return None
+                while i < n and text[i].isascii() and text[i].isdigit():
+                    d = int(text[i])
+                    if v4 is None:
+                        v4 = d
+                    elif v4 == 0:
+                        return None
+                    else:
+                        v4 = v4 * 10 + d
+                    if v4 > 255:
+                        return None
+                    i += 1
+                address[piece] = address[piece] * 256 + v4
+                seen += 1
+                if seen in (2, 4):
+                    piece += 1
+            if seen != 4:
+                return None
+            break
+        elif i < n and text[i] == ":":
+            i += 1
+            if i >= n:
+                return None
+        elif i < n:
+            return None
+        address[piece] = value
+        piece += 1
+    if compress is not None:
+        swaps, piece = piece - compress, 7
+        while piece != 0 and swaps > 0:
+            address[piece], address[compress + swaps - 1] = address[compress + swaps - 1], address[piece]
+            piece, swaps = piece - 1, swaps - 1
+    elif piece != 8:
+        return None
+    best, best_len, k = None, 1, 0
+    while k < 8:
+        if address[k] == 0:
+            j = k
+            while j < 8 and address[j] == 0:
+                j += 1
+            if j - k > best_len:
+                best, best_len = k, j - k
+            k = j
+        else:
+            k += 1
+    out, k = "", 0
+    while k < 8:
+        if k == best:
+            out += "::" if k == 0 else ":"
+            k += best_len
+            continue
+        out += format(address[k], "x") + (":" if k < 7 else "")
+        k += 1
+    return "[" + out + "]"
+
+
+IPV6_CASES = [
+    "::1", "0:0:0:0:0:0:0:1", "2001:DB8::1", "::ffff:192.168.0.1", "1:0:0:2:0:0:0:3", "1:0:0:2:0:0:3:4",
+    "0001:0db8::", "::", "1:2:3:4:5:6:7::", "1:2:3:4::5:6:7:8", "1:2:3", "::1.2.3", "::01.2.3.4", "12345::",
+    "1::2::3", "::ffff:1.2.3.256", "1:2:3:4:5:6:1.2.3.4", "", ":1::", "1:::2", "::1:2:3:4:5:6:7",
+    "1:2:3:4:5:6:7:8", "0:0:1:0:0:0:0:0", "a:b:c:d:e:f:0:0", "::0.0.0.0", "1.2.3.4", "::1.2.3.4.5",
+]
+
+
+def test_ipv6_hosts_match_url_standard(spark):
+    import random
+
+    rnd = random.Random(7)
+    cases = list(IPV6_CASES)
+    for _ in range(300):
+        parts = [rnd.choice(["0", "00", "1", "ab", "FFFF", "0000", "10", "fe80"]) for _ in range(rnd.randint(1, 9))]
+        text = ":".join(parts)
+        if rnd.random() < 0.5:
+            k = rnd.randint(0, len(parts))
+            text = ":".join(parts[:k]) + "::" + ":".join(parts[k:])
+        if rnd.random() < 0.2:
+            text += ":" + ".".join(str(rnd.choice([0, 1, 9, 10, 255, 256])) for _ in range(4))
+        cases.append(text)
+    df = spark.createDataFrame([(f"http://[{c}]/",) for c in cases], "url string")
+    got = {r.url: r.host for r in url_parts_of(df, "url").collect()}
+    for c in cases:
+        assert got[f"http://[{c}]/"] == _whatwg_ipv6(c), c
