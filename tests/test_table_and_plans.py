@@ -77,3 +77,27 @@ def test_partial_aggregation_before_shuffle(spark):
 
     plan = _plan(QUERIES["top_paths"](spark, "/root/testdata/sf0.001"))
     assert plan.count("HashAggregate") >= 2 and "partial_count" in plan
+
+
+def test_import_plan_has_no_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    root = tempfile.mkdtemp(prefix="proxyscope-test-")
+    _write_logs(f"{root}/logs", {"a.log": (make_line() + "\n").encode() * 3})
+    out = (
+        parse_lines(read_lines(spark, f"{root}/logs/*.log"))
+        .withColumn("dt", F.to_date("ts"))
+        .sortWithinPartitions("dt", "host", "ts")
+    )
+    plan = _plan(out)
+    assert "Exchange" not in plan and "Sort [dt" in plan
+
+
+def test_url_split_keeps_generated_code(spark):
+    """Only the exact dot-segment removal (a higher-order function) may run outside whole-stage codegen."""
+    from proxyscope.functions.url import url_parts_of
+
+    df = spark.createDataFrame([("http://a.example/x?y",), ("www.example.org:443",), ("http://[::1]/a/../b",)], "url string")
+    lines = [line.lstrip(" :+-") for line in _plan(url_parts_of(df, "url")).splitlines()]
+    outside = [line for line in lines if line.startswith("Project")]
+    assert len(outside) <= 1, outside
