@@ -2,9 +2,15 @@
 
 * Partition key ``dt`` = UTC date of ``ts``; time-range reports prune whole
   days through it (see ``operators.filters``).
-* Rows are sorted by ``host`` then ``ts`` inside each task before writing, so
-  Parquet min/max statistics on ``host`` and ``ts`` let scans skip row
-  groups; this replaces the secondary indexes of a single-node database.
+* Rows are sorted by ``ts`` inside each task before writing (log files are
+  nearly in time order already, so the sort is cheap). Every report filters
+  on time, and time-ordered row groups let Parquet min/max statistics on
+  ``ts`` skip the parts of a day outside the range; with ``dt`` partitions
+  this replaces the timestamp index of a single-node database. (A host-major
+  order would spread every hour over all row groups of a day.)
+* Files are zstd-compressed: about a quarter smaller than Spark's default
+  snappy for this table, at the same write speed, which is what scans of a
+  large table are bound by.
 * Appends need no shuffle: every task writes its own files, at most one per
   day it holds, each capped by ``maxRecordsPerFile``. Log files are written
   in time order, so a task's split covers few days.
@@ -31,12 +37,13 @@ def append_requests(
     out = (
         requests.select(*REQUESTS_COLUMNS)
         .withColumn("dt", F.to_date(F.col("ts")))
-        .sortWithinPartitions("dt", "host", "ts")
+        .sortWithinPartitions("dt", "ts")
     )
     (
         out.write.mode("append")
         .partitionBy("dt")
         .option("maxRecordsPerFile", max_records_per_file)
+        .option("compression", "zstd")
         .parquet(path)
     )
 

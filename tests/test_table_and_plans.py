@@ -87,7 +87,7 @@ def test_import_plan_has_no_shuffle(spark):
     out = (
         parse_lines(read_lines(spark, f"{root}/logs/*.log"))
         .withColumn("dt", F.to_date("ts"))
-        .sortWithinPartitions("dt", "host", "ts")
+        .sortWithinPartitions("dt", "ts")
     )
     plan = _plan(out)
     assert "Exchange" not in plan and "Sort [dt" in plan
