@@ -19,7 +19,9 @@ Semantics (the URL Standard, as implemented by common URL libraries):
   lowercased, IPv4 number forms normalised, port checked to 0-65535 and NULL
   when it is the scheme's default, path at least ``/`` with ``\\`` as a
   separator and dot segments removed, query without the fragment.
-* ``file``: host NULL when empty or ``localhost``, special path rules.
+* ``file``: host NULL when empty or ``localhost``, special path rules,
+  Windows drive letters (``file://C|/x`` gives path ``/C:/x``; ``..`` stops
+  at a drive letter).
 * Other schemes: ``scheme:rest`` without ``/`` is an opaque path
   (``www.site.org:443`` gives path ``443``); ``scheme://h/p`` has an opaque
   host that keeps its case.
@@ -28,7 +30,7 @@ Semantics (the URL Standard, as implemented by common URL libraries):
 
 IPv6 hosts are validated and serialised in canonical form (``[0:0::1]`` gives
 ``[::1]``). Not built: IDNA (a non-ASCII host is only lowercased, not
-converted to punycode) and Windows drive-letter quirks of ``file`` URLs.
+converted to punycode).
 """
 
 from __future__ import annotations
@@ -116,13 +118,19 @@ _DEFAULT_PORT = "CASE __scheme " + " ".join(f"WHEN {q(s)} THEN {p}" for s, p in
 _EMPTY = "CAST(array() AS array<string>)"
 
 # Dot segments: "." and ".." (also written %2e) leave or pop a segment; a
-# final one leaves an empty segment, i.e. a trailing slash.
+# final one leaves an empty segment, i.e. a trailing slash. In file URLs ".."
+# does not pop a drive letter that is the only segment, and a drive letter
+# that starts the path is written with ":".
+_DRIVE_ONLY = "__kind = 'file' AND size(acc) = 1 AND try_element_at(acc, 1) RLIKE '^[A-Za-z]:\\\\z'"
 _RESOLVE = (
     f"aggregate(sequence(1, size(__segs)), {_EMPTY}, (acc, i) -> "
     "CASE WHEN lower(element_at(__segs, i)) IN ('..', '.%2e', '%2e.', '%2e%2e') "
-    f"THEN concat(slice(acc, 1, greatest(size(acc) - 1, 0)), IF(i = size(__segs), array(''), {_EMPTY})) "
+    f"THEN concat(IF({_DRIVE_ONLY}, acc, slice(acc, 1, greatest(size(acc) - 1, 0))), "
+    f"IF(i = size(__segs), array(''), {_EMPTY})) "
     "WHEN lower(element_at(__segs, i)) IN ('.', '%2e') "
     f"THEN concat(acc, IF(i = size(__segs), array(''), {_EMPTY})) "
+    "WHEN __kind = 'file' AND size(acc) = 0 AND element_at(__segs, i) RLIKE '^[A-Za-z][:|]\\\\z' "
+    "THEN array(concat(substr(element_at(__segs, i), 1, 1), ':')) "
     "ELSE concat(acc, array(element_at(__segs, i))) END)"
 )
 
@@ -167,6 +175,8 @@ _RX = {
     "final_dot": q(r"\.\z"),
     "dot": q(r"\."),
     "backslash": q("\\\\"),
+    "drive": q(r"^[A-Za-z][:|]\z"),
+    "drive_first": q(r"^/([A-Za-z])\|(?=/|\z)"),
     "no_lead_slash": q(r"^(?![/\\])"),
 }
 
@@ -197,8 +207,11 @@ _STAGES: list[dict[str, str]] = [
         ),
     },
     {
+        # A file "host" that is a Windows drive letter (C: or C|) starts the path instead.
         "__auth": (
-            "CASE WHEN __has_auth AND __kind IN ('special', 'file') "
+            f"CASE WHEN __has_auth AND __kind = 'file' AND regexp_extract(__r, {_RX['auth_special']}, 1) "
+            f"RLIKE {_RX['drive']} THEN NULL "
+            "WHEN __has_auth AND __kind IN ('special', 'file') "
             f"THEN regexp_extract(__r, {_RX['auth_special']}, 1) "
             f"WHEN __has_auth THEN regexp_extract(__r, {_RX['auth_other']}, 1) END"
         ),
@@ -328,8 +341,9 @@ _STAGES: list[dict[str, str]] = [
         "__opaque": "__kind = 'other' AND __auth IS NULL AND NOT startswith(__path_raw, '/')",
         "__path2": (
             f"CASE WHEN __kind = 'special' THEN coalesce(nullif(regexp_replace(__path_raw, {_RX['backslash']}, '/'), ''), '/') "
-            f"WHEN __kind = 'file' THEN regexp_replace(regexp_replace(__path_raw, {_RX['no_lead_slash']}, '/'), "
-            f"{_RX['backslash']}, '/') ELSE __path_raw END"
+            f"WHEN __kind = 'file' THEN regexp_replace(regexp_replace(regexp_replace(__path_raw, "
+            f"{_RX['no_lead_slash']}, '/'), {_RX['backslash']}, '/'), {_RX['drive_first']}, '/$1:') "
+            "ELSE __path_raw END"
         ),
         "__host_out": "CASE WHEN __kind = 'file' AND __host = 'localhost' THEN NULL ELSE nullif(__host, '') END",
         "__port_out": f"CASE WHEN {_DEFAULT_PORT} IS NULL OR __port <> {_DEFAULT_PORT} THEN __port END",

@@ -49,6 +49,18 @@ CASES = [
     ("foo://", ("foo", None, None, "", None)),
     ("https://Root.Example.org", ("https", "root.example.org", None, "/", None)),
     ("http://x.EXAMPLE.com:8080/en/1?page=2#top", ("http", "x.example.com", 8080, "/en/1", "page=2")),
+    # Windows drive letters in file URLs
+    ("file:c:\\foo\\bar.html", ("file", None, None, "/c:/foo/bar.html", None)),
+    ("file:///C|/x", ("file", None, None, "/C:/x", None)),
+    ("file://C|/x", ("file", None, None, "/C:/x", None)),
+    ("file://c:", ("file", None, None, "/c:", None)),
+    ("file:/C|/x?q", ("file", None, None, "/C:/x", "q")),
+    ("file:///C:/..", ("file", None, None, "/C:/", None)),
+    ("file:///C:/a/../../x", ("file", None, None, "/C:/x", None)),
+    ("file:///a/../C|/x", ("file", None, None, "/C:/x", None)),
+    ("file:///C|x", ("file", None, None, "/C|x", None)),
+    ("file://localhost/D:/y", ("file", None, None, "/D:/y", None)),
+    ("http://a/C|/x", ("http", "a", None, "/C|/x", None)),
 ]
 
 
