@@ -13,6 +13,8 @@ not seen before and appends their accepted rows to a date-partitioned table.
   the session has none (local runs, tests).
 * No state: parsing is a narrow per-line projection, so there is nothing to
   watermark and a lost executor only re-runs its tasks.
+* Files are zstd-compressed like batch appends; log files arrive in time
+  order, so each written file already covers a narrow time range.
 * Totals per micro-batch (lines, accepted, rejected per reason) are observed
   while writing and reported in ``query.lastProgress["observedMetrics"]``.
 
@@ -75,6 +77,7 @@ def incremental_import(
         accepted.writeStream.format("parquet")
         .option("path", table_path)
         .option("checkpointLocation", checkpoint_location or default_checkpoint(spark, table_path))
+        .option("compression", "zstd")
         .partitionBy("dt")
         .outputMode("append")
     )
