@@ -29,6 +29,11 @@ from proxyscope.sources.text import read_lines
 
 DEFAULT_MAX_RECORDS_PER_FILE = 5_000_000
 
+# The whole line and the URL are close to unique per row: a dictionary for
+# them only costs time before Parquet falls back to plain encoding (about 15%
+# of the write, for 2% more bytes).
+PARQUET_COLUMN_OPTIONS = {"parquet.enable.dictionary#raw": "false", "parquet.enable.dictionary#url": "false"}
+
 
 def append_requests(
     requests: DataFrame, path: str, max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE
@@ -44,6 +49,7 @@ def append_requests(
         .partitionBy("dt")
         .option("maxRecordsPerFile", max_records_per_file)
         .option("compression", "zstd")
+        .options(**PARQUET_COLUMN_OPTIONS)
         .parquet(path)
     )
 

@@ -33,6 +33,7 @@ from pyspark.sql.streaming import StreamingQuery
 from proxyscope.operators.parse import classify_lines
 from proxyscope.schema import REJECT_REASONS, REQUESTS_COLUMNS
 from proxyscope.session import checkpoint_dir
+from proxyscope.sources.table import PARQUET_COLUMN_OPTIONS
 from proxyscope.sources.text import without_cr
 
 TOTALS = "import_totals"
@@ -78,6 +79,7 @@ def incremental_import(
         .option("path", table_path)
         .option("checkpointLocation", checkpoint_location or default_checkpoint(spark, table_path))
         .option("compression", "zstd")
+        .options(**PARQUET_COLUMN_OPTIONS)
         .partitionBy("dt")
         .outputMode("append")
     )
