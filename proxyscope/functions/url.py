@@ -29,8 +29,10 @@ Semantics (the URL Standard, as implemented by common URL libraries):
   parts NULL.
 
 IPv6 hosts are validated and serialised in canonical form (``[0:0::1]`` gives
-``[::1]``). Not built: IDNA (a non-ASCII host is only lowercased, not
-converted to punycode).
+``[::1]``). A non-ASCII domain is lower-cased, ideographic full stops become
+dots and each non-ASCII label is written ``xn--`` + punycode. Not built: the
+rest of UTS 46 (its mapping table, NFC and the validity checks), which needs
+Unicode data Spark has no functions for.
 """
 
 from __future__ import annotations
@@ -134,6 +136,67 @@ _RESOLVE = (
     "ELSE concat(acc, array(element_at(__segs, i))) END)"
 )
 
+# IDNA: a label with a non-ASCII code point becomes "xn--" + punycode (RFC
+# 3492: base 36, tmin 1, tmax 26, skew 38, damp 700, initial bias 72, initial
+# n 128). The label is already lower-cased; each loop of the RFC is an
+# aggregate whose state is a typed struct. Digit loops run at most 20 times,
+# which covers any 64-bit delta.
+def _puny_digit(x: str) -> str:
+    return f"CASE WHEN {x} < 26 THEN chr(97 + {x}) ELSE chr(22 + {x}) END"
+
+
+def _puny_state(n: str, delta: str, bias: str, h: str, out: str) -> str:
+    return (
+        f"named_struct('n', CAST({n} AS INT), 'delta', CAST({delta} AS BIGINT), "
+        f"'bias', CAST({bias} AS BIGINT), 'h', CAST({h} AS INT), 'out', CAST({out} AS STRING))"
+    )
+
+
+def punycode_sql(label: str) -> str:
+    """SQL: the punycode form of the string expression ``label`` (without the ``xn--`` prefix)."""
+    chars = f"regexp_extract_all({label}, '(?s).', 0)"
+    basic = f"array_join(filter({chars}, pc -> ascii(pc) < 128), '')"
+    b = f"length({basic})"
+    cps = f"transform({chars}, pc -> ascii(pc))"
+    ms = f"array_sort(array_distinct(filter({cps}, pv -> pv >= 128)))"
+    t = "CASE WHEN pd.k <= ps.bias THEN 1 WHEN pd.k >= ps.bias + 26 THEN 26 ELSE pd.k - ps.bias END"
+    digits = (
+        "aggregate(sequence(1, 20), named_struct('q', ps.delta, 'k', CAST(36 AS BIGINT), 'done', false, 'out', ''), "
+        "(pd, pj) -> CASE WHEN pd.done THEN pd "
+        f"WHEN pd.q < ({t}) THEN named_struct('q', pd.q, 'k', pd.k, 'done', true, 'out', concat(pd.out, {_puny_digit('pd.q')})) "
+        f"ELSE named_struct('q', (pd.q - ({t})) div (36 - ({t})), 'k', pd.k + 36, 'done', false, "
+        f"'out', concat(pd.out, {_puny_digit(f'({t}) + (pd.q - ({t})) % (36 - ({t}))')})) END, pd -> pd.out)"
+    )
+    d0 = f"(CASE WHEN ps.h = {b} THEN ps.delta div 700 ELSE ps.delta div 2 END)"
+    d1 = f"({d0} + {d0} div (ps.h + 1))"
+    adapt = (
+        f"aggregate(sequence(1, 20), named_struct('d', {d1}, 'k', CAST(0 AS BIGINT)), "
+        "(pa, pj) -> CASE WHEN pa.d > 455 THEN named_struct('d', pa.d div 35, 'k', pa.k + 36) ELSE pa END, "
+        "pa -> pa.k + (36 * pa.d) div (pa.d + 38))"
+    )
+    emit = _puny_state("ps.n", "0", adapt, "ps.h + 1", f"concat(ps.out, {digits})")
+    per_char = (
+        f"(ps, pc) -> CASE WHEN pc < ps.n THEN {_puny_state('ps.n', 'ps.delta + 1', 'ps.bias', 'ps.h', 'ps.out')} "
+        f"WHEN pc = ps.n THEN {emit} ELSE ps END"
+    )
+    start_m = _puny_state("pm", "st.delta + CAST(pm - st.n AS BIGINT) * (st.h + 1)", "st.bias", "st.h", "st.out")
+    after_m = _puny_state("ps.n + 1", "ps.delta + 1", "ps.bias", "ps.h", "ps.out")
+    per_m = f"(st, pm) -> aggregate({cps}, {start_m}, {per_char}, ps -> {after_m})"
+    init = _puny_state("128", "0", "72", b, "''")
+    return (
+        f"concat(CASE WHEN {b} > 0 THEN concat({basic}, '-') ELSE '' END, "
+        f"aggregate({ms}, {init}, {per_m}, st -> st.out))"
+    )
+
+
+def idna_sql(host: str) -> str:
+    """SQL: ``host`` (lower-cased, dots mapped) with every non-ASCII label in its ``xn--`` form."""
+    return (
+        f"array_join(transform(split({host}, '[.]', -1), lb -> CASE WHEN lb RLIKE '[^\\\\x00-\\\\x7F]' "
+        f"THEN concat('xn--', {punycode_sql('lb')}) ELSE lb END), '.')"
+    )
+
+
 # One IPv4 number: hex (0x), octal (leading 0) or decimal; NULL if invalid or too large.
 _HEX_NUM = q(r"^0[xX][0-9A-Fa-f]*\z")
 _OCT_NUM = q(r"^0[0-7]+\z")
@@ -176,6 +239,8 @@ _RX = {
     "dot": q(r"\."),
     "backslash": q("\\\\"),
     "drive": q(r"^[A-Za-z][:|]\z"),
+    "full_stops": q("[\\u3002\\uFF0E\\uFF61]"),
+    "non_ascii": q(r"[^\x00-\x7F]"),
     "drive_first": q(r"^/([A-Za-z])\|(?=/|\z)"),
     "no_lead_slash": q(r"^(?![/\\])"),
 }
@@ -233,10 +298,11 @@ _STAGES: list[dict[str, str]] = [
             f"(__port_txt = '' OR __port_txt RLIKE {_RX['port_ok']}) AND NOT (__host_raw = '' AND __port_txt <> '')"
         ),
         "__ipv6": "startswith(__host_raw, '[')",
+        # Domain: percent-decoded, lower-cased, ideographic full stops mapped to ".".
         "__dom": (
-            "CASE WHEN __kind IN ('special', 'file') AND NOT startswith(__host_raw, '[') THEN lower("
+            "CASE WHEN __kind IN ('special', 'file') AND NOT startswith(__host_raw, '[') THEN regexp_replace(lower("
             "CASE WHEN contains(__host_raw, '%') THEN try_url_decode(replace(__host_raw, '+', '%2B')) "
-            "ELSE __host_raw END) END"
+            f"ELSE __host_raw END), {_RX['full_stops']}, '.') END"
         ),
     },
     {
@@ -253,6 +319,15 @@ _STAGES: list[dict[str, str]] = [
         "__v4n": "size(__v4)",
         **{f"__v4x{i}": ipv4_number_sql(f"try_element_at(__v4, {i})") for i in range(1, 5)},
     },
+    # IDNA of a domain that passed the code point check. It depends on the
+    # same stage as the dot-segment step (__segs), so Spark puts both
+    # higher-order functions into one projection. Checking the code points
+    # and the last label before or after IDNA gives the same verdict.
+    {
+        "__dom_idn": (
+            f"CASE WHEN __dom_ok AND __dom RLIKE {_RX['non_ascii']} THEN {idna_sql('__dom')} ELSE __dom END"
+        ),
+    },
     {
         "__v4_ok": (
             "__v4n BETWEEN 1 AND 4 "
@@ -324,7 +399,7 @@ _STAGES: list[dict[str, str]] = [
         "__host": (
             "CASE WHEN __ipv6 THEN __v6host "
             "WHEN __kind IN ('special', 'file') THEN CASE WHEN __dom_ok THEN "
-            "CASE WHEN __v4 IS NULL THEN __dom WHEN __v4_num IS NOT NULL THEN concat_ws('.', "
+            "CASE WHEN __v4 IS NULL THEN __dom_idn WHEN __v4_num IS NOT NULL THEN concat_ws('.', "
             + ", ".join(f"CAST(shiftrightunsigned(__v4_num, {s}) & 255 AS STRING)" for s in (24, 16, 8, 0))
             + ") END END "
             f"WHEN NOT __host_raw RLIKE {q(FORBIDDEN_HOST)} THEN __host_raw END"

@@ -237,3 +237,32 @@ def test_ipv6_hosts_match_url_standard(spark):
     got = {r.url: r.host for r in url_parts_of(df, "url").collect()}
     for c in cases:
         assert got[f"http://[{c}]/"] == _whatwg_ipv6(c), c
+
+
+def test_idna_hosts_use_punycode(spark):
+    import random
+
+    fixed = {
+        "http://Bücher.example/": "xn--bcher-kva.example",
+        "https://www.münchen.de/x": "www.xn--mnchen-3ya.de",
+        "http://例え。テスト/": "xn--r8jz45g.xn--zckzah",
+        "http://%C3%BC.example/": "xn--tda.example",
+        "http://ascii.example/": "ascii.example",
+    }
+    rnd = random.Random(3)
+    alphabet = "abcxyz-09üößéàñçøåæ中文日本語😀ελληνικάкириллица"
+    hosts = []
+    for _ in range(200):
+        labels = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 12))) for _ in range(rnd.randint(1, 3))]
+        labels.append(rnd.choice(["com", "org", "例え"]))
+        hosts.append(".".join(labels))
+    want = dict(fixed)
+    for h in hosts:
+        want[f"http://{h}/"] = ".".join(
+            "xn--" + lb.encode("punycode").decode() if not lb.isascii() else lb for lb in h.lower().split(".")
+        )
+    df = spark.createDataFrame([(u,) for u in want], "url string")
+    got = {r.url: r.host for r in url_parts_of(df, "url").collect()}
+    assert got == want
+    opaque = url_parts_of(spark.createDataFrame([("foo://Bücher/x",)], "url string"), "url").first()
+    assert opaque.host == "B%C3%BCcher"
