@@ -17,10 +17,21 @@ LINE_PATTERN = r'^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)\s+([^"]+
 TIMESTAMP_FORMAT = "d/MMM/yyyy:H:m:s Z"
 N_GROUPS = 11
 
-# The same pattern for Java's engine: Unicode classes for \s \S \d (as in the
-# reference's regex engine) and an end anchor that cannot stop before a final
-# line terminator.
-JAVA_LINE_PATTERN = "(?U)" + LINE_PATTERN[:-1] + r"\z"
+# The same pattern for Java's engine, with the same matches and groups:
+# Unicode classes for \s \S \d (as in the reference's regex engine), an end
+# anchor that cannot stop before a final line terminator, and linear time.
+# Java backtracks (the reference's engine does not), so on a hostile line
+# ``\s+([^"]+)"`` would retry every split of a long whitespace run before a
+# failure later in the line. Here every quantifier is possessive, which is
+# equivalent because each one is followed by a character it cannot match,
+# except the version group: with greedy matching ``\s+`` gives back one
+# character when only white space precedes the quote, so the version is
+# either the text from the first non-space character, or the last white-space
+# character (``\s*?(?=\s")`` expands one character at a time).
+JAVA_LINE_PATTERN = (
+    r'(?U)^(\S++)\s++(\S++)\s++(\S++)\s++\[([^\]]++)\]\s++"(\S++)\s++(\S++)'
+    r'\s(?:\s*+(?=[^"\s])|\s*?(?=\s"))([^"]++)"\s++(\d{3})\s++(\S++)\s++"([^"]*+)"\s++"([^"]*+)"\s*+\z'
+)
 # A matched line is rewritten to its 11 groups joined by LF. Lines come from
 # an LF-split text source, so LF cannot occur inside a group; lines that do
 # contain LF take the exact per-group path instead.
@@ -53,17 +64,20 @@ def dash_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit("-"))
 
 
+# The Unicode White_Space code points, which are what ``\s``
+# matches in the reference's regex engine and in Java's ``(?U)`` mode.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def trim_unicode(c: Column) -> Column:
-    """Strip leading and trailing Unicode white space (``trim`` strips U+0020 only).
+    """Strip leading and trailing Unicode white space (plain ``trim`` strips U+0020 only).
 
-    The regex only runs when the first or last character can be white space
-    (every Unicode white-space code point is <= U+0020 or >= U+0085).
+    ``trim(BOTH set FROM c)`` runs in linear time; a regex such as
+    ``\\s+\\z`` would rescan a long inner run of spaces from every start.
     """
-    def edge(ch: Column) -> Column:
-        code = F.ascii(ch)
-        return (code <= 32) | (code >= 133)
-
-    return F.when(edge(c) | edge(F.right(c, F.lit(1))), F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")).otherwise(c)
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def trim_to_null(c: Column) -> Column:

@@ -79,7 +79,7 @@ FORBIDDEN_DOMAIN = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4_DOTTED = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
 # IPv6 in hex pieces: eight, or at most seven around one "::".
-_PIECES = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+_PIECES = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*+"
 IPV6_PIECES = rf"^(?:[0-9a-f]{{1,4}}(?::[0-9a-f]{{1,4}}){{7}}|(?:{_PIECES})?::(?:{_PIECES})?)\z"
 HAS_DOT_SEGMENT = r"(?:^|/)(?:\.|%2[eE]){1,2}(?:/|\z)"
 
@@ -119,21 +119,64 @@ _SPECIAL = ", ".join(q(s) for s in DEFAULT_PORTS)
 _DEFAULT_PORT = "CASE __scheme " + " ".join(f"WHEN {q(s)} THEN {p}" for s, p in DEFAULT_PORTS.items()) + " END"
 _EMPTY = "CAST(array() AS array<string>)"
 
-# Dot segments: "." and ".." (also written %2e) leave or pop a segment; a
-# final one leaves an empty segment, i.e. a trailing slash. In file URLs ".."
-# does not pop a drive letter that is the only segment, and a drive letter
-# that starts the path is written with ":".
-_DRIVE_ONLY = "__kind = 'file' AND size(acc) = 1 AND try_element_at(acc, 1) RLIKE '^[A-Za-z]:\\\\z'"
-_RESOLVE = (
-    f"aggregate(sequence(1, size(__segs)), {_EMPTY}, (acc, i) -> "
-    "CASE WHEN lower(element_at(__segs, i)) IN ('..', '.%2e', '%2e.', '%2e%2e') "
-    f"THEN concat(IF({_DRIVE_ONLY}, acc, slice(acc, 1, greatest(size(acc) - 1, 0))), "
-    f"IF(i = size(__segs), array(''), {_EMPTY})) "
-    "WHEN lower(element_at(__segs, i)) IN ('.', '%2e') "
-    f"THEN concat(acc, IF(i = size(__segs), array(''), {_EMPTY})) "
-    "WHEN __kind = 'file' AND size(acc) = 0 AND element_at(__segs, i) RLIKE '^[A-Za-z][:|]\\\\z' "
-    "THEN array(concat(substr(element_at(__segs, i), 1, 1), ':')) "
-    "ELSE concat(acc, array(element_at(__segs, i))) END)"
+# Dot segments. With +1 for a segment, -1 for ".." (also written with %2e)
+# and 0 for ".", and S the prefix sums, a segment survives iff no later prefix
+# sum is lower than its own (a ".." at the root pops nothing and does not
+# change this). The prefix sums and suffix minima are computed with doubling
+# scans (log2(n) rounds of one ``transform`` each), so a path of n segments
+# costs O(n log n), not the O(n^2) of a stack kept in an immutable array; a
+# hostile URL with a million segments stays cheap. A final "." or ".." leaves
+# a trailing slash. In file URLs the first drive letter (C: or C|) met on an
+# empty stack is written with ":" and is never popped. Values are bound once
+# with ``transform(array(value), name -> ...)[0]``, so the whole step is one
+# expression and Spark keeps it in one projection.
+def _scan(arr: str, op: str, rounds: str) -> str:
+    """SQL: inclusive prefix scan of int array ``arr`` with ``op`` ('+' or 'least')."""
+    step = "x + acc[i - shiftleft(1, r)]" if op == "+" else "least(x, acc[i - shiftleft(1, r)])"
+    return (
+        f"aggregate(sequence(0, {rounds}), {arr}, (acc, r) -> "
+        f"transform(acc, (x, i) -> IF(i >= shiftleft(1, r), {step}, x)))"
+    )
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+_DOT2 = "('..', '.%2e', '%2e.', '%2e%2e')"
+_DOT1 = "('.', '%2e')"
+_ROUNDS = "CAST(ceil(log2(greatest(size(__segs), 2))) AS INT)"
+_EMPTY_BEFORE = "(i = 0 OR ds[i - 1] = least(dp[i - 1], 0))"
+_IS_DRIVE = f"(__kind = 'file' AND dv[i] = 1 AND __segs[i] RLIKE {q(r'^[A-Za-z][:|]\z')})"
+_KEEP = (
+    "dv[i] = 1 AND (i = df OR (i > df AND (i = size(__segs) - 1 OR ds[i] <= dm[i + 1])))"
+)
+_OUT = (
+    "concat('/', array_join(concat(transform(filter(sequence(0, size(__segs) - 1), i -> "
+    f"{_KEEP}), i -> IF(i = df, concat(substr(__segs[i], 1, 1), ':'), __segs[i])), "
+    f"IF(element_at(dv, -1) <= 0, array(''), {_EMPTY})), '/'))"
+)
+_RESOLVE_PATH = _let(
+    f"transform(__segs, x -> CASE WHEN lower(x) IN {_DOT2} THEN -1 WHEN lower(x) IN {_DOT1} THEN 0 ELSE 1 END)",
+    "dv",
+    _let(
+        _scan("dv", "+", _ROUNDS),
+        "ds",
+        _let(
+            f"reverse({_scan('reverse(ds)', 'least', _ROUNDS)})",
+            "dm",
+            _let(
+                _scan("ds", "least", _ROUNDS),
+                "dp",
+                _let(
+                    "coalesce(array_position(transform(sequence(0, size(__segs) - 1), i -> "
+                    f"{_IS_DRIVE} AND {_EMPTY_BEFORE}), true) - 1, -1)",
+                    "df",
+                    _OUT,
+                ),
+            ),
+        ),
+    ),
 )
 
 # IDNA: a label with a non-ASCII code point becomes "xn--" + punycode (RFC
@@ -218,7 +261,9 @@ def ipv4_number_sql(p: str) -> str:
 
 
 _RX = {
-    "trim": q(r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]"),
+    # The lookbehind keeps the search linear: a long inner run of C0 characters
+    # is scanned once, not from every position in it.
+    "trim": q(r"^[\x00-\x20]++|(?<![\x00-\x20])[\x00-\x20]++\z|[\t\n\r]"),
     "scheme": q(r"^([A-Za-z][A-Za-z0-9+.\-]*):"),
     "two_slashes": q(r"^[/\\]{2}"),
     "slashes": q(r"^[/\\]+"),
@@ -429,7 +474,7 @@ _STAGES: list[dict[str, str]] = [
             "THEN split(substr(__path2, 2), '/', -1) END"
         ),
     },
-    {"__path3": f"CASE WHEN __segs IS NOT NULL THEN concat('/', array_join({_RESOLVE}, '/')) ELSE __path2 END"},
+    {"__path3": f"CASE WHEN __segs IS NOT NULL THEN {_RESOLVE_PATH} ELSE __path2 END"},
     {
         "__path": (
             f"CASE WHEN __opaque THEN {percent_encode_sql('__path3', 'c0')} "
@@ -452,6 +497,12 @@ _RESULT = (
     "CAST(NULL AS struct<scheme:string, host:string, port:int, path:string, query:string>) END"
 )
 
+# Patterns that see untrusted text use possessive quantifiers on repeated
+# groups: Java runs those iteratively, while a plain ``(...)*`` recurses once
+# per repetition and a URL with tens of thousands of segments would overflow
+# the task's stack. Each possessive loop is followed by text it cannot match,
+# so the matches are the same.
+#
 # Fast path. Most URLs in a proxy log are plain: a special scheme, "//", a
 # host of letter/digit labels whose last label starts with a letter (so it
 # cannot be an IPv4 number), an optional port, a path and query made only of
@@ -462,8 +513,8 @@ _RESULT = (
 _PATH_SAFE = r"[!$%&'()*+,\-.0-9:;=@A-Z\[\]^_a-z|~]"
 _QUERY_SAFE = r"[!$%&()*+,\-./0-9:;=?@A-Z\[\\\]^_`a-z{|}~]"
 FAST_URL = (
-    r"^((?i:https?|wss?|ftp))://((?:[A-Za-z0-9_-]+\.)*[A-Za-z][A-Za-z0-9_-]*)(?::([0-9]{1,5}))?"
-    r"((?:/(?:(?![.]|%2[eE])" + _PATH_SAFE + r"+)?)*)(\?" + _QUERY_SAFE + r"*)?(?:#.*)?\z"
+    r"^((?i:https?|wss?|ftp))://((?:[A-Za-z0-9_-]++\.)*+[A-Za-z][A-Za-z0-9_-]*+)(?::([0-9]{1,5}))?"
+    r"((?:/(?:(?![.]|%2[eE])" + _PATH_SAFE + r"++)?)*+)(\?" + _QUERY_SAFE + r"*+)?(?:#.*)?\z"
 )
 _FAST_GROUPS = "\n".join(f"${i}" for i in range(1, 6))
 # Two more shapes are common in proxy logs and decided without the general

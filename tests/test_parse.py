@@ -129,3 +129,52 @@ def test_line_with_lf_takes_exact_path(spark):
 def test_statuses_101_and_600(spark):
     rows = parse_lines(lines_df(spark, [make_line(status="101"), make_line(status="600")])).collect()
     assert sorted(r.status for r in rows) == [101, 600]
+
+
+def test_line_pattern_groups_match_the_greedy_pattern(spark):
+    """The linear Java form gives the same groups as the reference's pattern (Python's backtracking engine)."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from proxyscope.functions.fields import LINE_PATTERN, with_line_groups
+
+    greedy = re.compile(LINE_PATTERN[:-1] + r"\Z")
+    pieces = [" ", "  ", "\t", " ", "　", '"', "[", "]", "a", "GET", "/x", "HTTP/1.1", "200", "2000", "12",
+              "-", "٣٤٥", "é", "15/Feb/2026:00:00:04 +0000"]
+    base = ['1.2.3.4', ' ', '-', ' ', 'u', ' ', '[', '15/Feb/2026:00:00:04 +0000', ']', ' ', '"', 'GET', ' ', '/x', ' ',
+            'HTTP/1.1', '"', ' ', '200', ' ', '12', ' ', '"', 'US', '"', ' ', '"', 'UA', '"']
+    rnd = random.Random(5)
+    lines = []
+    for _ in range(1500):
+        parts = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            k = rnd.randrange(len(parts))
+            if rnd.random() < 0.5:
+                parts[k] = rnd.choice(pieces)
+            else:
+                parts.insert(k, rnd.choice(pieces))
+        lines.append("".join(parts))
+    lines += ['1 - u [t] "GET /x  " 200 1 "" ""', '1 - u [t] "GET /x " 200 1 "" ""', '1 - u [t] "GET /x \t 　" 200 1 "a" "b"']
+    df = spark.createDataFrame([(line,) for line in lines], "value string")
+    got = {r.value: (tuple(r.g) if r.g is not None else None)
+           for r in with_line_groups(df, "value", "g").select("value", F.col("g")).collect()}
+    for line in lines:
+        m = greedy.match(line)
+        assert got[line] == (m.groups() if m else None), line
+
+
+def test_hostile_lines_stay_linear(spark):
+    import time
+
+    from proxyscope.functions.fields import with_line_groups
+
+    ts = "[15/Feb/2026:00:00:04 +0000]"
+    long_ws = f'1 - u {ts} "GET /x' + " " * 300000 + 'v" 2000 1 "" ""'
+    long_ua = f'1 - u {ts} "GET /x HTTP/1.1" 200 1 "" " a' + " " * 300000 + 'b "'
+    df = spark.createDataFrame([(long_ws,), (long_ua,)], "value string")
+    t0 = time.time()
+    rows = classify_lines(df).select("reason", "user_agent").collect()
+    assert time.time() - t0 < 60
+    assert rows[0].reason == "no_match" and rows[1].reason is None and rows[1].user_agent.startswith("a ")

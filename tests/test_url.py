@@ -266,3 +266,58 @@ def test_idna_hosts_use_punycode(spark):
     assert got == want
     opaque = url_parts_of(spark.createDataFrame([("foo://Bücher/x",)], "url string"), "url").first()
     assert opaque.host == "B%C3%BCcher"
+
+
+def _whatwg_path(tokens, is_file):
+    """The URL Standard's path state for dot segments and file drive letters (reference for the test)."""
+    import re
+
+    path = []
+    for k, tok in enumerate(tokens):
+        last = k == len(tokens) - 1
+        low = tok.lower()
+        if low in ("..", ".%2e", "%2e.", "%2e%2e"):
+            if not (is_file and len(path) == 1 and re.fullmatch("[A-Za-z]:", path[0])) and path:
+                path.pop()
+            if last:
+                path.append("")
+        elif low in (".", "%2e"):
+            if last:
+                path.append("")
+        else:
+            if is_file and not path and re.fullmatch("[A-Za-z][:|]", tok):
+                tok = tok[0] + ":"
+            path.append(tok)
+    return "/" + "/".join(path)
+
+
+def test_dot_segments_match_url_standard(spark):
+    import random
+
+    rnd = random.Random(11)
+    tokens = ["a", "bc", "", ".", "..", "%2e", ".%2E", "%2E%2e", "C:", "c|", "D|", "x:", "ab:"]
+    cases = {}
+    for _ in range(400):
+        toks = [rnd.choice(tokens) for _ in range(rnd.randint(1, 12))]
+        for scheme in ("http://h", "file://"):
+            cases[f"{scheme}/{'/'.join(toks)}"] = _whatwg_path(toks, scheme == "file://")
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    got = {r.url: r.path for r in url_parts_of(df, "url").collect()}
+    bad = {u: (got[u], want) for u, want in cases.items() if got[u] != want}
+    assert not bad, list(bad.items())[:5]
+
+
+def test_hostile_urls_stay_cheap(spark):
+    import time
+
+    urls = [
+        "http://a.example" + "/a" * 50000,
+        "http://" + "a." * 20000 + "example/",
+        "http://a.example" + "/a" * 50000 + "/..",
+        "http://a.example/" + "x/../" * 20000,
+    ]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    t0 = time.time()
+    rows = url_parts_of(df, "url").collect()
+    assert time.time() - t0 < 60
+    assert [len(r.path) for r in rows] == [100000, 1, 99999, 1]
