@@ -321,3 +321,25 @@ def test_hostile_urls_stay_cheap(spark):
     rows = url_parts_of(df, "url").collect()
     assert time.time() - t0 < 60
     assert [len(r.path) for r in rows] == [100000, 1, 99999, 1]
+
+
+def test_fast_and_general_paths_agree_on_random_urls(spark):
+    import random
+
+    rnd = random.Random(17)
+    schemes = ["http://", "HTTPS://", "ws://", "ftp://", "wss://", "foo://", "file://", "http:", "mailto:", "", "/", "x+y:"]
+    labels = ["a", "Ab", "b-c", "_x", "9", "0x1f", "www", "ü", "EXAMPLE", "", "1"]
+    ports = ["", ":80", ":443", ":8080", ":", ":99999", ":0021", ":x"]
+    segments = ["a", "B", ".", "..", "%2e", ".x", "a.b", "~u", "a;b", "a,b", "%41", "é", "a b", "{}", "|", "@", ":", "\\"]
+    queries = ["", "?", "?a=1", "?a=1&b=2", "?q'", "?x y", "?é", "?#", "?a?b"]
+    frags = ["", "#", "#top", "#a b"]
+    urls = set()
+    for _ in range(3000):
+        host = ".".join(rnd.choice(labels) for _ in range(rnd.randint(1, 4)))
+        path = "".join("/" + rnd.choice(segments) for _ in range(rnd.randint(0, 5)))
+        urls.add(rnd.choice(schemes) + host + rnd.choice(ports) + path + rnd.choice(queries) + rnd.choice(frags))
+    df = spark.createDataFrame([(u,) for u in sorted(urls)], "url string")
+    fast = {r.url: tuple(r) for r in url_parts_of(df, "url", fast_path=True).collect()}
+    slow = {r.url: tuple(r) for r in url_parts_of(df, "url", fast_path=False).collect()}
+    diff = [(u, fast[u], slow[u]) for u in fast if fast[u] != slow[u]]
+    assert not diff, diff[:5]
