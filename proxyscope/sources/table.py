@@ -64,14 +64,26 @@ def import_logs(
     source: str | list[str],
     table_path: str,
     max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
+    rebalance_partitions: int | None = None,
 ) -> dict[str, int]:
     """Read log files, parse them and append the accepted rows, in one job.
 
     Returns the totals of the run: ``lines``, ``accepted``, ``rejected`` and one
     count per reject reason. They are gathered with ``DataFrame.observe``
     while the rows are written, so the input is read and parsed once.
+
+    Plain text is split into byte ranges, so one big file is read by many
+    tasks. A gzip file cannot be split: Spark reads it in one task. When a few
+    large compressed files hold most of the lines, ``rebalance_partitions=n``
+    spreads the decoded lines round-robin over ``n`` partitions before
+    parsing and writing (one shuffle of the raw lines; decompression itself
+    stays one task per file). Leave it unset for splittable input, where the
+    shuffle would only add cost.
     """
-    classified = classify_lines(read_lines(spark, source))
+    lines = read_lines(spark, source)
+    if rebalance_partitions:
+        lines = lines.repartition(rebalance_partitions)
+    classified = classify_lines(lines)
     metrics = [
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("reason").isNull()).alias("accepted"),

@@ -101,3 +101,20 @@ def test_url_split_keeps_generated_code(spark):
     lines = [line.lstrip(" :+-") for line in _plan(url_parts_of(df, "url")).splitlines()]
     outside = [line for line in lines if line.startswith("Project")]
     assert len(outside) <= 1, outside
+
+
+def test_gzip_import_with_rebalance_equals_plain(spark):
+    import gzip
+
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    lines = [make_line(ts=f"15/Feb/2026:{h:02d}:00:00 +0000", url=f"http://h{h % 3}.example.com/p{h}") for h in range(24)]
+    data = ("\n".join(lines + ["junk"]) + "\n").encode()
+    os.makedirs(f"{root}/gz")
+    with gzip.open(f"{root}/gz/a.log.gz", "wb") as f:
+        f.write(data)
+    plain = import_logs(spark, f"{root}/gz/*.gz", f"{root}/t1")
+    spread = import_logs(spark, f"{root}/gz/*.gz", f"{root}/t2", rebalance_partitions=4)
+    assert plain == spread and plain["lines"] == 25 and plain["accepted"] == 24
+    a = sorted(map(tuple, load_requests(spark, f"{root}/t1").collect()))
+    b = sorted(map(tuple, load_requests(spark, f"{root}/t2").collect()))
+    assert a == b and len(a) == 24
