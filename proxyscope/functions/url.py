@@ -1,15 +1,18 @@
 """Split a URL into scheme, host, port, path and query, WHATWG style.
 
-Built from native Spark SQL expressions only (regex extraction, ``CASE`` and
-higher-order array functions), so the split runs inside generated code. It is
-a DataFrame transformation made of small projection stages: every
-intermediate value (the text after the scheme, the authority, the raw host...)
-is computed once into a named column and referenced by later stages, instead
-of being re-derived inside every branch. The stages are written as SQL text
-in one ``selectExpr`` whose later expressions refer to earlier aliases
-(lateral column aliases), which keeps plan construction on the driver cheap. The costly steps, dot-segment removal, percent-encoding
-and IPv4 number forms, are guarded by a cheap ``rlike`` test and only run for
-URLs that need them.
+Built from native Spark SQL expressions only (regex extraction, ``CASE``,
+string functions), so the split runs inside generated code. It is a
+DataFrame transformation made of small projection stages: every intermediate
+value (the text after the scheme, the authority, the raw host...) is computed
+once into a named column and referenced by later stages, instead of being
+re-derived inside every branch. The stages are written as SQL text in one
+``selectExpr`` whose later expressions refer to earlier aliases (lateral
+column aliases). Three common shapes (plain special URLs, scheme-less text,
+CONNECT targets) are decided by fast paths; the general stages see NULL for
+them. Higher-order functions end a whole-stage-codegen span, so only two steps
+use them, dot-segment removal and punycode, both guarded and placed in one
+projection. Patterns are written so that Java's backtracking engine stays
+linear and never recurses per repetition on hostile input.
 
 Semantics (the URL Standard, as implemented by common URL libraries):
 
