@@ -59,6 +59,27 @@ def load_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUESTS_TABLE_SCHEMA).parquet(path)
 
 
+def register_requests_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """Register the table folder at ``path`` as catalog table ``name`` and return it.
+
+    The table is external (dropping it keeps the files) and partitioned by
+    ``dt``, with its partitions recorded in the catalog. A time-bounded report
+    on it lists only the matching day folders, not every file of the table,
+    which matters once the table holds about a million files. Call it again
+    after an import to record new days (``RECOVER PARTITIONS``). This is for
+    tables filled by ``import_logs``; a folder written by the streaming import
+    is read through its sink log with ``load_requests``.
+    """
+    table = ".".join(f"`{part.replace('`', '``')}`" for part in name.split("."))
+    location = "'" + path.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in REQUESTS_TABLE_SCHEMA.fields)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY (dt) LOCATION {location}"
+    )
+    spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    return spark.table(table)
+
+
 def import_logs(
     spark: SparkSession,
     source: str | list[str],

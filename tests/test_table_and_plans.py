@@ -118,3 +118,20 @@ def test_gzip_import_with_rebalance_equals_plain(spark):
     a = sorted(map(tuple, load_requests(spark, f"{root}/t1").collect()))
     b = sorted(map(tuple, load_requests(spark, f"{root}/t2").collect()))
     assert a == b and len(a) == 24
+
+
+def test_catalog_table_lists_only_matching_days(spark):
+    from proxyscope.sources.table import register_requests_table
+
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    lines = [make_line(ts=f"{d}/Feb/2026:10:00:00 +0000", url=f"http://h{d % 3}.example.com/p") for d in range(10, 20)]
+    _write_logs(f"{root}/logs", {"a.log": ("\n".join(lines) + "\n").encode()})
+    import_logs(spark, f"{root}/logs/*.log", f"{root}/requests")
+    table = register_requests_table(spark, "proxyscope_test_requests", f"{root}/requests")
+    assert table.count() == 10
+    bounded = R.top_hosts(table, "2026-02-12 00:00:00", "2026-02-13 23:59:59")
+    by_path = R.top_hosts(load_requests(spark, f"{root}/requests"), "2026-02-12 00:00:00", "2026-02-13 23:59:59")
+    assert bounded.collect() == by_path.collect()
+    assert "InMemoryFileIndex(2 paths)" in _plan(bounded)
+    spark.sql("DROP TABLE proxyscope_test_requests")
+    assert os.path.isdir(f"{root}/requests")
