@@ -39,11 +39,7 @@ def append_requests(
     requests: DataFrame, path: str, max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE
 ) -> None:
     """Append parsed rows to the table at ``path`` (created when missing)."""
-    out = (
-        requests.select(*REQUESTS_COLUMNS)
-        .withColumn("dt", F.to_date(F.col("ts")))
-        .sortWithinPartitions("dt", "ts")
-    )
+    out = requests.select(*REQUESTS_COLUMNS, F.to_date(F.col("ts")).alias("dt")).sortWithinPartitions("dt", "ts")
     (
         out.write.mode("append")
         .partitionBy("dt")
