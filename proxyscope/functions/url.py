@@ -199,21 +199,32 @@ def _puny_state(n: str, delta: str, bias: str, h: str, out: str) -> str:
 
 
 def punycode_sql(label: str) -> str:
-    """SQL: the punycode form of the string expression ``label`` (without the ``xn--`` prefix)."""
+    """SQL: the punycode form of the string expression ``label`` (without the ``xn--`` prefix).
+
+    For each distinct non-ASCII code point m (ascending) the RFC's delta is
+    built from counts of smaller code points: before m's first position, and
+    between consecutive positions of m; the count after its last position
+    carries over to the next m.
+    """
     chars = f"regexp_extract_all({label}, '(?s).', 0)"
     basic = f"array_join(filter({chars}, pc -> ascii(pc) < 128), '')"
-    b = f"length({basic})"
-    cps = f"transform({chars}, pc -> ascii(pc))"
+    # The code points and the number of basic ones are bound once (pcp, pb).
+    cps, b = "pcp", "pb"
     ms = f"array_sort(array_distinct(filter({cps}, pv -> pv >= 128)))"
+    n = f"size({cps})"
+
+    def smaller(start: str, length: str) -> str:
+        return f"size(filter(slice({cps}, {start}, {length}), px -> px < pm))"
+
     t = "CASE WHEN pd.k <= ps.bias THEN 1 WHEN pd.k >= ps.bias + 26 THEN 26 ELSE pd.k - ps.bias END"
     digits = (
-        "aggregate(sequence(1, 20), named_struct('q', ps.delta, 'k', CAST(36 AS BIGINT), 'done', false, 'out', ''), "
+        "aggregate(sequence(1, 20), named_struct('q', dq, 'k', CAST(36 AS BIGINT), 'done', false, 'out', ''), "
         "(pd, pj) -> CASE WHEN pd.done THEN pd "
         f"WHEN pd.q < ({t}) THEN named_struct('q', pd.q, 'k', pd.k, 'done', true, 'out', concat(pd.out, {_puny_digit('pd.q')})) "
         f"ELSE named_struct('q', (pd.q - ({t})) div (36 - ({t})), 'k', pd.k + 36, 'done', false, "
         f"'out', concat(pd.out, {_puny_digit(f'({t}) + (pd.q - ({t})) % (36 - ({t}))')})) END, pd -> pd.out)"
     )
-    d0 = f"(CASE WHEN ps.h = {b} THEN ps.delta div 700 ELSE ps.delta div 2 END)"
+    d0 = f"(CASE WHEN ps.h = {b} THEN dq div 700 ELSE dq div 2 END)"
     d1 = f"({d0} + {d0} div (ps.h + 1))"
     adapt = (
         f"aggregate(sequence(1, 20), named_struct('d', {d1}, 'k', CAST(0 AS BIGINT)), "
@@ -221,18 +232,24 @@ def punycode_sql(label: str) -> str:
         "pa -> pa.k + (36 * pa.d) div (pa.d + 38))"
     )
     emit = _puny_state("ps.n", "0", adapt, "ps.h + 1", f"concat(ps.out, {digits})")
-    per_char = (
-        f"(ps, pc) -> CASE WHEN pc < ps.n THEN {_puny_state('ps.n', 'ps.delta + 1', 'ps.bias', 'ps.h', 'ps.out')} "
-        f"WHEN pc = ps.n THEN {emit} ELSE ps END"
+    delta_t = (
+        f"CASE WHEN pt = 0 THEN ps.delta + {smaller('1', 'pos[0]')} "
+        f"ELSE CAST({smaller('pos[pt - 1] + 2', 'pos[pt] - pos[pt - 1] - 1')} AS BIGINT) END"
     )
+    per_occurrence = f"(ps, pt) -> transform(array(CAST({delta_t} AS BIGINT)), dq -> {emit})[0]"
     start_m = _puny_state("pm", "st.delta + CAST(pm - st.n AS BIGINT) * (st.h + 1)", "st.bias", "st.h", "st.out")
-    after_m = _puny_state("ps.n + 1", "ps.delta + 1", "ps.bias", "ps.h", "ps.out")
-    per_m = f"(st, pm) -> aggregate({cps}, {start_m}, {per_char}, ps -> {after_m})"
+    tail = smaller("element_at(pos, -1) + 2", f"{n} - element_at(pos, -1) - 1")
+    after_m = _puny_state("ps.n + 1", f"{tail} + 1", "ps.bias", "ps.h", "ps.out")
+    per_m = (
+        f"(st, pm) -> transform(array(filter(sequence(0, {n} - 1), pi -> {cps}[pi] = pm)), pos -> "
+        f"aggregate(sequence(0, size(pos) - 1), {start_m}, {per_occurrence}, ps -> {after_m}))[0]"
+    )
     init = _puny_state("128", "0", "72", b, "''")
-    return (
+    body = (
         f"concat(CASE WHEN {b} > 0 THEN concat({basic}, '-') ELSE '' END, "
         f"aggregate({ms}, {init}, {per_m}, st -> st.out))"
     )
+    return _let(f"transform({chars}, pc -> ascii(pc))", cps, _let(f"length({basic})", b, body))
 
 
 def idna_sql(host: str) -> str:
