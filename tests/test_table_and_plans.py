@@ -133,5 +133,12 @@ def test_catalog_table_lists_only_matching_days(spark):
     by_path = R.top_hosts(load_requests(spark, f"{root}/requests"), "2026-02-12 00:00:00", "2026-02-13 23:59:59")
     assert bounded.collect() == by_path.collect()
     assert "InMemoryFileIndex(2 paths)" in _plan(bounded)
+
+    # A later import adds days; registering again records them.
+    _write_logs(f"{root}/logs2", {"b.log": (make_line(ts="25/Feb/2026:10:00:00 +0000") + "\n").encode()})
+    import_logs(spark, f"{root}/logs2/*.log", f"{root}/requests")
+    table = register_requests_table(spark, "proxyscope_test_requests", f"{root}/requests")
+    assert table.count() == 11
+    assert spark.sql("SHOW PARTITIONS proxyscope_test_requests").count() == 11
     spark.sql("DROP TABLE proxyscope_test_requests")
     assert os.path.isdir(f"{root}/requests")
