@@ -5,7 +5,9 @@ import datetime as dt
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from oracle.sql import oracle_queries
+from proxyscope.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,14 +34,14 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(oracle_queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle_queries()))
 def test_query_matches_oracle(spark, con, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = _bag(df.columns, [tuple(r) for r in df.collect()])
-    res = con.execute(oracle_sql()[name])
+    res = con.execute(oracle_queries()[name])
     want = _bag([d[0] for d in res.description], res.fetchall())
     assert sorted(df.columns) == sorted(d[0] for d in res.description)
     assert got == want
