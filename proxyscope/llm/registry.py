@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from proxyscope.llm import mixing
+from proxyscope.llm import chat, fingerprint, mixing
 
 QUERIES = {
+    "op4_chat_format": chat.op4_chat_format,
+    "op5_fingerprints": fingerprint.op5_fingerprints,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op4_chat_format": chat.OP4_SQL,
+    "op5_fingerprints": fingerprint.OP5_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
