@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from proxyscope.llm import chat, fingerprint, mixing
+from proxyscope.llm import chat, fingerprint, mixing, packing
 
 QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_fingerprints": fingerprint.op5_fingerprints,
+    "op6_pack": packing.op6_pack,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
