@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from proxyscope.llm import chat, fingerprint, langid, mixing, packing
+from proxyscope.llm import chat, fingerprint, langid, lines, mixing, packing
 
 QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_pack": packing.op6_pack,
+    "op8_substring_dedup": lines.op8_substring_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
