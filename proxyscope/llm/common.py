@@ -71,11 +71,6 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, tasks: int) -> DataFrame:
-    """Even out a small or unevenly split table over at least ``tasks`` tasks."""
-    return df.repartition(tasks)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column without nulls, without copying."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,8 +82,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of about ``limit`` bytes: first row, end row, their bytes, and their
+def slices(column: pa.Array, limit: int = SLICE_BYTES, most_rows: int = 1 << 10) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most ``most_rows`` rows and about ``limit`` bytes: first row, end row, their bytes, and their
     offsets into these. One longer text is a slice of its own."""
     if not len(column):
         return
@@ -96,7 +91,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     start, n = 0, len(offsets) - 1
     while start < n:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(max(end, start + 1), n)
+        end = min(max(end, start + 1), start + most_rows, n)
         yield start, end, data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
         start = end
 

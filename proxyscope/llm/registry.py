@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from proxyscope.llm import chat, fingerprint, langid, lines, mixing, packing
+from proxyscope.llm import chat, embedding_dedup, fingerprint, langid, lines, mixing, packing
 
 QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_pack": packing.op6_pack,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_substring_dedup": lines.op8_substring_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_mix_sources": mixing.op10_mix_sources,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_chat_format": chat.OP4_SQL,
     "op5_fingerprints": fingerprint.OP5_SQL,
+    "op7_embedding_dedup": embedding_dedup.OP7_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
