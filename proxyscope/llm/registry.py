@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from proxyscope.llm import chat, embedding_dedup, fingerprint, langid, lines, mixing, packing
+from proxyscope.llm import chat, embedding_dedup, fingerprint, jaccard, langid, lines, mixing, packing
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op4_chat_format": chat.op4_chat_format,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_pack": packing.op6_pack,
