@@ -11,10 +11,14 @@ shuffles move (doc_id, size) rows, partially summed wherever a total is meant.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proxyscope.llm.common import WORD, read, text_or_empty
+from proxyscope.llm.common import WORD, Words, read, text_or_empty
 
 # Fixed values of the production mix.
 WEIGHTS = (5, 2, 1)
@@ -87,19 +91,16 @@ def sainte_lague(parties: DataFrame, keys: list[str], tie: list[Column]) -> Data
     )
 
 
-def mix_sources(
+def placed_documents(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
     block: int = BLOCK,
     max_repeats: int = MAX_REPEATS,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size,
-    target, taken (words the mix takes; repeats count each time).
-
-    Null text has size 0; a null source is a source of its own; rows that repeat count each
-    for itself; no rows give no rows. Other columns are ignored.
-    """
+    """Each row of ``docs`` (doc_id, text, source) at its place in its source's stream, with
+    what its shard takes: doc_id, source, size, source_size, target and ``parts``, an array
+    of (start, end, times): word numbers in the document and how often they are taken."""
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
     rows = docs.select("doc_id", "source", n_words(text_or_empty()).alias("size"), digest.alias("digest"))
     rows = rows.withColumn("shard", F.substring("digest", 1, 2))
@@ -141,16 +142,83 @@ def mix_sources(
     d = d.join(s, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
     d = d.withColumn("end", F.col("end") + F.col("offset")).withColumn("start", F.col("end") - F.col("size"))
 
-    def words(b: Column) -> Column:
-        inside = F.least(F.col("end"), (b + 1) * block) - F.greatest(F.col("start"), b * block)
-        return inside * F.when(b < F.col("first"), F.col("before")).otherwise(_passes(b - F.col("first")))
+    def part(b: Column) -> Column:
+        times = F.when(b < F.col("first"), F.col("before")).otherwise(_passes(b - F.col("first")))
+        low = F.greatest(F.col("start"), b * block) - F.col("start")
+        high = F.least(F.col("end"), (b + 1) * block) - F.col("start")
+        return F.struct(low.alias("start"), high.alias("end"), times.cast("long").alias("times"))
 
     blocks = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))
-    taken = F.aggregate(blocks, F.lit(0).cast("long"), lambda total, b: total + words(b))
-    return d.select(
-        "doc_id", "source", "size", "source_size", "target",
-        F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"),
-    )
+    parts = F.when(F.col("size") > 0, F.transform(blocks, part))
+    return d.select("doc_id", "source", "size", "source_size", "target", parts.alias("parts"))
+
+
+def mix_sources(docs: DataFrame, **mix) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size,
+    target, taken (words the mix takes; repeats count each time).
+
+    Null text has size 0; a null source is a source of its own; rows that repeat count each
+    for itself; no rows give no rows. Other columns are ignored.
+    """
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda t, p: t + (p["end"] - p["start"]) * p["times"])
+    return placed_documents(docs, **mix).select(
+        "doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0).cast("long")).alias("taken")
+    )
+
+
+def _copies(text: str, parts: list[dict]) -> Iterator[str]:
+    """The text of each pass over a document: the whole text, or the parts it takes, with
+    parts that do not adjoin on lines of their own."""
+    raw = text.encode()
+    data = np.frombuffer(raw, dtype=np.uint8)
+    words = Words(data, np.array([0, len(raw)]))
+    for turn in range(1, max(p["times"] for p in parts) + 1):
+        runs: list[list[int]] = []
+        for p in parts:
+            if p["times"] < turn:
+                continue
+            if runs and runs[-1][1] == p["start"]:
+                runs[-1][1] = p["end"]
+            else:
+                runs.append([p["start"], p["end"]])
+        if runs == [[0, len(words.start)]]:
+            yield text
+        else:
+            yield b"\n".join(raw[words.start[a] : words.end[b - 1]] for a, b in runs).decode()
+
+
+def mixed_documents(docs: DataFrame, **mix) -> DataFrame:
+    """The mix itself: ``docs``, all columns, with one row for each pass that takes words of
+    the document and in ``text`` the words it takes (``n_chars`` follows the text).
+    Documents of which no words are taken go."""
+    size = n_words(text_or_empty())
+    same = [F.col("doc_id"), F.col("source"), size]
+    turn = F.row_number().over(Window.partitionBy(*same).orderBy("doc_id"))
+    place = placed_documents(docs, **mix).withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")))
+    taken = F.filter("parts", lambda p: p["times"] > 0)
+    place = place.select(
+        F.struct("doc_id", "source", "size", "turn").alias("mix_key"), taken.alias("mix_parts")
+    ).where(F.size("mix_parts") > 0)
+    key = F.struct("doc_id", "source", size.alias("size"), turn.alias("turn"))
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
+    joined = left.join(place, F.col("key").eqNullSafe(F.col("mix_key"))).select("row.*", "mix_parts")
+    at = docs.columns.index("text")
+    length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts = [], []
+            for i, (text, parts) in enumerate(zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                for copy in _copies(text, parts):
+                    rows.append(i)
+                    texts.append(copy)
+            columns = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+            columns[at] = pa.array(texts, columns[at].type)
+            if length is not None:
+                columns[length] = pa.array([len(t) for t in texts], columns[length].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+
+    return joined.mapInArrow(work, docs.schema)
 
 
 def _passes(i: Column) -> Column:

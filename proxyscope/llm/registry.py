@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from proxyscope.llm import chat, embedding_dedup, fingerprint, jaccard, langid, lines, mixing, packing
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_substring_dedup": lines.op8_substring_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
@@ -21,3 +23,5 @@ ORACLE_SQL = {
     "op7_embedding_dedup": embedding_dedup.OP7_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
