@@ -123,20 +123,23 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# Everything in ASCII that is not a letter; bytes of other characters count as letters.
+NOT_LETTER = np.arange(256) < 128
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = False
 
 
 class Words:
     """The words of a slice of texts: byte ranges, hashes and the row that holds each.
 
-    Words are split at the six ASCII white-space characters and hashed (64 bits) with A-Z
-    in lower case; texts are kept apart even without white space between them.
+    Words are split at the bytes marked in ``between`` (the six ASCII white-space characters)
+    and hashed (64 bits) with A-Z in lower case; texts are kept apart even without white space between them.
     """
 
     __slots__ = ("start", "end", "hash", "row", "first")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE):
         n = len(data)
-        space = _SPACE[data]
+        space = between[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets[offsets <= n]] = True
         inside = ~space
