@@ -62,12 +62,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: cuts the lineage,
-    so that a lost executor repeats only what follows."""
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder (in parts by a column) and read it again:
+    cuts the lineage, so that a lost executor repeats only what follows."""
     spark = df.sparkSession
     path = f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

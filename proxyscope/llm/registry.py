@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from proxyscope.llm import chat, embedding_dedup, fingerprint, jaccard, langid, lines, mixing, packing, toxicity
+from proxyscope.llm import chat, embedding_dedup, fingerprint, jaccard, langid, lines, lm_score, mixing, packing, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
+    "op2_ctw_score": lm_score.op2_ctw_score,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_chat_format": chat.op4_chat_format,
     "op5_fingerprints": fingerprint.op5_fingerprints,
