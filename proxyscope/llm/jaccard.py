@@ -226,6 +226,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("text_of"), text_or_empty().alias("text"))
     of = members.join(texts, F.col("least").eqNullSafe(F.col("text_of")))
     listed = _shingle_rows(of.select("node", "component", "copies", "blocks", "text"))
+    if _repeated(known).limit(1).count():  # the text of a node may then come more than once
+        listed = listed.dropDuplicates(["node"])
     found = stage(per_cell(cells(listed, "component", F.col("blocks")), verified_links, "node binary, links long, root binary"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -266,18 +268,22 @@ def _shingle_rows(rows: DataFrame) -> DataFrame:
     return out
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """doc_ids of more than one row, as ``twice``."""
+    return rows.groupBy(F.col("doc_id").alias("twice")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("twice")
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, without the documents that are not the first of their class.
     Of rows that repeat a doc_id and a class one stays."""
     classes = stage(jaccard_classes(docs).select("doc_id", "class_id"))
     drop = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["gone"]), "left_anti")
+    again = _repeated(classes)
     if again.limit(1).count():  # repeated ids are rare: only then are whole rows compared
-        twice = again.select(F.col("doc_id").alias("twice"))
-        same = F.col("doc_id").eqNullSafe(F.col("twice"))
-        single = kept.join(twice, same, "left_anti")
-        return single.unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        same = kept["doc_id"].eqNullSafe(again["twice"])
+        single = kept.join(again, same, "left_anti")
+        return single.unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept
 
 

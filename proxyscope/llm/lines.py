@@ -150,7 +150,7 @@ def _cut(text: pa.Array, spans: pa.Array) -> tuple[list, list]:
 def spans_by_document(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id (as ``span_doc``) and ``spans``, an array of (start, end)."""
     spans = repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("span_doc"))
-    return spans.agg(F.collect_list(F.struct("start", "end")).alias("repeated_spans"))
+    return spans.agg(F.collect_list(F.struct("start", "end")).alias("_repeated_spans"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     at = docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["span_doc"]), "left")
-    joined = joined.select(*[docs[c] for c in docs.columns], spans["repeated_spans"])
+    joined = joined.select(*[docs[c] for c in docs.columns], spans["_repeated_spans"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,12 +187,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     spans = spans_by_document(docs, min_words)
     rows = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("span_doc")), "left")
-    rows = rows.select("doc_id", "text", "repeated_spans")
+    rows = rows.select("doc_id", "text", "_repeated_spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            text, spans = _cut(batch.column("text"), batch.column("repeated_spans"))
+            text, spans = _cut(batch.column("text"), batch.column("_repeated_spans"))
             removed = [sum(s["end"] - s["start"] for s in cut) for cut in spans]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(text, batch.column("text").type), pa.array(spans, kind), pa.array(removed, pa.int64())],

@@ -197,11 +197,11 @@ def mixed_documents(docs: DataFrame, **mix) -> DataFrame:
     place = placed_documents(docs, **mix).withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")))
     taken = F.filter("parts", lambda p: p["times"] > 0)
     place = place.select(
-        F.struct("doc_id", "source", "size", "turn").alias("mix_key"), taken.alias("mix_parts")
-    ).where(F.size("mix_parts") > 0)
+        F.struct("doc_id", "source", "size", "turn").alias("mix_key"), taken.alias("_mix_parts")
+    ).where(F.size("_mix_parts") > 0)
     key = F.struct("doc_id", "source", size.alias("size"), turn.alias("turn"))
-    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
-    joined = left.join(place, F.col("key").eqNullSafe(F.col("mix_key"))).select("row.*", "mix_parts")
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key.alias("_key"))
+    joined = left.join(place, F.col("_key").eqNullSafe(F.col("mix_key"))).select("_row.*", "_mix_parts")
     at = docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
