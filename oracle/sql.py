@@ -10,8 +10,7 @@ result does not depend on DuckDB's time zone setting.
 
 from __future__ import annotations
 
-from proxyscope.functions.fields import LINE_PATTERN
-from proxyscope.plans.registry import FROM_START, RANGE_END, RANGE_START, UNTIL_END
+from proxyscope.plans.registry import FROM_START, NO_DATA, RANGE_END, RANGE_START, UNTIL_END
 
 
 def _lit(s: str) -> str:
@@ -28,7 +27,15 @@ _UA = (
     "WHEN 6 THEN 'curl/8.4.0' WHEN 7 THEN '-' ELSE '' END"
 )
 
-_RE = _lit(LINE_PATTERN)
+# The line, written here on its own: three fields, a bracketed time, the quoted request
+# (method, target, version), status, bytes, and two quoted fields, all apart by white space.
+# A status is three digits of any script.
+_FIELD, _GAP, _QUOTED = r"(\S+)", r"\s+", r'"([^"]*)"'
+_PIECES = [
+    *[_FIELD] * 3, r"\[([^\]]+)\]", r'"' + _FIELD + _GAP + _FIELD + _GAP + r'([^"]+)"',
+    r"(\p{Nd}{3})", _FIELD, *[_QUOTED] * 2,
+]
+_RE = _lit("^" + _GAP.join(_PIECES) + r"\s*$")
 
 BASE = f"""
 WITH np AS (SELECT count(*) AS n_pages FROM pages),
@@ -41,6 +48,8 @@ lines AS (
     '10.0.' || CAST(u % 4 AS VARCHAR) || '.' || CAST(u % 250 AS VARCHAR) || ' - '
     || CASE WHEN u % 10 = 0 THEN '-' ELSE 'u' || CAST(u AS VARCHAR) END
     || ' [' || CASE WHEN id % 83 = 0 THEN '31/Feb/2024:00:00:00 +0000'
+                    WHEN id % 31 = 0 THEN strftime(ts + INTERVAL 330 MINUTE, '%d/%b/%Y:%H:%M:%S') || ' +0530'
+                    WHEN id % 37 = 0 THEN strftime(ts - INTERVAL 480 MINUTE, '%d/%b/%Y:%H:%M:%S') || ' -0800'
                     ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000' END || '] "'
     || CASE WHEN id % 13 = 0 THEN 'CONNECT' WHEN kind = 'purchase' THEN 'POST' ELSE 'GET' END || ' '
     || CASE WHEN id % 13 = 0 THEN 'www.example.org:443'
@@ -51,15 +60,16 @@ lines AS (
             WHEN id % 5 = 1 THEN replace(page_url, '.example.', '.EXAMPLE.')
             ELSE page_url END
     || ' HTTP/1.1" '
-    || CAST(CASE WHEN id % 101 = 0 THEN 101
+    || CASE WHEN id % 103 = 0 THEN '４０４' ELSE CAST(CASE WHEN id % 101 = 0 THEN 101
                  WHEN kind = 'error' AND id % 3 = 0 THEN 500
                  WHEN kind = 'error' AND id % 3 = 1 THEN 404
                  WHEN kind = 'error' THEN 403
                  WHEN kind = 'click' AND id % 4 = 0 THEN 302
                  WHEN kind = 'signup' THEN 304
-                 WHEN kind = 'purchase' THEN 201 ELSE 200 END AS VARCHAR) || ' '
+                 WHEN kind = 'purchase' THEN 201 ELSE 200 END AS VARCHAR) END || ' '
     || CASE WHEN id % 89 = 0 THEN 'abc' WHEN id % 9 = 0 THEN '-'
-            ELSE CAST(CAST(floor(value * 10000) AS BIGINT) AS VARCHAR) END
+            ELSE CASE WHEN id % 41 = 0 THEN '+' WHEN id % 43 = 0 THEN '-' ELSE '' END
+                 || CAST(CAST(floor(value * 10000) AS BIGINT) AS VARCHAR) END
     || ' "' || CASE WHEN id % 23 = 0 THEN '' WHEN id % 29 = 0 THEN ' TR '
                     ELSE chr(CAST(65 + u % 25 AS INTEGER)) || chr(CAST(65 + (u * 7) % 26 AS INTEGER)) END
     || '" "' || {_UA} || '"'
@@ -79,8 +89,8 @@ t AS (
     try_strptime(split_part(g4, ' ', 1), '%d/%b/%Y:%H:%M:%S')
       - to_minutes(CAST(CASE WHEN substr(g4, -5, 1) = '-' THEN -1 ELSE 1 END
           * (TRY_CAST(substr(g4, -4, 2) AS INTEGER) * 60 + TRY_CAST(substr(g4, -2, 2) AS INTEGER)) AS BIGINT)) AS ts,
-    TRY_CAST(g8 AS INTEGER) AS status,
-    CASE WHEN g9 = '-' THEN NULL ELSE TRY_CAST(g9 AS BIGINT) END AS bytes,
+    CASE WHEN regexp_full_match(g8, '[0-9]+') THEN CAST(g8 AS INTEGER) END AS status,
+    CASE WHEN g9 = '-' THEN NULL ELSE TRY_CAST(regexp_replace(g9, '^[+]', '') AS BIGINT) END AS bytes,
     regexp_extract(g6, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme_raw
   FROM g
 ),
@@ -157,8 +167,7 @@ def _where(start: str | None, end: str | None, extra: str | None = None) -> str:
     return ("WHERE " + " AND ".join(conds)) if conds else ""
 
 
-def requests_over_time(start=None, end=None) -> str:
-    limit = "LIMIT 200" if start is None and end is None else ""
+def requests_over_time(start=None, end=None, limit="") -> str:
     return (
         f"SELECT {_HOUR} AS t, count(*) AS n FROM requests {_where(start, end)} "
         f"GROUP BY date_trunc('hour', ts) ORDER BY date_trunc('hour', ts) {limit}"
@@ -187,11 +196,12 @@ def top_countries(start=None, end=None, limit=20) -> str:
     )
 
 
-def bandwidth_over_time(start=None, end=None) -> str:
-    limit = "LIMIT 200" if start is None and end is None else ""
+def bandwidth_over_time(start=None, end=None, limit="") -> str:
+    # mebibytes of the hour's total; the cast rounds a tie to the even neighbour
     return (
-        f"SELECT {_HOUR} AS t, CAST(SUM(COALESCE(bytes, 0)) / 1024.0 / 1024.0 AS BIGINT) AS mb "
-        f"FROM requests {_where(start, end)} GROUP BY date_trunc('hour', ts) ORDER BY date_trunc('hour', ts) {limit}"
+        f"SELECT strftime(h, '%Y-%m-%d %H:%M:%S') || '+00' AS t, CAST(total / {float(1 << 20)} AS BIGINT) AS mb FROM "
+        "(SELECT date_trunc('hour', ts) AS h, coalesce(sum(bytes), 0) AS total "
+        f"FROM requests {_where(start, end)} GROUP BY h) ORDER BY h {limit}"
     )
 
 
@@ -203,12 +213,12 @@ def hourly_heatmap(start=None, end=None) -> str:
 
 
 def error_analysis(start=None, end=None) -> str:
+    # errors are statuses from 400; those from 500 are the server's, the rest the client's
     return (
-        "SELECT host, count(*) AS errors, "
-        "CAST(SUM(CASE WHEN status >= 500 THEN 1 ELSE 0 END) AS BIGINT) AS server_errors, "
-        "CAST(SUM(CASE WHEN status >= 400 AND status < 500 THEN 1 ELSE 0 END) AS BIGINT) AS client_errors "
-        f"FROM requests {_where(start, end, 'status >= 400')} "
-        "GROUP BY host ORDER BY errors DESC, host ASC NULLS LAST LIMIT 10"
+        "SELECT host, server + client AS errors, server AS server_errors, client AS client_errors FROM "
+        "(SELECT host, count(*) FILTER (WHERE status BETWEEN 400 AND 499) AS client, "
+        f"count(*) FILTER (WHERE status > 499) AS server FROM requests {_where(start, end)} GROUP BY host) "
+        "WHERE server + client > 0 ORDER BY errors DESC, host ASC NULLS LAST LIMIT 10"
     )
 
 
@@ -220,18 +230,24 @@ def top_paths(start=None, end=None) -> str:
     )
 
 
+# Browser families in order of precedence: name, marks of which one must occur,
+# mark that must not. Matching is case-sensitive; what matches none is "Other".
+FAMILIES = [
+    ("Chrome", ["Chrome"], "Edg"), ("Firefox", ["Firefox"], None), ("Safari", ["Safari"], "Chrome"),
+    ("Edge", ["Edg"], None), ("Opera", ["Opera"], None), ("Bot", ["bot", "Bot"], None),
+]
+
+
 def user_agents(start=None, end=None) -> str:
+    values = ", ".join(f"({i}, {_lit(name)}, {marks!r}, {_lit(no or '')})" for i, (name, marks, no) in enumerate(FAMILIES))
     return (
-        "SELECT CASE "
-        "WHEN user_agent LIKE '%Chrome%' AND user_agent NOT LIKE '%Edg%' THEN 'Chrome' "
-        "WHEN user_agent LIKE '%Firefox%' THEN 'Firefox' "
-        "WHEN user_agent LIKE '%Safari%' AND user_agent NOT LIKE '%Chrome%' THEN 'Safari' "
-        "WHEN user_agent LIKE '%Edg%' THEN 'Edge' "
-        "WHEN user_agent LIKE '%Opera%' THEN 'Opera' "
-        "WHEN user_agent LIKE '%bot%' OR user_agent LIKE '%Bot%' THEN 'Bot' "
-        "ELSE 'Other' END AS browser, count(*) AS n "
-        f"FROM requests {_where(start, end, 'user_agent IS NOT NULL')} "
-        "GROUP BY 1 ORDER BY n DESC, browser ASC NULLS LAST"
+        "SELECT coalesce(family, 'Other') AS browser, CAST(sum(n) AS BIGINT) AS n FROM "
+        "(SELECT a.user_agent, any_value(a.n) AS n, arg_min(f.family, f.pos) AS family FROM "
+        f"(SELECT user_agent, count(*) AS n FROM requests {_where(start, end, 'user_agent IS NOT NULL')} GROUP BY user_agent) a "
+        f"LEFT JOIN (VALUES {values}) f(pos, family, marks, no) "
+        "ON len(list_filter(f.marks, lambda m: contains(a.user_agent, m))) > 0 "
+        "AND NOT (f.no <> '' AND contains(a.user_agent, f.no)) GROUP BY a.user_agent) "
+        "GROUP BY browser ORDER BY n DESC, browser ASC NULLS LAST"
     )
 
 
@@ -274,6 +290,20 @@ _PARSE_ONLY = {
 
 _REPORTS = {
     "requests_over_time": requests_over_time(),
+    "requests_over_time_first_200": requests_over_time(limit="LIMIT 200"),
+    "bandwidth_over_time_first_200": bandwidth_over_time(limit="LIMIT 200"),
+    "bandwidth_over_time_until": bandwidth_over_time(None, UNTIL_END),
+    "requests_over_time_range_dt": requests_over_time(RANGE_START, RANGE_END),
+    "top_hosts_range_dt": top_hosts(RANGE_START, RANGE_END),
+    "status_codes_until_dt": status_codes(None, UNTIL_END),
+    "requests_by_day": "SELECT CAST(ts AS DATE) AS dt, count(*) AS n FROM requests GROUP BY 1",
+    "top_hosts_from": top_hosts(FROM_START, None),
+    "top_hosts_until": top_hosts(None, UNTIL_END),
+    "status_codes_from": status_codes(FROM_START, None),
+    "status_codes_until": status_codes(None, UNTIL_END),
+    "top_countries_from": top_countries(FROM_START, None),
+    "top_countries_until": top_countries(None, UNTIL_END),
+    "top_hosts_no_data": top_hosts(NO_DATA, None),
     "requests_over_time_range": requests_over_time(RANGE_START, RANGE_END),
     "requests_over_time_from": requests_over_time(FROM_START, None),
     "requests_over_time_until": requests_over_time(None, UNTIL_END),
@@ -306,6 +336,7 @@ def oracle_queries() -> dict[str, str]:
     """name -> complete DuckDB statement."""
     out = {name: BASE + sql for name, sql in {**_PARSE_ONLY, **_REPORTS}.items()}
     out["report_document"] = BASE + report_documents()
+    out["report_document_no_data"] = BASE + report_documents((NO_DATA, None))
     return out
 
 
@@ -327,11 +358,11 @@ _DOCS = [
 ]
 
 
-def report_documents() -> str:
+def report_documents(bounds=(None, None)) -> str:
     parts = []
     for name, key, cols, order in _DOCS:
         obj = "json_object(" + ", ".join(f"{_lit(c)}, {c}" for c in cols) + ")"
-        inner = _REPORTS[name]
+        inner = globals()[name](*bounds)
         parts.append(
             f"SELECT {_lit(name)} AS report, CAST(json_object({_lit(key)}, "
             f"(SELECT coalesce(to_json(list({obj} ORDER BY {order})), '[]'::JSON) FROM ({inner}) r)) AS VARCHAR) AS doc"

@@ -113,18 +113,30 @@ def parse_bytes(c: Column) -> Column:
     return F.when(c.rlike(r"^[+-]?[0-9]+\z"), c.try_cast("bigint"))
 
 
+# Time keys are arithmetic on the instant, so they mean UTC in any session zone.
+def utc_day(ts: Column) -> Column:
+    """UTC date of an instant (foldable, so a bound on it still prunes partitions)."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
+
+
 def hour_bucket(ts: Column) -> Column:
-    return F.date_trunc("hour", ts)
+    """Hours since 1970-01-01 00:00 UTC."""
+    return F.floor(F.unix_seconds(ts) / 3600)
+
+
+def hour_text(hours: Column) -> Column:
+    """Hour bucket as text with its UTC offset, e.g. ``2026-02-15 00:00:00+00``."""
+    day = F.date_from_unix_date(F.floor(hours / 24).cast("int")).cast("string")
+    return F.concat(day, F.lit(" "), F.lpad(F.pmod(hours, F.lit(24)).cast("string"), 2, "0"), F.lit(":00:00+00"))
 
 
-def hour_text(t: Column) -> Column:
-    """Hour as text with its UTC offset, e.g. ``2026-02-15 00:00:00+00``."""
-    return F.date_format(t, "yyyy-MM-dd HH:mm:ssx")
+def hour_of_day(ts: Column) -> Column:
+    return F.pmod(hour_bucket(ts), F.lit(24)).cast("int")
 
 
 def weekday_sun0(ts: Column) -> Column:
-    """Day of week with Sunday = 0."""
-    return (F.dayofweek(ts) - 1).cast("int")
+    """Day of week with Sunday = 0 (1970-01-01 was a Thursday)."""
+    return F.pmod(F.floor(F.unix_seconds(ts) / 86400) + 4, F.lit(7)).cast("int")
 
 
 # Browser families, first match wins (case-sensitive substrings):

@@ -1,14 +1,13 @@
-"""The whole dashboard from one scan.
+"""The reports with few keys from one scan, as documents.
 
-Running the nine reports one by one reads the table nine times. Here the
-rows of the time range are read once and aggregated once with
-``GROUPING SETS`` (one set per report key: hour, host, status, country, path,
-browser, hour-of-day x weekday), with partial aggregation before a single
-shuffle. Every report is then a filter on ``grouping_id`` plus its own order
-and limit over that small aggregated result; the shuffle that produces it is
-one exchange that Spark reuses for all reports (``ReusedExchange``).
+Hours, statuses, browser families and hour-of-day x weekday cells are few, so their counts
+come from one ``GROUPING SETS`` aggregate (partial aggregation before a single shuffle) and
+their seven documents from one more aggregate over its small result. Hosts, countries and
+paths may be many: each of their four reports is a scan of its own two columns with its own
+top-k, so a long list of paths never shares a hash table with the rest. Nothing is written
+and nothing runs before the caller acts on the frame.
 
-The results equal the standalone reports (checked in the tests).
+The documents equal those of the standalone reports (checked in the tests).
 """
 
 from __future__ import annotations
@@ -21,123 +20,87 @@ from proxyscope.functions.fields import (
     WEEKDAY_NAMES,
     browser_family,
     hour_bucket,
+    hour_of_day,
     hour_text,
     status_class,
     weekday_sun0,
 )
 from proxyscope.operators.filters import Bound, time_range
-from proxyscope.operators.reports import (
-    SERIES_LIMIT,
-    TOP_COUNTRIES,
-    TOP_ERROR_HOSTS,
-    TOP_HOSTS,
-    TOP_PATHS,
-    exact_sum,
-    exact_sum_parts,
-)
+from proxyscope.operators.reports import exact_sum, exact_sum_parts
 
-KEYS = ["h", "host", "status", "country", "path", "browser", "hod", "dow"]
-SETS = {
-    "hour": ["h"],
-    "host": ["host"],
-    "status": ["status"],
-    "country": ["country"],
-    "path": ["path"],
-    "browser": ["browser"],
-    "cell": ["hod", "dow"],
-}
+KEYS = ["h", "status", "browser", "hod", "dow"]
+SETS = {"hour": ["h"], "status": ["status"], "browser": ["browser"], "cell": ["hod", "dow"]}
 # grouping_id(): bit (n-1-i) is set when KEYS[i] is not part of the set.
 GID = {
     name: sum(1 << (len(KEYS) - 1 - i) for i, k in enumerate(KEYS) if k not in cols) for name, cols in SETS.items()
 }
 
 
-def dashboard_groups(requests: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
-    """One aggregate for all reports: a row per (grouping set, key)."""
+def small_groups(requests: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
+    """One aggregate: a row per (grouping set, key) of the small key sets."""
     ts, ua = F.col("ts"), F.col("user_agent")
     rows = time_range(requests, start, end).select(
         hour_bucket(ts).alias("h"),
-        "host",
         "status",
-        "country",
-        "path",
         F.when(ua.isNotNull(), browser_family(ua)).alias("browser"),
-        F.hour(ts).cast("int").alias("hod"),
+        hour_of_day(ts).alias("hod"),
         weekday_sun0(ts).alias("dow"),
         F.coalesce(F.col("bytes"), F.lit(0).cast("bigint")).alias("b"),
     )
-    status = F.col("status")
     return rows.groupingSets([SETS[name] for name in SETS], *KEYS).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(status >= 400).alias("errors"),
-        F.count_if(status >= 500).alias("server_errors"),
-        F.count_if((status >= 400) & (status < 500)).alias("client_errors"),
-        *exact_sum_parts(F.col("b"), "b"),
-        F.grouping_id().alias("gid"),
+        F.count(F.lit(1)).alias("n"), *exact_sum_parts(F.col("b"), "b"), F.grouping_id().alias("gid")
     )
 
 
-def _set(groups: DataFrame, name: str) -> DataFrame:
-    return groups.where(F.col("gid") == GID[name])
+def _rows(name: str, *fields: Column) -> Column:
+    """The rows of one set as an array, ordered by their fields."""
+    return F.array_sort(F.collect_list(F.when(F.col("gid") == GID[name], F.struct(*fields))))
+
 
+def _total(rows: str, key, value) -> Column:
+    """Sum of ``n`` over the rows whose ``key`` is ``value``."""
+    chosen = F.filter(rows, lambda r: key(r) == F.lit(value))
+    return F.aggregate(chosen, F.lit(0).cast("bigint"), lambda total, r: total + r["n"])
 
-def _top(df: DataFrame, key: str, count: str, limit: int | None) -> DataFrame:
-    out = df.orderBy(F.col(count).desc(), F.col(key).asc_nulls_last())
-    return out.limit(limit) if limit is not None else out
 
+def small_documents(requests: DataFrame, start: Bound = None, end: Bound = None, first_hours: int | None = None) -> DataFrame:
+    """``report``, ``doc`` of the seven reports with few keys."""
+    mb = F.rint(exact_sum("b").cast("double") / F.lit(1024.0) / F.lit(1024.0)).cast("bigint")
+    n, less = F.col("n"), (-F.col("n")).alias("less")
+    one = small_groups(requests, start, end).agg(
+        _rows("hour", F.col("h"), n, mb.alias("mb")).alias("hours"),
+        _rows("status", less, F.col("status"), n).alias("statuses"),
+        _rows("browser", less, F.col("browser"), n).alias("browsers"),
+        _rows("cell", F.col("hod").alias("hour"), F.col("dow").alias("day"), n).alias("cells"),
+    )
+    hours = F.col("hours") if first_hours is None else F.slice("hours", 1, first_hours)
 
-def _series(groups: DataFrame, bounded: bool, value: Column, name: str) -> DataFrame:
-    out = _set(groups, "hour").select("h", value.alias(name)).orderBy("h")
-    if not bounded:
-        out = out.limit(SERIES_LIMIT)
-    return out.select(hour_text(F.col("h")).alias("t"), name)
+    def picked(rows: Column | str, *fields: str) -> Column:
+        return F.transform(rows, lambda r: F.struct(*[r[f].alias(f) for f in fields]))
 
+    def series(field: str) -> Column:
+        return F.transform(hours, lambda r: F.struct(hour_text(r["h"]).alias("t"), r[field].alias(field)))
 
-def dashboard_reports(groups: DataFrame, bounded: bool) -> dict[str, DataFrame]:
-    """Every report frame, derived from :func:`dashboard_groups`."""
-    mb = F.rint(exact_sum("b").cast("double") / F.lit(1024.0) / F.lit(1024.0)).cast("bigint")
-    status_rows = _set(groups, "status")
-    cells = _set(groups, "cell")
-    paths = _set(groups, "path").where(F.col("path").isNotNull() & (F.col("path") != "/"))
-    top_paths = _top(paths, "path", "n", TOP_PATHS)
-    avg_kb = (exact_sum("b").cast("double") / F.col("n").cast("double") / F.lit(1024.0)).cast("bigint")
-    cls = status_class(F.col("status"))
-    classes = status_rows.agg(
-        *[F.coalesce(F.sum(F.when(cls == k, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, k in enumerate(STATUS_CLASSES)]
-    ).select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("class"), F.col(f"c{i}").alias("n")) for i, k in enumerate(STATUS_CLASSES)
-    ])))
-    days = cells.agg(
-        *[F.coalesce(F.sum(F.when(F.col("dow") == i, F.col("n"))), F.lit(0)).alias(f"c{i}")
-          for i in range(len(WEEKDAY_NAMES))]
-    ).select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("day"), F.lit(name).alias("name"), F.col(f"c{i}").alias("n"))
+    classes = F.array(*[
+        F.struct(F.lit(c).alias("class"), _total("statuses", lambda r: status_class(r["status"]), c).alias("n"))
+        for c in STATUS_CLASSES
+    ])
+    days = F.array(*[
+        F.struct(F.lit(i).alias("day"), F.lit(name).alias("name"), _total("cells", lambda r: r["day"], i).alias("n"))
         for i, name in enumerate(WEEKDAY_NAMES)
-    ])))
-    return {
-        "requests_over_time": _series(groups, bounded, F.col("n"), "n"),
-        "top_hosts": _top(
-            _set(groups, "host").where(F.col("host").isNotNull()).select("host", "n"), "host", "n", TOP_HOSTS
-        ),
-        "status_codes": _top(status_rows.select("status", "n"), "status", "n", None),
-        "top_countries": _top(
-            _set(groups, "country").where(F.col("country").isNotNull() & (F.col("country") != "")).select(
-                "country", "n"
-            ),
-            "country", "n", TOP_COUNTRIES,
-        ),
-        "bandwidth_over_time": _series(groups, bounded, mb, "mb"),
-        "hourly_heatmap": cells.select(F.col("hod").alias("hour"), F.col("dow").alias("day"), "n").orderBy(
-            "hour", "day"
-        ),
-        "error_analysis": _top(
-            _set(groups, "host").where(F.col("errors") > 0).select("host", "errors", "server_errors", "client_errors"),
-            "host", "errors", TOP_ERROR_HOSTS,
-        ),
-        "top_paths": top_paths.select("path", "n", avg_kb.alias("avg_kb")),
-        "user_agents": _top(
-            _set(groups, "browser").where(F.col("browser").isNotNull()).select("browser", "n"), "browser", "n", None
-        ),
-        "status_classes": classes,
-        "weekday_totals": days,
+    ])
+    known = F.filter("browsers", lambda r: r["browser"].isNotNull())
+    arrays = {
+        "requests_over_time": ("series", series("n")),
+        "status_codes": ("status", picked("statuses", "status", "n")),
+        "bandwidth_over_time": ("series", series("mb")),
+        "hourly_heatmap": ("data", picked("cells", "hour", "day", "n")),
+        "user_agents": ("browsers", picked(known, "browser", "n")),
+        "status_classes": ("classes", classes),
+        "weekday_totals": ("days", days),
     }
+    documents = [
+        F.struct(F.lit(name).alias("report"), F.to_json(F.struct(rows.alias(key)), {"ignoreNullFields": "false"}).alias("doc"))
+        for name, (key, rows) in arrays.items()
+    ]
+    return one.select(F.inline(F.array(*documents)))

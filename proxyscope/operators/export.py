@@ -2,15 +2,13 @@
 
 The array is assembled by Spark (``collect_list`` + ``sort_array`` on an
 explicit order key) from the report's output, which is bounded by the
-report's own limit or key space: at most 200 hours for an unbounded series,
-one row per hour of the requested range for a bounded one, 1000 statuses,
-168 heat-map cells, 7 browsers. No unbounded data passes through one task.
+report's own limit or key space: one row per hour of the requested range, 1000
+statuses, 168 heat-map cells, 7 browsers. No unbounded data passes through one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +17,6 @@ from pyspark.sql import functions as F
 from proxyscope.operators import reports as R
 from proxyscope.operators import rollups as D
 from proxyscope.operators.filters import Bound
-from proxyscope.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -75,23 +72,19 @@ def report_document(name: str, report: DataFrame) -> DataFrame:
     return df.agg(doc.alias("doc")).select(F.lit(name).alias("report"), "doc")
 
 
-def all_reports(requests: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
+SMALL = ("requests_over_time", "status_codes", "bandwidth_over_time", "hourly_heatmap", "user_agents", "status_classes", "weekday_totals")
+
+
+def all_reports(requests: DataFrame, start: Bound = None, end: Bound = None, first_hours: int | None = None) -> DataFrame:
     """The dashboard: every report document for one time range (``report``, ``doc``).
 
-    The table is read once: all reports come from one grouping-sets aggregate
-    (``operators.dashboard``), written once to a small table under the shared
-    checkpoint folder so the eleven documents read it instead of re-running
-    the scan (one row per key, not per request).
+    Lazy: five aggregates in one plan, one for all reports with few keys
+    (``operators.dashboard``) and one for each report on hosts, countries and paths.
     """
-    from proxyscope.operators.dashboard import dashboard_groups, dashboard_reports
-
-    spark = requests.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/proxyscope-dashboard-{uuid.uuid4().hex}"
-    dashboard_groups(requests, start, end).write.parquet(path)
-    groups = spark.read.parquet(path)
-    frames = dashboard_reports(groups, start is not None or end is not None)
-    docs = [report_document(name, frames[name]) for name in REPORTS]
-    out = docs[0]
-    for d in docs[1:]:
-        out = out.unionByName(d)
+    from proxyscope.operators.dashboard import small_documents
+
+    out = small_documents(requests, start, end, first_hours)
+    for name, report in REPORTS.items():
+        if name not in SMALL:
+            out = out.unionByName(report_document(name, report.fn(requests, start, end)))
     return out

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proxyscope.functions.fields import browser_family, hour_bucket, hour_text, weekday_sun0
+from proxyscope.functions.fields import browser_family, hour_bucket, hour_of_day, hour_text, weekday_sun0
 from proxyscope.operators.filters import Bound, time_range
 
 # Report sizes.
@@ -25,7 +25,6 @@ TOP_HOSTS = 15
 TOP_COUNTRIES = 20
 TOP_ERROR_HOSTS = 10
 TOP_PATHS = 15
-SERIES_LIMIT = 200  # first hours of an unbounded time series
 
 _LOW_BITS = 20
 _LOW_MASK = (1 << _LOW_BITS) - 1
@@ -60,12 +59,16 @@ def _by_count(df: DataFrame, key: str, limit: int | None) -> DataFrame:
     return out.limit(limit) if limit is not None else out
 
 
-def requests_over_time(requests: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
-    """R1: requests per hour (``t string, n bigint``); the first 200 hours when unbounded."""
+def _first(df: DataFrame, first_hours: int | None) -> DataFrame:
+    return df if first_hours is None else df.limit(first_hours)
+
+
+def requests_over_time(
+    requests: DataFrame, start: Bound = None, end: Bound = None, first_hours: int | None = None
+) -> DataFrame:
+    """R1: requests per hour (``t string, n bigint``), all hours; ``first_hours`` keeps the earliest ones."""
     df = time_range(requests, start, end).select(hour_bucket(F.col("ts")).alias("h"))
-    out = df.groupBy("h").agg(_count()).orderBy("h")
-    if start is None and end is None:
-        out = out.limit(SERIES_LIMIT)
+    out = _first(df.groupBy("h").agg(_count()).orderBy("h"), first_hours)
     return out.select(hour_text(F.col("h")).alias("t"), "n")
 
 
@@ -89,17 +92,17 @@ def top_countries(
     return _by_count(df.groupBy("country").agg(_count()), "country", limit)
 
 
-def bandwidth_over_time(requests: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
+def bandwidth_over_time(
+    requests: DataFrame, start: Bound = None, end: Bound = None, first_hours: int | None = None
+) -> DataFrame:
     """R5: megabytes per hour (``t string, mb bigint``), rounded half to even.
 
-    Both bounds are honoured; with none, the first 200 hours.
+    Both bounds are honoured; ``first_hours`` keeps the earliest hours only.
     """
     df = time_range(requests, start, end).select(
         hour_bucket(F.col("ts")).alias("h"), F.coalesce(F.col("bytes"), F.lit(0).cast("bigint")).alias("b")
     )
-    out = df.groupBy("h").agg(*exact_sum_parts(F.col("b"), "b")).orderBy("h")
-    if start is None and end is None:
-        out = out.limit(SERIES_LIMIT)
+    out = _first(df.groupBy("h").agg(*exact_sum_parts(F.col("b"), "b")).orderBy("h"), first_hours)
     mb = F.rint(exact_sum("b").cast("double") / F.lit(1024.0) / F.lit(1024.0)).cast("bigint")
     return out.select(hour_text(F.col("h")).alias("t"), mb.alias("mb"))
 
@@ -107,7 +110,7 @@ def bandwidth_over_time(requests: DataFrame, start: Bound = None, end: Bound = N
 def hourly_heatmap(requests: DataFrame, start: Bound = None, end: Bound = None) -> DataFrame:
     """R6: requests per (hour of day, weekday with Sunday = 0) (``hour int, day int, n bigint``)."""
     df = time_range(requests, start, end).select(
-        F.hour(F.col("ts")).cast("int").alias("hour"), weekday_sun0(F.col("ts")).alias("day")
+        hour_of_day(F.col("ts")).alias("hour"), weekday_sun0(F.col("ts")).alias("day")
     )
     return df.groupBy("hour", "day").agg(_count()).orderBy("hour", "day")
 

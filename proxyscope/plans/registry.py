@@ -25,6 +25,8 @@ RANGE_START = "2024-01-05 00:00:00"
 RANGE_END = "2024-01-20 00:00:00"
 FROM_START = "2024-01-25 00:00:00"
 UNTIL_END = "2024-01-03 12:00:00"
+NO_DATA = "2030-01-01 00:00:00"
+FIRST_HOURS = 200
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +50,11 @@ def _on_requests(op: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, sf_dir: op(parsed_requests(spark, sf_dir), *args, **kwargs)
 
 
+def _on_days(op: Callable[..., DataFrame], *args, **kwargs) -> Query:
+    """On rows with the stored table's partition column, so that bounds also go through it."""
+    return lambda spark, sf_dir: op(S.with_dt(parsed_requests(spark, sf_dir)), *args, **kwargs)
+
+
 RANGE = (RANGE_START, RANGE_END)
 
 QUERIES: dict[str, Query] = {
@@ -60,6 +67,21 @@ QUERIES: dict[str, Query] = {
         lambda df: df.groupBy("url", "scheme", "host", "port", "path", "query").agg(F.count(F.lit(1)).alias("n"))
     ),
     "requests_over_time": _on_requests(R.requests_over_time),
+    "requests_over_time_first_200": _on_requests(R.requests_over_time, first_hours=FIRST_HOURS),
+    "bandwidth_over_time_first_200": _on_requests(R.bandwidth_over_time, first_hours=FIRST_HOURS),
+    "bandwidth_over_time_until": _on_requests(R.bandwidth_over_time, None, UNTIL_END),
+    "requests_over_time_range_dt": _on_days(R.requests_over_time, *RANGE),
+    "top_hosts_range_dt": _on_days(R.top_hosts, *RANGE),
+    "status_codes_until_dt": _on_days(R.status_codes, None, UNTIL_END),
+    "requests_by_day": _on_days(lambda df: df.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))),
+    "top_hosts_from": _on_requests(R.top_hosts, FROM_START, None),
+    "top_hosts_until": _on_requests(R.top_hosts, None, UNTIL_END),
+    "status_codes_from": _on_requests(R.status_codes, FROM_START, None),
+    "status_codes_until": _on_requests(R.status_codes, None, UNTIL_END),
+    "top_countries_from": _on_requests(R.top_countries, FROM_START, None),
+    "top_countries_until": _on_requests(R.top_countries, None, UNTIL_END),
+    "top_hosts_no_data": _on_requests(R.top_hosts, NO_DATA, None),
+    "report_document_no_data": _on_requests(X.all_reports, NO_DATA, None),
     "requests_over_time_range": _on_requests(R.requests_over_time, *RANGE),
     "requests_over_time_from": _on_requests(R.requests_over_time, FROM_START, None),
     "requests_over_time_until": _on_requests(R.requests_over_time, None, UNTIL_END),

@@ -1,16 +1,12 @@
 """Session helpers.
 
-Hour buckets, weekdays and the ``dt`` partition key all follow the session
-time zone, so every entry point pins it to UTC. The checkpoint folder is read
-from ``spark.checkpoint.dir``; a local one is only set when it is unset (tests,
-local runs).
+The library's own results do not depend on the session time zone (hours, weekdays, ``dt``
+and bounds are computed from the instant); ``get_spark`` still pins it to UTC so that
+timestamps print as stored.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -37,10 +33,6 @@ def get_spark(
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # The parsing projections compile to large generated methods; HotSpot
-        # does not JIT methods over 8000 bytes of bytecode, so past that size
-        # Spark should use per-operator code (split into small methods).
-        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -49,20 +41,3 @@ def get_spark(
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     return use_utc(spark)
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``.
-
-    Only when the session has none (local runs and tests) is a scratch folder
-    created and registered.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    local = tempfile.mkdtemp(prefix="proxyscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local

@@ -4,7 +4,8 @@ There are no sample logs to read, so test and benchmark lines are built by a
 Spark job: one line per event, the page chosen by ``event_id % n_pages``. The
 rules (first match wins) mix clean traffic with every kind of line the parser
 has to reject or normalise: truncated lines, an impossible date, unparsable
-byte counts, CONNECT targets, relative URLs, default and explicit ports, host
+byte counts, status digits that are not ASCII, signed byte counts, local time with an
+offset, CONNECT targets, relative URLs, default and explicit ports, host
 case and padded country fields.
 
 The work grows with ``events``; ``pages`` is joined on its id, broadcast only
@@ -87,15 +88,23 @@ def fixture_lines(events: DataFrame, pages: DataFrame) -> DataFrame:
     id_, u, kind = F.col("id"), F.col("u"), F.col("kind")
     ip = F.concat(F.lit("10.0."), (u % 4).cast("string"), F.lit("."), (u % 250).cast("string"))
     user = F.when(u % 10 == 0, F.lit("-")).otherwise(F.concat(F.lit("u"), u.cast("string")))
+    # Some clients write local time; the wall clock is shifted so that the instant stays the event's.
+    minutes = F.when(id_ % 31 == 0, F.lit(330)).when(id_ % 37 == 0, F.lit(-480)).otherwise(F.lit(0))
+    offset = F.when(id_ % 31 == 0, F.lit(" +0530")).when(id_ % 37 == 0, F.lit(" -0800")).otherwise(F.lit(" +0000"))
+    wall = F.timestamp_add("MINUTE", minutes, F.col("ts"))
     when = F.when(id_ % 83 == 0, F.lit("31/Feb/2024:00:00:00 +0000")).otherwise(
-        F.concat(F.date_format(F.col("ts"), "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000"))
+        F.concat(F.date_format(wall, "dd/MMM/yyyy:HH:mm:ss"), offset)
     )
     method = F.when(id_ % 13 == 0, F.lit("CONNECT")).when(kind == "purchase", F.lit("POST")).otherwise(F.lit("GET"))
+    size_text = F.floor(F.col("value") * F.lit(10000)).cast("bigint").cast("string")
     nbytes = (
         F.when(id_ % 89 == 0, F.lit("abc"))
         .when(id_ % 9 == 0, F.lit("-"))
-        .otherwise(F.floor(F.col("value") * F.lit(10000)).cast("bigint").cast("string"))
+        .when(id_ % 41 == 0, F.concat(F.lit("+"), size_text))
+        .when(id_ % 43 == 0, F.concat(F.lit("-"), size_text))
+        .otherwise(size_text)
     )
+    status = F.when(id_ % 103 == 0, F.lit("\uff14\uff10\uff14")).otherwise(_status(id_, kind).cast("string"))
     country = (
         F.when(id_ % 23 == 0, F.lit(""))
         .when(id_ % 29 == 0, F.lit(" TR "))
@@ -105,7 +114,7 @@ def fixture_lines(events: DataFrame, pages: DataFrame) -> DataFrame:
         ip, F.lit(" - "), user,
         F.lit(" ["), when, F.lit('] "'),
         method, F.lit(" "), _url(id_, F.col("page_url")), F.lit(' HTTP/1.1" '),
-        _status(id_, kind).cast("string"), F.lit(" "), nbytes,
+        status, F.lit(" "), nbytes,
         F.lit(' "'), country, F.lit('" "'), _user_agent(u), F.lit('"'),
     )
     value = F.when(id_ % 97 == 0, F.concat(F.lit("truncated line "), id_.cast("string"))).otherwise(line)

@@ -20,12 +20,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from proxyscope.functions.fields import utc_day
 from proxyscope.operators.parse import classify_lines
 from proxyscope.schema import REQUESTS_COLUMNS, REQUESTS_TABLE_SCHEMA, REJECT_REASONS
-from proxyscope.sources.text import read_lines
+from proxyscope.sources.text import file_totals, read_lines
 
 DEFAULT_MAX_RECORDS_PER_FILE = 5_000_000
 
@@ -35,11 +38,16 @@ DEFAULT_MAX_RECORDS_PER_FILE = 5_000_000
 PARQUET_COLUMN_OPTIONS = {"parquet.enable.dictionary#raw": "false", "parquet.enable.dictionary#url": "false"}
 
 
+def with_dt(requests: DataFrame) -> DataFrame:
+    """The stored form of parsed rows: their columns and ``dt``, the UTC day of ``ts``."""
+    return requests.select(*REQUESTS_COLUMNS, utc_day(F.col("ts")).alias("dt"))
+
+
 def append_requests(
     requests: DataFrame, path: str, max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE
 ) -> None:
     """Append parsed rows to the table at ``path`` (created when missing)."""
-    out = requests.select(*REQUESTS_COLUMNS, F.to_date(F.col("ts")).alias("dt")).sortWithinPartitions("dt", "ts")
+    out = with_dt(requests).sortWithinPartitions("dt", "ts")
     (
         out.write.mode("append")
         .partitionBy("dt")
@@ -92,24 +100,80 @@ def import_logs(
     Plain text is split into byte ranges, so one big file is read by many
     tasks. A gzip file cannot be split: Spark reads it in one task. When a few
     large compressed files hold most of the lines, ``rebalance_partitions=n``
-    spreads the decoded lines round-robin over ``n`` partitions before
-    parsing and writing (one shuffle of the raw lines; decompression itself
-    stays one task per file). Leave it unset for splittable input, where the
-    shuffle would only add cost.
+    deals the parsed rows to ``n`` ranges of time before they are written, so
+    that each file still covers one stretch of time and a day with many rows is
+    spread over several (one shuffle of the rows, after a pass that samples
+    them; decompression itself stays one task per file). Leave it unset for
+    splittable input, where the shuffle would only add cost.
     """
-    lines = read_lines(spark, source)
+    classified = classify_lines(read_lines(spark, source))
+    metrics = import_metrics()
     if rebalance_partitions:
-        lines = lines.repartition(rebalance_partitions)
-    classified = classify_lines(lines)
-    metrics = [
+        # Range partitioning samples its input first, which would observe every row twice.
+        totals = classified.agg(*metrics).first().asDict()
+        accepted = with_dt(classified.where(F.col("reason").isNull()))
+        append_requests(accepted.repartitionByRange(rebalance_partitions, "dt", "ts"), table_path, max_records_per_file)
+    else:
+        obs = Observation("import_totals")
+        accepted = classified.observe(obs, *metrics).where(F.col("reason").isNull())
+        append_requests(accepted, table_path, max_records_per_file)
+        totals = obs.get
+    return {k: int(v) for k, v in totals.items()}
+
+
+def import_metrics() -> list[Column]:
+    """Totals of classified lines: all, accepted, rejected, and per reject reason."""
+    return [
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("reason").isNull()).alias("accepted"),
         F.count_if(F.col("reason").isNotNull()).alias("rejected"),
     ] + [F.count_if(F.col("reason") == r).alias(r) for r in REJECT_REASONS]
-    obs = Observation("import_totals")
-    accepted = classified.observe(obs, *metrics).where(F.col("reason").isNull())
-    append_requests(accepted, table_path, max_records_per_file)
-    return {k: int(v) for k, v in obs.get.items()}
+
+
+# File name ends that stand for a compressed file: its text may break off or be garbled.
+COMPRESSED = (".gz", ".bz2", ".zst", ".deflate", ".lz4", ".snappy")
+
+
+def import_directory(spark: SparkSession, folder: str, table_path: str, pattern: str = "*.log*", **options) -> dict:
+    """Import the files of a folder; files that cannot be read are reported, not imported.
+
+    Returns the totals of ``import_logs``, ``files`` (one dict per imported file: ``file``,
+    ``lines``, ``accepted``, ``rejected``) and ``failed`` (the files left out). All files are
+    first imported as one job, which commits all rows or none. Only if it fails is each
+    compressed file read through by a job of its own, and the sound ones are then imported
+    as one job; so no file is imported in part.
+    """
+    paths = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").orderBy("path").collect()]
+    if not paths:
+        return {**dict.fromkeys(("lines", "accepted", "rejected", *REJECT_REASONS), 0), "files": [], "failed": []}
+    failed: list[str] = []
+    try:
+        totals = import_logs(spark, paths, table_path, **options)
+    except Exception:
+        failed = _unreadable(spark, [p for p in paths if p.endswith(COMPRESSED)])
+        if not failed:  # something else is wrong
+            raise
+        paths = [p for p in paths if p not in set(failed)]
+        totals = import_logs(spark, paths, table_path, **options) if paths else dict.fromkeys(("lines", "accepted", "rejected", *REJECT_REASONS), 0)
+    files = []
+    if paths:
+        per_file = file_totals(classify_lines(read_lines(spark, paths, with_file=True)))
+        files = [r.asDict() for r in per_file.orderBy("file").collect()]
+    return {**totals, "files": files, "failed": failed}
+
+
+def _unreadable(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files whose text cannot be read to its end, each tried by a Spark job."""
+
+    def broken(path: str) -> bool:
+        try:
+            spark.read.text(path).agg(F.count("value")).first()
+        except Exception:  # noqa: BLE001  any failure to read it is the answer
+            return True
+        return False
+
+    with ThreadPoolExecutor(8) as pool:
+        return [p for p, bad in zip(paths, pool.map(broken, paths), strict=True) if bad]
 
 
 def table_coverage(requests: DataFrame) -> DataFrame:

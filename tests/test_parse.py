@@ -20,13 +20,13 @@ def test_typical_line(spark):
     assert r.ts == dt.datetime(2026, 2, 15, 0, 0, 4)
     assert r.remote_addr == "10.20.30.40"
     assert r.identd is None
-    assert r.user_or_session == "sessABC123"
+    assert r.user_or_session == "reader-17"
     assert r.method == "GET"
-    assert r.url == "https://www.example.org:443/stable/12345"
-    assert (r.scheme, r.host, r.port, r.path, r.query) == ("https", "www.example.org", None, "/stable/12345", None)
+    assert r.url == "https://www.example.org:443/books/7?page=2"
+    assert (r.scheme, r.host, r.port, r.path, r.query) == ("https", "www.example.org", None, "/books/7", "page=2")
     assert r.http_version == "HTTP/1.1"
     assert r.status == 200
-    assert r.bytes == 251752
+    assert r.bytes == 40960
     assert r.country == "US"
     assert r.user_agent == "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36"
     assert r.raw == make_line()

@@ -70,10 +70,11 @@ def test_unparsable_bound_raises(spark):
 def test_series_limit_only_when_unbounded(spark):
     t0 = dt.datetime(2026, 1, 1)
     df = _requests(spark, [{"ts": t0 + dt.timedelta(hours=i)} for i in range(230)])
-    assert R.requests_over_time(df).count() == 200
+    assert R.requests_over_time(df).count() > 200
+    assert R.requests_over_time(df, first_hours=200).collect() == R.requests_over_time(df).collect()[:200]
     assert R.requests_over_time(df).first().t == "2026-01-01 00:00:00+00"
     assert R.requests_over_time(df, "2026-01-01", "2026-02-01").count() == 230
-    assert R.bandwidth_over_time(df).count() == 200
+    assert R.bandwidth_over_time(df, first_hours=200).collect() == R.bandwidth_over_time(df).collect()[:200]
 
 
 def test_bandwidth_rounds_half_to_even(spark):
@@ -181,26 +182,55 @@ def test_invariants(spark):
     df.unpersist()
 
 
-@pytest.mark.parametrize("bounds", [(None, None), ("2024-01-03 00:00:00", "2024-01-05 12:00:00")])
+@pytest.mark.parametrize("bounds", [(None, None), ("2024-01-03 00:00:00", "2024-01-05 12:00:00"), ("2030-01-01", None)])
 def test_dashboard_equals_single_reports(spark, bounds):
-    from proxyscope.operators.dashboard import dashboard_groups, dashboard_reports
     from proxyscope.operators.export import REPORTS
     from proxyscope.plans.registry import parsed_requests
 
     df = parsed_requests(spark, "/root/testdata/sf0.001").cache()
-    frames = dashboard_reports(dashboard_groups(df, *bounds), bounds[0] is not None)
+    documents = {r.report: r.doc for r in all_reports(df, *bounds).collect()}
     for name, spec in REPORTS.items():
-        single = spec.fn(df, *bounds)
-        assert frames[name].columns == single.columns, name
-        assert [tuple(r) for r in frames[name].collect()] == [tuple(r) for r in single.collect()], name
+        assert documents[name] == report_document(name, spec.fn(df, *bounds)).first().doc, name
     df.unpersist()
 
 
-def test_dashboard_reads_table_once(spark):
-    from proxyscope.operators.export import all_reports
+def test_dashboard_is_lazy_and_keeps_paths_apart(spark, tmp_path):
+    from proxyscope.sources.table import append_requests, load_requests
 
-    df = all_reports(_requests(spark, [{"host": "a"}]))
-    df.collect()
+    append_requests(_requests(spark, [{"host": "a", "path": "/x"}]), f"{tmp_path}/t")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    df = all_reports(load_requests(spark, f"{tmp_path}/t"))
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Scan ExistingRDD" not in plan  # the documents read the grouped table only
-    assert "proxyscope-dashboard-" in plan
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert len(scans) == 5
+    assert sum("path:string" in line for line in scans) == 1
+    assert any(line.rstrip().endswith("ReadSchema: struct<path:string,bytes:bigint>") or "struct<bytes:bigint,path:string>" in line for line in scans)
+
+
+def test_zone_of_the_session_does_not_matter(spark, tmp_path):
+    """Rows written in one zone and read in another: all of a day's hours, under UTC keys."""
+    from proxyscope.operators.parse import parse_lines
+    from proxyscope.sources.table import append_requests, load_requests
+    from conftest import lines_df, make_line
+
+    lines = [make_line(ts=f"15/Feb/2026:{h:02d}:10:00 +0000", url="http://a.example/x") for h in range(24)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        append_requests(parse_lines(lines_df(spark, lines)), f"{tmp_path}/t")
+        seen = {}
+        for other in ("UTC", "Asia/Kolkata", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            t = load_requests(spark, f"{tmp_path}/t")
+            day = ("2026-02-15 00:00:00", "2026-02-15 23:59:59")
+            assert [tuple(r) for r in R.top_hosts(t, *day).collect()] == [("a.example", 24)]
+            assert R.top_hosts(t, "2026-02-15 05:00:00-05:00", None).first().n == 14
+            seen[other] = (
+                [tuple(r) for r in R.requests_over_time(t, *day).collect()],
+                [tuple(r) for r in R.hourly_heatmap(t).collect()],
+            )
+        assert seen["UTC"] == seen["Asia/Kolkata"] == seen["America/New_York"]
+        assert seen["UTC"][0][0] == ("2026-02-15 00:00:00+00", 1) and seen["UTC"][1][0] == (0, 0, 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -80,15 +80,11 @@ def test_partial_aggregation_before_shuffle(spark):
 
 
 def test_import_plan_has_no_shuffle(spark):
-    from pyspark.sql import functions as F
+    from proxyscope.sources.table import with_dt
 
     root = tempfile.mkdtemp(prefix="proxyscope-test-")
     _write_logs(f"{root}/logs", {"a.log": (make_line() + "\n").encode() * 3})
-    out = (
-        parse_lines(read_lines(spark, f"{root}/logs/*.log"))
-        .withColumn("dt", F.to_date("ts"))
-        .sortWithinPartitions("dt", "ts")
-    )
+    out = with_dt(parse_lines(read_lines(spark, f"{root}/logs/*.log"))).sortWithinPartitions("dt", "ts")
     plan = _plan(out)
     assert "Exchange" not in plan and "Sort [dt" in plan
 
@@ -142,3 +138,48 @@ def test_catalog_table_lists_only_matching_days(spark):
     assert spark.sql("SHOW PARTITIONS proxyscope_test_requests").count() == 11
     spark.sql("DROP TABLE proxyscope_test_requests")
     assert os.path.isdir(f"{root}/requests")
+
+
+def test_rebalance_writes_few_files_of_one_time_range_each(spark, tmp_path):
+    """20 days in 16 ranges: at most one file per range and day boundary, none overlapping."""
+    import glob
+
+    lines = [make_line(ts=f"{d:02d}/Feb/2026:{h:02d}:{m:02d}:00 +0000") for d in range(1, 21) for h in range(24) for m in (0, 20, 40)]
+    _write_logs(f"{tmp_path}/logs", {"a.log": ("\n".join(lines[::-1]) + "\n").encode()})
+    import_logs(spark, f"{tmp_path}/logs/*.log", f"{tmp_path}/t", rebalance_partitions=16)
+    files = glob.glob(f"{tmp_path}/t/dt=*/*.parquet")
+    assert len(files) <= 36
+    spans = sorted((spark.read.parquet(f).agg({"ts": "min"}).first()[0], spark.read.parquet(f).agg({"ts": "max"}).first()[0]) for f in files[:12])
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert load_requests(spark, f"{tmp_path}/t").count() == len(lines)
+
+
+def test_directory_import_reports_a_broken_file(spark, tmp_path):
+    import gzip
+
+    from proxyscope.sources.table import import_directory
+
+    logs = f"{tmp_path}/logs"
+    many = "\n".join(make_line(url=f"http://h{i}.example/{i * 7919}") for i in range(3000)) + "\n"
+    _write_logs(logs, {"a.log": (make_line() + "\njunk\n").encode(), "notes.txt": b"not a log\n", "bad.log.gz": gzip.compress(many.encode())[:-2000]})
+    with gzip.open(f"{logs}/good.log.gz", "wb") as f:
+        f.write((make_line() + "\n").encode())
+    out = import_directory(spark, logs, f"{tmp_path}/t")
+    assert [os.path.basename(f) for f in out["failed"]] == ["bad.log.gz"]
+    assert {os.path.basename(f["file"]): (f["lines"], f["accepted"], f["rejected"]) for f in out["files"]} == {"a.log": (2, 1, 1), "good.log.gz": (1, 1, 0)}
+    assert (out["lines"], out["accepted"], out["no_match"]) == (3, 2, 1)
+    assert load_requests(spark, f"{tmp_path}/t").count() == 2
+    assert import_directory(spark, logs, f"{tmp_path}/t2", pattern="*.none")["files"] == []
+
+
+def test_storage_round_trip_keeps_all_columns(spark, tmp_path):
+    from proxyscope.plans.registry import log_lines
+    from proxyscope.schema import REQUESTS_COLUMNS
+
+    lines = log_lines(spark, "/root/testdata/sf0.001")
+    lines.write.text(f"{tmp_path}/logs")
+    totals = import_logs(spark, f"{tmp_path}/logs/*.txt", f"{tmp_path}/t")
+    stored = load_requests(spark, f"{tmp_path}/t").select(*REQUESTS_COLUMNS)
+    parsed = parse_lines(lines)
+    assert totals["accepted"] == stored.count() == parsed.count()
+    assert stored.exceptAll(parsed).count() == 0 and parsed.exceptAll(stored).count() == 0
