@@ -332,9 +332,39 @@ _REPORTS = {
 }
 
 
+# URLs in other forms: for each, the text and what the URL Standard makes of it.
+_GENERAL_FORMS = [
+    ("'http://h' || n || '.example/a/b/../c?x=' || n", "'http'", "'h' || n || '.example'", "NULL", "'/a/c'", "'x=' || n"),
+    ("'http://h' || n || '.example/a/./b/%2e%2E/'", "'http'", "'h' || n || '.example'", "NULL", "'/a/'", "NULL"),
+    ("'http://0x7f.0.0.' || (id % 256) || '/p'", "'http'", "'127.0.0.' || (id % 256)", "NULL", "'/p'", "NULL"),
+    ("'http://[0:0:0::' || (id % 9 + 1) || ']:8080/x'", "'http'", "'[::' || (id % 9 + 1) || ']'", "8080", "'/x'", "NULL"),
+    ("'https://user:pw@H' || n || '.Example:443/s'", "'https'", "'h' || n || '.example'", "NULL", "'/s'", "NULL"),
+    (r"'http:\\h' || n || '.example\a\b'", "'http'", "'h' || n || '.example'", "NULL", "'/a/b'", "NULL"),
+    ("'http://h' || n || '.example:' || (id + 100000) || '/'", *["NULL"] * 5),
+    ("'http://h' || n || '.example/{x}?q=\"' || n || '\"'", "'http'", "'h' || n || '.example'", "NULL", "'/%7Bx%7D'", "'q=%22' || n || '%22'"),
+    ("'file:///C|/dir/' || n", "'file'", "NULL", "NULL", "'/C:/dir/' || n", "NULL"),
+    ("'urn:isbn:' || n", "'urn'", "NULL", "NULL", "'isbn:' || n", "NULL"),
+    ("'foo://Host' || n || ':99/x/../y'", "'foo'", "'Host' || n", "99", "'/y'", "NULL"),
+    ("'http://%ff' || n || '.example/'", *["NULL"] * 5),
+    ("'http://h' || n || '.example/é?ü'", "'http'", "'h' || n || '.example'", "NULL", "'/%C3%A9'", "'%C3%BC'"),
+    ("'http://1.2.3.' || (id + 256) || '/'", *["NULL"] * 5),
+]
+
+
+def url_parts_general() -> str:
+    def column(i: int, kind: str, name: str) -> str:
+        cases = " ".join(f"WHEN {k} THEN {form[i]}" for k, form in enumerate(_GENERAL_FORMS))
+        return f"CAST(CASE id % {len(_GENERAL_FORMS)} {cases} END AS {kind}) AS {name}"
+
+    names = ["url", "scheme", "host", "port", "path", "query"]
+    columns = [column(i, "INTEGER" if n == "port" else "VARCHAR", n) for i, n in enumerate(names)]
+    return f"SELECT id AS page_id, {', '.join(columns)} FROM (SELECT page_id AS id, CAST(page_id AS VARCHAR) AS n FROM pages)"
+
+
 def oracle_queries() -> dict[str, str]:
     """name -> complete DuckDB statement."""
     out = {name: BASE + sql for name, sql in {**_PARSE_ONLY, **_REPORTS}.items()}
+    out["url_parts_general"] = url_parts_general()
     out["report_document"] = BASE + report_documents()
     out["report_document_no_data"] = BASE + report_documents((NO_DATA, None))
     return out

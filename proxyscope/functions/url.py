@@ -9,9 +9,8 @@ re-derived inside every branch. The stages are written as SQL text in one
 ``selectExpr`` whose later expressions refer to earlier aliases (lateral
 column aliases). Three common shapes (plain special URLs, scheme-less text,
 CONNECT targets) are decided by fast paths; the general stages see NULL for
-them. Higher-order functions end a whole-stage-codegen span, so only two steps
-use them, dot-segment removal and punycode, both guarded and placed in one
-projection. Patterns are written so that Java's backtracking engine stays
+them. Higher-order functions end a whole-stage-codegen span, so only one step
+uses them, dot-segment removal, behind a guard. Patterns are written so that Java's backtracking engine stays
 linear and never recurses per repetition on hostile input.
 
 Semantics (the URL Standard, as implemented by common URL libraries):
@@ -32,10 +31,10 @@ Semantics (the URL Standard, as implemented by common URL libraries):
   parts NULL.
 
 IPv6 hosts are validated and serialised in canonical form (``[0:0::1]`` gives
-``[::1]``). A non-ASCII domain is lower-cased, ideographic full stops become
-dots and each non-ASCII label is written ``xn--`` + punycode. Not built: the
-rest of UTS 46 (its mapping table, NFC and the validity checks), which needs
-Unicode data Spark has no functions for.
+``[::1]``). A non-ASCII domain is only lower-cased: IDNA (mapping, NFC, punycode
+and the check of ``xn--`` labels) is not built, as it needs Unicode data that
+Spark has no functions for, and a half-way form would name hosts that do not
+exist. A host whose percent-decoded bytes are not UTF-8 fails.
 """
 
 from __future__ import annotations
@@ -75,6 +74,9 @@ def encode_set_class(name: str) -> str:
     return f"[\\x00-{'\\x20' if with_space else '\\x1F'}{listed}]|[^\\x00-\\x7E]"
 
 
+MAX_PORT = 65_535
+PORT_DIGITS = len(str(MAX_PORT)) + 1  # enough to tell that a number is too large
+
 # Host code points that make parsing fail.
 FORBIDDEN_HOST = r"[\x00\t\n\r #/:<>?@\[\\\]^|]"
 FORBIDDEN_DOMAIN = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"
@@ -182,84 +184,6 @@ _RESOLVE_PATH = _let(
     ),
 )
 
-# IDNA: a label with a non-ASCII code point becomes "xn--" + punycode (RFC
-# 3492: base 36, tmin 1, tmax 26, skew 38, damp 700, initial bias 72, initial
-# n 128). The label is already lower-cased; each loop of the RFC is an
-# aggregate whose state is a typed struct. Digit loops run at most 20 times,
-# which covers any 64-bit delta.
-def _puny_digit(x: str) -> str:
-    return f"CASE WHEN {x} < 26 THEN chr(97 + {x}) ELSE chr(22 + {x}) END"
-
-
-def _puny_state(n: str, delta: str, bias: str, h: str, out: str) -> str:
-    return (
-        f"named_struct('n', CAST({n} AS INT), 'delta', CAST({delta} AS BIGINT), "
-        f"'bias', CAST({bias} AS BIGINT), 'h', CAST({h} AS INT), 'out', CAST({out} AS STRING))"
-    )
-
-
-def punycode_sql(label: str) -> str:
-    """SQL: the punycode form of the string expression ``label`` (without the ``xn--`` prefix).
-
-    For each distinct non-ASCII code point m (ascending) the RFC's delta is
-    built from counts of smaller code points: before m's first position, and
-    between consecutive positions of m; the count after its last position
-    carries over to the next m.
-    """
-    chars = f"regexp_extract_all({label}, '(?s).', 0)"
-    basic = f"array_join(filter({chars}, pc -> ascii(pc) < 128), '')"
-    # The code points and the number of basic ones are bound once (pcp, pb).
-    cps, b = "pcp", "pb"
-    ms = f"array_sort(array_distinct(filter({cps}, pv -> pv >= 128)))"
-    n = f"size({cps})"
-
-    def smaller(start: str, length: str) -> str:
-        return f"size(filter(slice({cps}, {start}, {length}), px -> px < pm))"
-
-    t = "CASE WHEN pd.k <= ps.bias THEN 1 WHEN pd.k >= ps.bias + 26 THEN 26 ELSE pd.k - ps.bias END"
-    digits = (
-        "aggregate(sequence(1, 20), named_struct('q', dq, 'k', CAST(36 AS BIGINT), 'done', false, 'out', ''), "
-        "(pd, pj) -> CASE WHEN pd.done THEN pd "
-        f"WHEN pd.q < ({t}) THEN named_struct('q', pd.q, 'k', pd.k, 'done', true, 'out', concat(pd.out, {_puny_digit('pd.q')})) "
-        f"ELSE named_struct('q', (pd.q - ({t})) div (36 - ({t})), 'k', pd.k + 36, 'done', false, "
-        f"'out', concat(pd.out, {_puny_digit(f'({t}) + (pd.q - ({t})) % (36 - ({t}))')})) END, pd -> pd.out)"
-    )
-    d0 = f"(CASE WHEN ps.h = {b} THEN dq div 700 ELSE dq div 2 END)"
-    d1 = f"({d0} + {d0} div (ps.h + 1))"
-    adapt = (
-        f"aggregate(sequence(1, 20), named_struct('d', {d1}, 'k', CAST(0 AS BIGINT)), "
-        "(pa, pj) -> CASE WHEN pa.d > 455 THEN named_struct('d', pa.d div 35, 'k', pa.k + 36) ELSE pa END, "
-        "pa -> pa.k + (36 * pa.d) div (pa.d + 38))"
-    )
-    emit = _puny_state("ps.n", "0", adapt, "ps.h + 1", f"concat(ps.out, {digits})")
-    delta_t = (
-        f"CASE WHEN pt = 0 THEN ps.delta + {smaller('1', 'pos[0]')} "
-        f"ELSE CAST({smaller('pos[pt - 1] + 2', 'pos[pt] - pos[pt - 1] - 1')} AS BIGINT) END"
-    )
-    per_occurrence = f"(ps, pt) -> transform(array(CAST({delta_t} AS BIGINT)), dq -> {emit})[0]"
-    start_m = _puny_state("pm", "st.delta + CAST(pm - st.n AS BIGINT) * (st.h + 1)", "st.bias", "st.h", "st.out")
-    tail = smaller("element_at(pos, -1) + 2", f"{n} - element_at(pos, -1) - 1")
-    after_m = _puny_state("ps.n + 1", f"{tail} + 1", "ps.bias", "ps.h", "ps.out")
-    per_m = (
-        f"(st, pm) -> transform(array(filter(sequence(0, {n} - 1), pi -> {cps}[pi] = pm)), pos -> "
-        f"aggregate(sequence(0, size(pos) - 1), {start_m}, {per_occurrence}, ps -> {after_m}))[0]"
-    )
-    init = _puny_state("128", "0", "72", b, "''")
-    body = (
-        f"concat(CASE WHEN {b} > 0 THEN concat({basic}, '-') ELSE '' END, "
-        f"aggregate({ms}, {init}, {per_m}, st -> st.out))"
-    )
-    return _let(f"transform({chars}, pc -> ascii(pc))", cps, _let(f"length({basic})", b, body))
-
-
-def idna_sql(host: str) -> str:
-    """SQL: ``host`` (lower-cased, dots mapped) with every non-ASCII label in its ``xn--`` form."""
-    return (
-        f"array_join(transform(split({host}, '[.]', -1), lb -> CASE WHEN lb RLIKE '[^\\\\x00-\\\\x7F]' "
-        f"THEN concat('xn--', {punycode_sql('lb')}) ELSE lb END), '.')"
-    )
-
-
 # One IPv4 number: hex (0x), octal (leading 0) or decimal; NULL if invalid or too large.
 _HEX_NUM = q(r"^0[xX][0-9A-Fa-f]*\z")
 _OCT_NUM = q(r"^0[0-7]+\z")
@@ -304,8 +228,6 @@ _RX = {
     "dot": q(r"\."),
     "backslash": q("\\\\"),
     "drive": q(r"^[A-Za-z][:|]\z"),
-    "full_stops": q("[\\u3002\\uFF0E\\uFF61]"),
-    "non_ascii": q(r"[^\x00-\x7F]"),
     "drive_first": q(r"^/([A-Za-z])\|(?=/|\z)"),
     "no_lead_slash": q(r"^(?![/\\])"),
 }
@@ -363,16 +285,18 @@ _STAGES: list[dict[str, str]] = [
             f"(__port_txt = '' OR __port_txt RLIKE {_RX['port_ok']}) AND NOT (__host_raw = '' AND __port_txt <> '')"
         ),
         "__ipv6": "startswith(__host_raw, '[')",
-        # Domain: percent-decoded, lower-cased, ideographic full stops mapped to ".".
+        # Domain: percent-decoded and lower-cased; a non-ASCII one is not mapped further.
         "__dom": (
-            "CASE WHEN __kind IN ('special', 'file') AND NOT startswith(__host_raw, '[') THEN regexp_replace(lower("
+            "CASE WHEN __kind IN ('special', 'file') AND NOT startswith(__host_raw, '[') THEN lower("
             "CASE WHEN contains(__host_raw, '%') THEN try_url_decode(replace(__host_raw, '+', '%2B')) "
-            f"ELSE __host_raw END), {_RX['full_stops']}, '.') END"
+            "ELSE __host_raw END) END"
         ),
     },
     {
-        "__port": "CASE WHEN __port_digits <> '' AND length(__port_digits) <= 5 THEN CAST(__port_digits AS INT) END",
-        "__dom_ok": f"__dom <> '' AND NOT __dom RLIKE {q(FORBIDDEN_DOMAIN)}",
+        # Six digits or more are above any port, whatever they are.
+        "__port": f"CASE WHEN __port_digits <> '' THEN CAST(left(__port_digits, {PORT_DIGITS}) AS INT) END",
+        # U+FFFD stands for bytes that are not UTF-8; it is no host character itself either.
+        "__dom_ok": f"__dom <> '' AND NOT __dom RLIKE {q(FORBIDDEN_DOMAIN)} AND NOT contains(__dom, {q(chr(0xFFFD))})",
         # An IPv4 address has at most four parts, so they are taken one by one
         # (no higher-order function, which would end the generated-code span).
         "__v4": (
@@ -384,15 +308,6 @@ _STAGES: list[dict[str, str]] = [
         "__v4n": "size(__v4)",
         **{f"__v4x{i}": ipv4_number_sql(f"try_element_at(__v4, {i})") for i in range(1, 5)},
     },
-    # IDNA of a domain that passed the code point check. It depends on the
-    # same stage as the dot-segment step (__segs), so Spark puts both
-    # higher-order functions into one projection. Checking the code points
-    # and the last label before or after IDNA gives the same verdict.
-    {
-        "__dom_idn": (
-            f"CASE WHEN __dom_ok AND __dom RLIKE {_RX['non_ascii']} THEN {idna_sql('__dom')} ELSE __dom END"
-        ),
-    },
     {
         "__v4_ok": (
             "__v4n BETWEEN 1 AND 4 "
@@ -464,7 +379,7 @@ _STAGES: list[dict[str, str]] = [
         "__host": (
             "CASE WHEN __ipv6 THEN __v6host "
             "WHEN __kind IN ('special', 'file') THEN CASE WHEN __dom_ok THEN "
-            "CASE WHEN __v4 IS NULL THEN __dom_idn WHEN __v4_num IS NOT NULL THEN concat_ws('.', "
+            "CASE WHEN __v4 IS NULL THEN __dom WHEN __v4_num IS NOT NULL THEN concat_ws('.', "
             + ", ".join(f"CAST(shiftrightunsigned(__v4_num, {s}) & 255 AS STRING)" for s in (24, 16, 8, 0))
             + ") END END "
             f"WHEN NOT __host_raw RLIKE {q(FORBIDDEN_HOST)} THEN __host_raw END"
@@ -473,7 +388,7 @@ _STAGES: list[dict[str, str]] = [
     {
         "__ok": (
             "__kind <> 'none' AND NOT __at_fail "
-            "AND (__auth IS NULL OR (__port_ok AND (__port IS NULL OR __port <= 65535))) AND "
+            "AND (__auth IS NULL OR (__port_ok AND coalesce(__port, 0) <= 65535)) AND "
             "CASE WHEN __kind = 'special' THEN coalesce(__host <> '', false) "
             "WHEN __kind = 'file' THEN __auth IS NULL OR __host_raw = '' OR (__host IS NOT NULL AND __port_txt = '') "
             "WHEN __auth IS NOT NULL THEN __host IS NOT NULL OR __host_raw = '' ELSE true END"

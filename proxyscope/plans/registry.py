@@ -17,7 +17,8 @@ from proxyscope.operators import reports as R
 from proxyscope.operators import rollups as D
 from proxyscope.session import use_utc
 from proxyscope.sources import table as S
-from proxyscope.sources.fixtures import fixture_lines
+from proxyscope.functions.url import with_url_parts
+from proxyscope.sources.fixtures import fixture_lines, general_urls
 from pyspark.sql import functions as F
 
 # The time ranges of the bounded query variants (UTC).
@@ -55,6 +56,11 @@ def _on_days(op: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, sf_dir: op(S.with_dt(parsed_requests(spark, sf_dir)), *args, **kwargs)
 
 
+def url_parts_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = general_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return with_url_parts(urls, "url", "u").select("page_id", "url", "u.*")
+
+
 RANGE = (RANGE_START, RANGE_END)
 
 QUERIES: dict[str, Query] = {
@@ -66,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "url_parts": _on_requests(
         lambda df: df.groupBy("url", "scheme", "host", "port", "path", "query").agg(F.count(F.lit(1)).alias("n"))
     ),
+    "url_parts_general": url_parts_general,
     "requests_over_time": _on_requests(R.requests_over_time),
     "requests_over_time_first_200": _on_requests(R.requests_over_time, first_hours=FIRST_HOURS),
     "bandwidth_over_time_first_200": _on_requests(R.bandwidth_over_time, first_hours=FIRST_HOURS),

@@ -119,3 +119,27 @@ def fixture_lines(events: DataFrame, pages: DataFrame) -> DataFrame:
     )
     value = F.when(id_ % 97 == 0, F.concat(F.lit("truncated line "), id_.cast("string"))).otherwise(line)
     return joined.select(value.alias("value"))
+
+
+def general_urls(pages: DataFrame) -> DataFrame:
+    """(page_id, url): URLs in forms that plain traffic lacks, one form per page in turn."""
+    n = F.col("page_id").cast("string")
+    last = F.col("page_id") % 256
+    forms = [
+        F.concat(F.lit("http://h"), n, F.lit(".example/a/b/../c?x="), n),
+        F.concat(F.lit("http://h"), n, F.lit(".example/a/./b/%2e%2E/")),
+        F.concat(F.lit("http://0x7f.0.0."), last.cast("string"), F.lit("/p")),
+        F.concat(F.lit("http://[0:0:0::"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("]:8080/x")),
+        F.concat(F.lit("https://user:pw@H"), n, F.lit(".Example:443/s")),
+        F.concat(F.lit("http:\\\\h"), n, F.lit(".example\\a\\b")),
+        F.concat(F.lit("http://h"), n, F.lit(".example:"), (F.col("page_id") + 100_000).cast("string"), F.lit("/")),
+        F.concat(F.lit("http://h"), n, F.lit('.example/{x}?q="'), n, F.lit('"')),
+        F.concat(F.lit("file:///C|/dir/"), n),
+        F.concat(F.lit("urn:isbn:"), n),
+        F.concat(F.lit("foo://Host"), n, F.lit(":99/x/../y")),
+        F.concat(F.lit("http://%ff"), n, F.lit(".example/")),
+        F.concat(F.lit("http://h"), n, F.lit(".example/\u00e9?\u00fc")),
+        F.concat(F.lit("http://1.2.3."), (F.col("page_id") + 256).cast("string"), F.lit("/")),
+    ]
+    form = F.element_at(F.array(*forms), (F.col("page_id") % len(forms) + 1).cast("int"))
+    return pages.select("page_id", form.alias("url"))
