@@ -63,32 +63,41 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 
 
 def sainte_lague(parties: DataFrame, keys: list[str], tie: list[Column]) -> DataFrame:
-    """Adds ``quota`` to parties with ``share`` (weight), ``seats`` (of the group ``keys``)
-    and ``cap``: the seats go to the highest quotients share / (2k + 1), k below cap.
-
-    A party's seats lie near its proportional share, within ``slack``: only the quotients
-    around it are listed and ranked, all lower k are given.
+    """(keys, tie0.., quota) of parties with ``share`` (weight), ``seats`` (of the group
+    ``keys``) and ``cap``: the seats go to the highest quotients share / (2k + 1), k below
+    cap. If the caps together are below the seats, each party gets its cap.
+
+    At a level m a party has min(cap, floor(share * m + 1/2)) seats, so m lies between the
+    levels at which min(cap, share * m + 1/2) and min(cap, share * m - 1/2) add up to the seats.
+    Seats won at the lower level are given; only the quotients between the two, about three
+    for each party, are listed and ranked.
     """
-    group = Window.partitionBy(*keys)
-    total = F.sum("share").over(group)
-    fair = F.when(total > 0, F.col("share") / total * F.col("seats")).otherwise(F.lit(0.0))
-    n = F.count(F.lit(1)).over(group)
-    slack = F.when(total > 0, F.ceil(F.lit(2.0) * n * F.col("share") / total + 3)).otherwise(F.lit(0)).cast("long")
-    p = parties.withColumn("fair", F.floor(fair)).withColumn("slack", slack)
-    p = p.withColumn("given", F.greatest(F.lit(0), F.least("cap", F.col("fair") - F.col("slack"))).cast("long"))
-    upto = F.least(F.col("cap"), F.col("fair") + F.col("slack")).cast("long")
-    k = F.when(upto > F.col("given"), F.sequence(F.col("given"), upto - 1)).otherwise(F.array().cast("array<bigint>"))
-    p = p.withColumn("open", F.col("seats") - F.sum("given").over(group)).withColumn("k", k)
-    listed = p.select(*keys, *[t.alias(f"tie{i}") for i, t in enumerate(tie)], "open", "share", "given", F.explode_outer("k").alias("k"))
     ties = [f"tie{i}" for i in range(len(tie))]
+    p = parties.select(*keys, *[t.alias(n) for t, n in zip(tie, ties, strict=True)], F.col("share").cast("double").alias("share"),
+                       F.col("seats").cast("double").alias("seats"), F.col("cap").cast("long").alias("cap"))
+    for name, half in (("low", 0.5), ("high", -0.5)):
+        p = p.withColumn("full", F.when(F.col("share") > 0, (F.col("cap") - F.lit(half)) / F.col("share")).otherwise(F.lit(float("inf"))))
+        order = Window.partitionBy(*keys).orderBy("full", *[F.col(t).asc_nulls_last() for t in ties])
+        rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        open_seats = F.col("seats") - F.coalesce(F.sum("cap").over(before), F.lit(0)) - F.count(F.lit(1)).over(rest) * half
+        share = F.sum("share").over(rest)
+        p = p.withColumn("at", F.when(share > 0, open_seats / share)).withColumn("place", F.row_number().over(order))
+        level = F.min(F.when(F.col("at") <= F.col("full"), F.struct("place", "at"))).over(Window.partitionBy(*keys))
+        p = p.withColumn(name, level["at"])  # null: every party is at its cap
+
+    def won(level: str, more: int) -> Column:
+        n = F.floor(F.col("share") * F.col(level) + 0.5) + more
+        return F.greatest(F.lit(0), F.least("cap", F.coalesce(n, F.col("cap")))).cast("long")
+
+    p = p.withColumn("given", won("low", -1)).withColumn("most", F.greatest("given", won("high", 1)))
+    k = F.when(F.col("most") > F.col("given"), F.sequence(F.col("given"), F.col("most") - 1)).otherwise(F.array().cast("array<bigint>"))
+    p = p.withColumn("open", F.col("seats") - F.sum("given").over(Window.partitionBy(*keys))).withColumn("k", k)
+    listed = p.select(*keys, *ties, "open", "share", "given", F.explode_outer("k").alias("k"))
     quotient = F.col("share") / (F.col("k") * 2 + 1)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(quotient.desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties], "k"))
-    won = F.col("k").isNotNull() & (F.col("rank") <= F.col("open"))
-    return (
-        listed.withColumn("rank", rank)
-        .groupBy(*keys, *ties)
-        .agg((F.max("given") + F.count(F.when(won, 1))).alias("quota"))
-    )
+    taken = F.col("k").isNotNull() & (F.col("rank") <= F.col("open"))
+    return listed.withColumn("rank", rank).groupBy(*keys, *ties).agg((F.max("given") + F.count(F.when(taken, 1))).alias("quota"))
 
 
 def placed_documents(
