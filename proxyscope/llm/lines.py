@@ -9,7 +9,9 @@ only, so a passage gives the same pieces wherever it stands. Pieces have about n
 Digests of units (96 bits) are grouped over all documents; the occurrence of least rank
 (doc_id, then position) is kept. A repeated line is removed, and so is a run of neighbouring
 pieces that all occur earlier, of at least ``MIN_WORDS`` words together: a shorter piece says
-too little alone. Removed spans keep their offsets (bytes of the original UTF-8 text).
+too little alone. A passage ends inside a piece, so a run also takes the words before and
+after it, up to ``AROUND`` each, that stand in the same order around the earliest occurrence of its
+outer pieces. Removed spans keep their offsets (bytes of the original UTF-8 text).
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proxyscope.llm.common import Words, mix64, read, slices, stage
@@ -26,6 +28,7 @@ from proxyscope.llm.common import Words, mix64, read, slices, stage
 # Fixed values of the production run.
 REACH = 4
 MIN_WORDS = 12
+AROUND = 8  # words, one byte of hash each
 
 
 LINE, PIECE = 0, 1
@@ -73,6 +76,17 @@ def _units(words: Words, offsets: np.ndarray, starts: np.ndarray, kind: int) ->
     digest = mix64(np.add.reduceat(mix64(words.hash * odd), begin) + np.uint64(kind))
     check = mix64(np.add.reduceat(mix64((words.hash ^ np.uint64(0x5851F42D4C957F2D)) * odd), begin))
     row = words.row[begin]
+    before = np.zeros(len(begin), dtype=np.uint64)
+    after = np.zeros(len(begin), dtype=np.uint64)
+    if kind == PIECE:
+        mark = words.hash % np.uint64(255) + np.uint64(1)  # 0: no such word
+        for j in range(AROUND):
+            at = begin - 1 - j
+            ok = (at >= 0) & (words.row[at] == row)
+            before |= np.where(ok, mark[at], np.uint64(0)) << np.uint64(8 * j)
+            at = np.minimum(end + j, len(mark) - 1)
+            ok = (end + j < len(mark)) & (words.row[at] == row)
+            after |= np.where(ok, mark[at], np.uint64(0)) << np.uint64(8 * j)
     first = np.concatenate([[True], row[1:] != row[:-1]])
     place = np.arange(len(begin)) - np.maximum.accumulate(np.where(first, np.arange(len(begin)), 0))
     base = offsets[row]
@@ -80,11 +94,11 @@ def _units(words: Words, offsets: np.ndarray, starts: np.ndarray, kind: int) ->
         "row": row, "kind": np.full(len(begin), kind, np.int8), "place": place.astype(np.int32),
         "digest": digest.view(np.int64), "check": (check >> np.uint64(33)).astype(np.int32),
         "words": (end - begin).astype(np.int32), "start": (words.start[begin] - base).astype(np.int32),
-        "end": (words.end[end - 1] - base).astype(np.int32),
+        "end": (words.end[end - 1] - base).astype(np.int32), "before": before.view(np.int64), "after": after.view(np.int64),
     }
 
 
-_FIELDS = ("kind", "place", "digest", "check", "words", "start", "end")
+_FIELDS = ("kind", "place", "digest", "check", "words", "start", "end", "before", "after")
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -100,57 +114,86 @@ def units(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where(F.col("text") != "").select("doc_id", "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, kind tinyint, place int, digest long, check int, words int, start int, end int")
+    return rows.mapInArrow(work, f"doc_id {kind}, kind tinyint, place int, digest long, check int, words int, start int, end int, before long, after long")
+
+
+def _agree(a: Column, b: Column) -> Column:
+    """How many of the words nearest to a piece are the same in two places."""
+    out = F.lit(AROUND)
+    for j in reversed(range(AROUND)):
+        x, y = (F.shiftrightunsigned(c, 8 * j).bitwiseAND(F.lit(255)) for c in (a, b))
+        out = F.when((x == y) & (x != 0), out).otherwise(F.lit(j))
+    return out
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end) of the spans to remove, in bytes of the text; they may overlap.
+    """(doc_id, start, end, before, after) of the spans to remove: bytes of the text, and how
+    many words more on either side. Spans may overlap.
 
     Rows of equal doc_id are one document: equal texts under one id are not repeats of each
     other. A null doc_id ranks before all others.
     """
-    u = stage(units(docs))
-    rank = F.struct("doc_id", "place")
-    first = u.groupBy("digest", "check").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where(F.col("n") > 1).select("digest", "check", "first")
-    again = u.join(first, ["digest", "check"]).where(rank > F.col("first"))
+    u = units(docs).withColumn("rank", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")))
+    digest = ["digest", "check"]
+    # The units are worked out twice, here without their places: cheaper than a table of them.
+    first = u.groupBy(*digest).agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.where(F.col("n") > 1).select(*digest, "first")
+    met = u.join(first, digest)
+    order = Window.partitionBy(*digest, "rank").orderBy("place")
+    met = stage(met.withColumn("turn", F.when(F.col("rank") == F.col("first"), F.dense_rank().over(order)).otherwise(2)))
+    source = met.where(F.col("turn") == 1).groupBy(*digest).agg(
+        F.min("before").alias("source_before"), F.min("after").alias("source_after")
+    )
+    again = met.where(F.col("turn") > 1).join(source, digest).select(
+        "doc_id", "kind", "place", "words", "start", "end",
+        _agree(F.col("before"), F.col("source_before")).alias("before"), _agree(F.col("after"), F.col("source_after")).alias("after"),
+    )
     # neighbouring repeated units form runs: place less its number among the repeated ones
     order = Window.partitionBy("doc_id", "kind").orderBy("place")
-    runs = again.select("doc_id", "kind", "place", "words", "start", "end").distinct()
-    runs = runs.withColumn("run", F.col("place") - F.dense_rank().over(order))
+    runs = again.distinct().withColumn("run", F.col("place") - F.dense_rank().over(order))
     spans = runs.groupBy("doc_id", "kind", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words")
-    )
-    return spans.where(F.col("words") >= min_words).select("doc_id", "start", "end")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
+        F.min_by("before", "place").alias("before"), F.max_by("after", "place").alias("after"),
+    )
+    return spans.where(F.col("words") >= min_words).select("doc_id", "start", "end", "before", "after")
 
 
 def _cut(text: pa.Array, spans: pa.Array) -> tuple[list, list]:
-    """Texts without their spans, and the spans with overlapping ones made one."""
+    """Texts without their spans, and the spans as removed: with the words around them, and
+    overlapping ones made one."""
     out, merged = [], []
     for value, cut in zip(text.to_pylist(), spans.to_pylist(), strict=True):
-        whole: list[dict] = []
-        for s in sorted(cut or (), key=lambda s: (s["start"], s["end"])):
-            if whole and s["start"] <= whole[-1]["end"]:
-                whole[-1]["end"] = max(whole[-1]["end"], s["end"])
-            else:
-                whole.append(dict(s))
-        merged.append(whole)
-        if value is None or not whole:
+        if value is None or not cut:
             out.append(value)
+            merged.append([])
             continue
-        raw, at, kept = value.encode(), 0, []
-        for s in whole:
-            kept.append(raw[at : s["start"]])
-            at = s["end"]
+        raw = value.encode()
+        words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        found = []
+        for s in cut:
+            a = max(int(np.searchsorted(words.start, s["start"])) - s["before"], 0)
+            b = min(int(np.searchsorted(words.end, s["end"])) + s["after"], len(words.end) - 1)
+            found.append((int(words.start[a]), int(words.end[b])))
+        whole: list[list[int]] = []
+        for start, end in sorted(found):
+            if whole and start <= whole[-1][1]:
+                whole[-1][1] = max(whole[-1][1], end)
+            else:
+                whole.append([start, end])
+        at, kept = 0, []
+        for start, end in whole:
+            kept.append(raw[at:start])
+            at = end
         kept.append(raw[at:])
         out.append(b"".join(kept).decode())
+        merged.append([{"start": a, "end": b} for a, b in whole])
     return out, merged
 
 
 def spans_by_document(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id (as ``span_doc``) and ``spans``, an array of (start, end)."""
+    """doc_id (as ``span_doc``) and its spans."""
     spans = repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("span_doc"))
-    return spans.agg(F.collect_list(F.struct("start", "end")).alias("_repeated_spans"))
+    return spans.agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("_repeated_spans"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
