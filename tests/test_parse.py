@@ -17,7 +17,7 @@ def _one(spark, line):
 def test_typical_line(spark):
     r = _one(spark, make_line())
     assert r.reason is None
-    assert r.ts == dt.datetime(2026, 2, 15, 0, 0, 4)
+    assert r.ts == dt.datetime(2026, 2, 15, 9, 30, 5)
     assert r.remote_addr == "10.20.30.40"
     assert r.identd is None
     assert r.user_or_session == "reader-17"
