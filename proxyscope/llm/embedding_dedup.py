@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
-Equal vectors of a label are one node. Nodes are hashed in several tables: two pseudo-random
-rotations (three rounds of random signs and a fast Hadamard transform) give two vectors, and
+Equal vectors of a label are one node. Nodes are hashed in several tables: three pseudo-random
+rotations (each of three rounds of random signs and a fast Hadamard transform) give three vectors, and
 each is read as its nearest vertex of the cross-polytope, the signed axis of its largest
-component. A node is entered in the bucket of both vertices and, by multiprobe, in the next
+component. A node is entered in the bucket of its vertices and, by multiprobe, in the next
 best ones. Members of a bucket are compared by cosine in double precision, in blocks of
 bounded size; links join nodes to groups, and within each group all links are counted
 exactly, again in blocks.
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxyscope.llm.common import read, stage
+from proxyscope.llm.common import mix64, read, stage
 from proxyscope.llm.graph import cells, components, per_cell, reach
 
 # Fixed values of the production run.
 MIN_COSINE = 0.93
-TABLES = 10
+TABLES = 14
+HASHES = 3  # rotations of a table
 PROBES = 3
 BLOCK = 1024
 SEED = 7
@@ -61,18 +62,22 @@ def vertices(y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return order * 2 + (value < 0), np.abs(value)
 
 
-def bucket_numbers(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
+def bucket_numbers(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES) -> np.ndarray:
     """Bucket of each row in each table and probe: shape (rows, tables * probes)."""
     out = []
     for t in range(tables):
-        a, sa = vertices(rotate(x, 2 * t), probes)
-        b, sb = vertices(rotate(x, 2 * t + 1), probes)
-        # pairs of vertices, best first by the sum of components
-        score = (sa[:, :, None] + sb[:, None, :]).reshape(len(x), -1)
-        pair = (a[:, :, None] * (1 << 20) + b[:, None, :]).reshape(len(x), -1)
-        best = np.argsort(-score, axis=1, kind="stable")[:, : min(probes, score.shape[1])]
-        out.append(np.take_along_axis(pair, best, axis=1) + (t << 44))
-    return np.concatenate(out, axis=1).astype(np.int64)
+        # vertex combinations, best first by the sum of components
+        score = np.zeros((len(x), 1))
+        number = np.full((len(x), 1), t + 1, dtype=np.uint64)
+        for h in range(hashes):
+            axis, size = vertices(rotate(x, hashes * t + h), probes)
+            score = (score[:, :, None] + size[:, None, :]).reshape(len(x), -1)
+            step = number[:, :, None] * np.uint64(0x9E3779B97F4A7C15) + axis[:, None, :].astype(np.uint64)
+            number = mix64(step.reshape(len(x), -1))
+            best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+            score, number = (np.take_along_axis(v, best, axis=1) for v in (score, number))
+        out.append(number)
+    return np.concatenate(out, axis=1).view(np.int64)
 
 
 def vector_rows(frame: DataFrame) -> DataFrame:
