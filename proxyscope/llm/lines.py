@@ -57,13 +57,15 @@ def piece_starts(words: Words, reach: int = REACH) -> np.ndarray:
 
 
 def unit_table(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """The units of a slice of texts: row, kind, place (from 0 in each text), digest, check,
-    words, start and end (bytes within the text)."""
+    """The units of a slice of texts, in few and narrow columns as all are shuffled: ``row``;
+    ``digest``; ``mark``, 32 more bits of the digest and the unit's place in its text (from
+    0); ``span``, its first byte and end within the text, 32 bits each; ``size``, twice its
+    words and one more for a piece; ``before`` and ``after``, hashes of the words around a piece."""
     words = Words(data, offsets)
     if not len(words.hash):
         return {}
     lines = _units(words, offsets, line_starts(words, data), LINE)
-    long = lines["words"] >= min_words
+    long = lines["size"] // 2 >= min_words
     pieces = _units(words, offsets, piece_starts(words), PIECE)
     return {f: np.concatenate([lines[f][long], pieces[f]]) for f in pieces}
 
@@ -90,19 +92,19 @@ def _units(words: Words, offsets: np.ndarray, starts: np.ndarray, kind: int) ->
     first = np.concatenate([[True], row[1:] != row[:-1]])
     place = np.arange(len(begin)) - np.maximum.accumulate(np.where(first, np.arange(len(begin)), 0))
     base = offsets[row]
+    low = lambda high, part: (high << np.uint64(32)) | part.astype(np.uint64)
     return {
-        "row": row, "kind": np.full(len(begin), kind, np.int8), "place": place.astype(np.int32),
-        "digest": digest.view(np.int64), "check": (check >> np.uint64(33)).astype(np.int32),
-        "words": (end - begin).astype(np.int32), "start": (words.start[begin] - base).astype(np.int32),
-        "end": (words.end[end - 1] - base).astype(np.int32), "before": before.view(np.int64), "after": after.view(np.int64),
+        "row": row, "digest": digest.view(np.int64), "mark": low(check >> np.uint64(33), place).view(np.int64),
+        "span": low((words.start[begin] - base).astype(np.uint64), words.end[end - 1] - base).view(np.int64),
+        "size": (2 * (end - begin) + kind).astype(np.int32), "before": before.view(np.int64), "after": after.view(np.int64),
     }
 
 
-_FIELDS = ("kind", "place", "digest", "check", "words", "start", "end", "before", "after")
+_FIELDS = ("digest", "mark", "span", "size", "before", "after")
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, place, digest, check, words, start, end) of every unit of every text."""
+    """(doc_id, digest, mark, span, size, before, after) of every unit of every text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +116,7 @@ def units(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where(F.col("text") != "").select("doc_id", "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, kind tinyint, place int, digest long, check int, words int, start int, end int, before long, after long")
+    return rows.mapInArrow(work, f"doc_id {kind}, digest long, mark long, span long, size int, before long, after long")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -133,12 +135,20 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Rows of equal doc_id are one document: equal texts under one id are not repeats of each
     other. A null doc_id ranks before all others.
     """
-    u = units(docs).withColumn("rank", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")))
+    u = units(docs)
+    rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
+    check = F.shiftright("mark", 32).alias("check")
     digest = ["digest", "check"]
     # The units are worked out twice, here without their places: cheaper than a table of them.
-    first = u.groupBy(*digest).agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where(F.col("n") > 1).select(*digest, "first")
-    met = u.join(first, digest)
+    first = u.select("digest", check, rank.alias("rank")).groupBy(*digest).agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.where(F.col("n") > 1).select(F.col("digest").alias("d"), F.col("check").alias("c"), "first")
+    met = u.join(first, (F.col("digest") == F.col("d")) & (F.shiftright("mark", 32) == F.col("c")))
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    met = met.select(
+        "doc_id", "digest", check, rank.alias("rank"), "first", "before", "after", low("mark").alias("place"),
+        F.shiftright("span", 32).cast("int").alias("start"), low("span").alias("end"),
+        (F.col("size") % 2).alias("kind"), F.shiftright("size", 1).alias("words"),
+    )
     order = Window.partitionBy(*digest, "rank").orderBy("place")
     met = stage(met.withColumn("turn", F.when(F.col("rank") == F.col("first"), F.dense_rank().over(order)).otherwise(2)))
     source = met.where(F.col("turn") == 1).groupBy(*digest).agg(
