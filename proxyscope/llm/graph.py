@@ -84,7 +84,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each node links its larger neighbours, then
     its smaller ones, to the least of them, until nothing changes. A step is a partial
-    aggregation and a join; edges only shrink, and each round is written to the shared folder.
+    aggregation and a join. The least neighbours are written to the shared folder before the
+    join: both its sides are then plain shuffles, which Spark may split where a node has very many edges.
     """
     kind = edges.schema["a"].dataType.simpleString()
     swapped = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -92,11 +93,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
         large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a"))
-        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = stage(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # now every edge points to a smaller node; link a node's smaller ones to their least
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
         small = large.join(low, F.col("a") == F.col("u"))
         small = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
