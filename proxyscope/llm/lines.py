@@ -141,22 +141,24 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     digest = ["digest", "check"]
     # The units are worked out twice, here without their places: cheaper than a table of them.
     first = u.select("digest", check, rank.alias("rank")).groupBy(*digest).agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where(F.col("n") > 1).select(F.col("digest").alias("d"), F.col("check").alias("c"), "first")
+    # Both sides of the two joins are plain shuffles, so a passage of very many documents is
+    # split over tasks; only its first document's own rows are aggregated.
+    first = stage(first.where(F.col("n") > 1).select(F.col("digest").alias("d"), F.col("check").alias("c"), "first"))
     met = u.join(first, (F.col("digest") == F.col("d")) & (F.shiftright("mark", 32) == F.col("c")))
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    met = met.select(
-        "doc_id", "digest", check, rank.alias("rank"), "first", "before", "after", low("mark").alias("place"),
+    met = stage(met.select(
+        "doc_id", "digest", check, (rank == F.col("first")).alias("own"), "before", "after", low("mark").alias("place"),
         F.shiftright("span", 32).cast("int").alias("start"), low("span").alias("end"),
         (F.col("size") % 2).alias("kind"), F.shiftright("size", 1).alias("words"),
-    )
-    order = Window.partitionBy(*digest, "rank").orderBy("place")
-    met = stage(met.withColumn("turn", F.when(F.col("rank") == F.col("first"), F.dense_rank().over(order)).otherwise(2)))
-    source = met.where(F.col("turn") == 1).groupBy(*digest).agg(
-        F.min("before").alias("source_before"), F.min("after").alias("source_after")
+    ))
+    source = met.where("own").groupBy(F.col("digest").alias("d"), F.col("check").alias("c")).agg(
+        F.min(F.struct("place", "before", "after")).alias("source")
     )
-    again = met.where(F.col("turn") > 1).join(source, digest).select(
+    source = stage(source)
+    again = met.join(source, (F.col("digest") == F.col("d")) & (F.col("check") == F.col("c")))
+    again = again.where(~F.col("own") | (F.col("place") > F.col("source.place"))).select(
         "doc_id", "kind", "place", "words", "start", "end",
-        _agree(F.col("before"), F.col("source_before")).alias("before"), _agree(F.col("after"), F.col("source_after")).alias("after"),
+        _agree(F.col("before"), F.col("source.before")).alias("before"), _agree(F.col("after"), F.col("source.after")).alias("after"),
     )
     # neighbouring repeated units form runs: place less its number among the repeated ones
     order = Window.partitionBy("doc_id", "kind").orderBy("place")
