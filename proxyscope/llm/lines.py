@@ -1,7 +1,7 @@
 """Substring dedup by hashing lines, and pieces of long lines.
 
 Units. Words have A-Z in lower case, and white space between them does not matter. A unit is
-a line of at least ``MIN_WORDS`` words. As a repeated passage may stand in the middle of
+a line of at least one word. As a repeated passage may stand in the middle of
 lines, the words of a text are also cut into pieces, before each word whose hash is the least
 among its ``REACH`` neighbours on either side: such a cut depends on the words next to it
 only, so a passage gives the same pieces wherever it stands. Pieces have about nine words.
@@ -56,7 +56,7 @@ def piece_starts(words: Words, reach: int = REACH) -> np.ndarray:
     return least
 
 
-def unit_table(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
+def unit_table(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The units of a slice of texts, in few and narrow columns as all are shuffled: ``row``;
     ``digest``; ``mark``, 32 more bits of the digest and the unit's place in its text (from
     0); ``span``, its first byte and end within the text, 32 bits each; ``size``, twice its
@@ -65,9 +65,8 @@ def unit_table(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS
     if not len(words.hash):
         return {}
     lines = _units(words, offsets, line_starts(words, data), LINE)
-    long = lines["size"] // 2 >= min_words
     pieces = _units(words, offsets, piece_starts(words), PIECE)
-    return {f: np.concatenate([lines[f][long], pieces[f]]) for f in pieces}
+    return {f: np.concatenate([lines[f], pieces[f]]) for f in pieces}
 
 
 def _units(words: Words, offsets: np.ndarray, starts: np.ndarray, kind: int) -> dict[str, np.ndarray]:
@@ -167,7 +166,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
         F.min_by("before", "place").alias("before"), F.max_by("after", "place").alias("after"),
     )
-    return spans.where(F.col("words") >= min_words).select("doc_id", "start", "end", "before", "after")
+    return spans.where((F.col("kind") == LINE) | (F.col("words") >= min_words)).select("doc_id", "start", "end", "before", "after")
 
 
 def _cut(text: pa.Array, spans: pa.Array) -> tuple[list, list]:

@@ -346,6 +346,24 @@ def test_lines_equal_brute_force(spark):
     assert {i: [x for x in t.split("\n") if x] for i, t in out.items()} == want
 
 
+def test_lines_of_all_lengths_equal_brute_force(spark):
+    """Every line with a word is a unit, however short; case and white space do not matter."""
+    rng = np.random.default_rng(9)
+    pool = [" ".join(f"W{j}x{k}" for k in range(1 + j % 15)) for j in range(60)]
+    rows = [(int(i), "\n".join([f"only{i}", *(pool[j] for j in rng.integers(0, 60, 12))])) for i in range(20)]
+    rows[7] = (7, rows[7][1].lower().replace(" ", " \t ").replace("\n", " \r\n\n"))
+    seen, want = set(), {}
+    for i, t in rows:
+        want[i] = []
+        for line in (" ".join(x.lower().split()) for x in t.split("\n")):
+            if line and line not in seen:
+                want[i].append(line)
+            seen.add(line)
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: [y for x in r.text.split("\n") if (y := " ".join(x.lower().split()))] for r in out}
+    assert got == want
+
+
 # 9
 
 
