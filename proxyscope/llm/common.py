@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +72,21 @@ def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW_KEY = ("_row_text", "_row_place")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` and the columns ROW_KEY (64 bits each), which tell its rows apart also where
+    doc_ids repeat or are null: hashes of the text, and of the row's file and place in it. They
+    are the same in every pass over the rows; what is not a plain Parquet table is written as
+    one first. The text comes first, so the order of rows under one id is that of their texts."""
+    if not re.fullmatch(r"Relation .* parquet\s*", docs._jdf.queryExecution().analyzed().toString()):
+        docs = stage(docs)
+    file = docs.metadataColumn("_metadata")
+    place = F.xxhash64(file["file_path"], file["row_index"])
+    return docs.select("*", F.xxhash64("text").alias(ROW_KEY[0]), place.alias(ROW_KEY[1]))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column without nulls, without copying."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,7 +7,7 @@ among its ``REACH`` neighbours on either side: such a cut depends on the words n
 only, so a passage gives the same pieces wherever it stands. Pieces have about nine words.
 
 Digests of units (96 bits) are grouped over all documents; the occurrence of least rank
-(doc_id, then position) is kept. A repeated line is removed, and so is a run of neighbouring
+(doc_id, then the row's text under a repeated id, then position) is kept. A repeated line is removed, and so is a run of neighbouring
 pieces that all occur earlier, of at least ``MIN_WORDS`` words together: a shorter piece says
 too little alone. A passage ends inside a piece, so a run also takes the words before and
 after it, up to ``AROUND`` each, that stand in the same order around the earliest occurrence of its
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proxyscope.llm.common import Words, mix64, read, slices, stage
+from proxyscope.llm.common import ROW_KEY, Words, mix64, numbered, read, slices, stage
 
 # Fixed values of the production run.
 REACH = 4
@@ -103,19 +103,22 @@ _FIELDS = ("digest", "mark", "span", "size", "before", "after")
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, mark, span, size, before, after) of every unit of every text."""
+    """(doc_id, ROW_KEY, digest, mark, span, size, before, after) of every unit of every text of
+    numbered rows."""
+    keys = ["doc_id", *ROW_KEY]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column("text")):
                 t = unit_table(data, offsets)
                 if t:
-                    ids = batch.column("doc_id").slice(a, b - a).take(pa.array(t["row"]))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(t[f]) for f in _FIELDS)], names=["doc_id", *_FIELDS])
+                    row = pa.array(t["row"])
+                    ids = [batch.column(k).slice(a, b - a).take(row) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*ids, *(pa.array(t[f]) for f in _FIELDS)], names=[*keys, *_FIELDS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where(F.col("text") != "").select("doc_id", "text")
-    return rows.mapInArrow(work, f"doc_id {kind}, digest long, mark long, span long, size int, before long, after long")
+    rows = docs.where(F.col("text") != "").select(*keys, "text")
+    return rows.mapInArrow(work, f"doc_id {kind}, {ROW_KEY[0]} long, {ROW_KEY[1]} long, digest long, mark long, span long, size int, before long, after long")
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -128,11 +131,11 @@ def _agree(a: Column, b: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, before, after) of the spans to remove: bytes of the text, and how
-    many words more on either side. Spans may overlap.
+    """(doc_id, ROW_KEY, start, end, before, after) of the spans to remove of numbered rows:
+    bytes of the text, and how many words more on either side. Spans may overlap.
 
-    Rows of equal doc_id are one document: equal texts under one id are not repeats of each
-    other. A null doc_id ranks before all others.
+    Each row is a document of its own, also under a repeated or null doc_id, where the texts'
+    hashes give the order. A null doc_id ranks before all others.
     """
     u = units(docs)
     rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
@@ -146,27 +149,30 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     met = u.join(first, (F.col("digest") == F.col("d")) & (F.shiftright("mark", 32) == F.col("c")))
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     met = stage(met.select(
-        "doc_id", "digest", check, (rank == F.col("first")).alias("own"), "before", "after", low("mark").alias("place"),
+        "doc_id", *ROW_KEY, "digest", check, (rank == F.col("first")).alias("own"), "before", "after", low("mark").alias("place"),
         F.shiftright("span", 32).cast("int").alias("start"), low("span").alias("end"),
         (F.col("size") % 2).alias("kind"), F.shiftright("size", 1).alias("words"),
     ))
     source = met.where("own").groupBy(F.col("digest").alias("d"), F.col("check").alias("c")).agg(
-        F.min(F.struct("place", "before", "after")).alias("source")
+        F.min(F.struct(*ROW_KEY, "place", "before", "after")).alias("source")
     )
     source = stage(source)
     again = met.join(source, (F.col("digest") == F.col("d")) & (F.col("check") == F.col("c")))
-    again = again.where(~F.col("own") | (F.col("place") > F.col("source.place"))).select(
-        "doc_id", "kind", "place", "words", "start", "end",
+    kept = F.col("own") & (F.col("place") == F.col("source.place"))
+    for k in ROW_KEY:
+        kept &= F.col(k) == F.col(f"source.{k}")
+    again = again.where(~kept).select(
+        "doc_id", *ROW_KEY, "kind", "place", "words", "start", "end",
         _agree(F.col("before"), F.col("source.before")).alias("before"), _agree(F.col("after"), F.col("source.after")).alias("after"),
     )
     # neighbouring repeated units form runs: place less its number among the repeated ones
-    order = Window.partitionBy("doc_id", "kind").orderBy("place")
+    order = Window.partitionBy("doc_id", *ROW_KEY, "kind").orderBy("place")
     runs = again.distinct().withColumn("run", F.col("place") - F.dense_rank().over(order))
-    spans = runs.groupBy("doc_id", "kind", "run").agg(
+    spans = runs.groupBy("doc_id", *ROW_KEY, "kind", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
         F.min_by("before", "place").alias("before"), F.max_by("after", "place").alias("after"),
     )
-    return spans.where((F.col("kind") == LINE) | (F.col("words") >= min_words)).select("doc_id", "start", "end", "before", "after")
+    return spans.where((F.col("kind") == LINE) | (F.col("words") >= min_words)).select("doc_id", *ROW_KEY, "start", "end", "before", "after")
 
 
 def _cut(text: pa.Array, spans: pa.Array) -> tuple[list, list]:
@@ -202,20 +208,22 @@ def _cut(text: pa.Array, spans: pa.Array) -> tuple[list, list]:
 
 
 def spans_by_document(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id (as ``span_doc``) and its spans."""
-    spans = repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("span_doc"))
-    return spans.agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("_repeated_spans"))
+    """Numbered rows with their spans, as ``_repeated_spans``."""
+    spans = repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("_span_doc"), *(F.col(k).alias(f"_span{k}") for k in ROW_KEY))
+    spans = spans.agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("_repeated_spans"))
+    same = docs["doc_id"].eqNullSafe(spans["_span_doc"])
+    for k in ROW_KEY:
+        same &= docs[k] == spans[f"_span{k}"]
+    return docs.join(spans, same, "left")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated spans taken out of ``text`` (other columns as they are, but
     ``n_chars``, which follows the text). A text left without a word stays, as what is
     left of it; documents are not dropped here."""
-    spans = spans_by_document(docs, min_words)
     at = docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["span_doc"]), "left")
-    joined = joined.select(*[docs[c] for c in docs.columns], spans["_repeated_spans"])
+    joined = spans_by_document(numbered(docs), min_words).select(*docs.columns, "_repeated_spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,11 +245,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bytes.
 
     Null text stays null and empty text empty, without spans. Every unit's occurrence of
-    least (doc_id, position) is kept. Other columns are ignored.
+    least (doc_id, position) is kept. Rows that repeat an id are documents of their own, in
+    the order of their texts' hashes. Other columns are ignored.
     """
-    spans = spans_by_document(docs, min_words)
-    rows = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("span_doc")), "left")
-    rows = rows.select("doc_id", "text", "_repeated_spans")
+    rows = spans_by_document(numbered(docs), min_words).select("doc_id", "text", "_repeated_spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -364,6 +364,18 @@ def test_lines_of_all_lengths_equal_brute_force(spark):
     assert got == want
 
 
+def test_spans_stay_with_their_row(spark):
+    """Rows under one id or none are cut at their own spans only, and are repeats of each other."""
+    line = lambda name: " ".join(f"{name}{k}" for k in range(14))
+    own = [(None if i % 2 else 5, f"{line(f'own{i}q')}\n{line(f'more{i}q')}") for i in range(8)]
+    twice = [(None, line("twice"))] * 3
+    rows = [*own, *twice, (1, line("one")), (5, f"{line('five')}\n{line('one')}"), (None, "x"), (5, "yy"), (None, None), (5, "")]
+    want = Counter([*own, (None, line("twice")), (None, ""), (None, ""), (1, line("one")), (5, line("five") + "\n"), (None, "x"), (5, "yy"), (None, None), (5, "")])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.text) for r in lines.dedup_lines(df).collect()) == want
+    assert Counter((r.doc_id, r.text) for r in lines.remove_repeats(df).collect()) == want
+
+
 # 9
 
 
