@@ -16,10 +16,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxyscope.llm.common import Words, mix64, read, shingles, slices, stage, text_or_empty
+from proxyscope.llm.common import ROW_KEY, Words, mix64, numbered, read, shingles, slices, stage, text_or_empty
 from proxyscope.llm.embedding_dedup import _take, shared_buckets
 from proxyscope.llm.graph import cells, components, per_cell, reach
 
@@ -79,7 +79,8 @@ def node_names(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, size, sig, bands) of every text that has a word."""
+    """(doc_id, ROW_KEY, node, size, sig, bands) of every text of numbered rows that has a word."""
+    keys = ["doc_id", *ROW_KEY]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,14 +94,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sig = (mix64(values.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(values).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a).take(pa.array(rows)), pa.array(node_names(sets, first), pa.binary()), pa.array(np.diff(first).astype(np.int64)),
+                    [*(batch.column(k).slice(a, b - a).take(pa.array(rows)) for k in keys), pa.array(node_names(sets, first), pa.binary()), pa.array(np.diff(first).astype(np.int64)),
                      pa.array([sig[i : i + HASHES] for i in range(0, len(sig), HASHES)], pa.binary()), bands],
-                    names=["doc_id", "node", "size", "sig", "bands"],
+                    names=[*keys, "node", "size", "sig", "bands"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(work, f"doc_id {kind}, node binary, size long, sig binary, bands array<long>")
+    rows = docs.select(*keys, text_or_empty().alias("text"))
+    return rows.mapInArrow(work, f"doc_id {kind}, {ROW_KEY[0]} long, {ROW_KEY[1]} long, node binary, size long, sig binary, bands array<long>")
 
 
 STEPS = (8, 16, 32, 64, 128)
@@ -189,20 +190,22 @@ def verified_links(table: pa.Table) -> dict[str, pa.Array]:
     return {"node": node, "links": pa.array(linked @ table.column("copies").to_numpy()), "root": _take(node, root)}
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) per row of ``docs`` (doc_id, text).
+def _same_row(rows: DataFrame, key: Column) -> Column:
+    """Whether ``key`` (a struct) names the row."""
+    same = rows["doc_id"].eqNullSafe(key["doc_id"])
+    for k in ROW_KEY:
+        same &= rows[k] == key[k]
+    return same
 
-    class_id is the smallest doc_id reachable over links (similarity of 0.8 or more), n_links
-    the number of other rows linked directly, n_copies that of rows with the same shingle
-    set (itself included). Texts of one to four words have one shingle, the whole text. Null
-    and empty texts, and texts without a word, link with nothing and are a class of their
-    own. Repeated rows are copies of each other; no rows give no rows; other columns are
-    ignored.
-    """
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of numbered rows: the signatures; (node, copies, head, size, sig, bands) of every node,
+    whose head names its first row, of least (doc_id, ROW_KEY) with null ids last; (node, links)
+    and (node, component) of the nodes that have candidates."""
     known = stage(signatures(docs))
     nodes = known.groupBy("node").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("size").alias("size"),
-        F.first("sig").alias("sig"), F.first("bands").alias("bands"),
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)).alias("head"),
+        F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"),
     )
     nodes = stage(nodes)
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -219,20 +222,36 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     edges = per_cell(cells(met, "bucket", F.ceil(F.col("n") / (4 * BLOCK))), prune, "a binary, b binary")
     groups = stage(components(edges))
 
-    members = groups.join(nodes.select("node", "copies", "least", "size"), "node")
+    members = groups.join(nodes.select("node", "copies", "head", "size"), "node")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
-    members = members.join(sizes, "component").select("node", "component", "copies", "least", blocks.alias("blocks"))
-    texts = docs.select(F.col("doc_id").alias("text_of"), text_or_empty().alias("text"))
-    of = members.join(texts, F.col("least").eqNullSafe(F.col("text_of")))
+    members = members.join(sizes, "component").select("node", "component", "copies", "head", blocks.alias("blocks"))
+    texts = docs.select("doc_id", *ROW_KEY, text_or_empty().alias("text"))
+    of = members.join(texts, _same_row(texts, members["head"]))
     listed = _shingle_rows(of.select("node", "component", "copies", "blocks", "text"))
-    if _repeated(known).limit(1).count():  # the text of a node may then come more than once
-        listed = listed.dropDuplicates(["node"])
     found = stage(per_cell(cells(listed, "component", F.col("blocks")), verified_links, "node binary, links long, root binary"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return known, nodes, links, joined
+
+
+def _bare() -> Column:
+    """Whether a text is null or without a word."""
+    return ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
 
-    info = nodes.select("node", "copies", "least").join(joined, "node", "left").join(links, "node", "left")
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) per row of ``docs`` (doc_id, text).
+
+    class_id is the smallest doc_id reachable over links (similarity of 0.8 or more), n_links
+    the number of other rows linked directly, n_copies that of rows with the same shingle
+    set (itself included). Texts of one to four words have one shingle, the whole text. Null
+    and empty texts, and texts without a word, link with nothing and are a class of their
+    own. Repeated rows are copies of each other; no rows give no rows; other columns are
+    ignored.
+    """
+    known, nodes, links, joined = _linked(numbered(docs))
+    info = nodes.select("node", "copies", F.col("head.doc_id").alias("least")).join(joined, "node", "left").join(links, "node", "left")
     info = info.withColumn("component", F.coalesce("component", "node"))
     first = info.groupBy("component").agg(F.min("least").alias("class_id"))
     info = info.join(first, "component").select(
@@ -240,14 +259,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     )
     named = known.select("doc_id", "node").join(info, F.col("node") == F.col("of"))
     named = named.select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"))
-    bare = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    bare = docs.where(_bare())
     bare = bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return named.unionByName(bare)
 
 
 def _shingle_rows(rows: DataFrame) -> DataFrame:
-    """Replace ``text`` by ``shingles``, the sorted shingle hashes as bytes. Of texts under one
-    doc_id only the one that belongs to the node stays."""
+    """Replace ``text`` by ``shingles``, the sorted shingle hashes as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,23 +286,16 @@ def _shingle_rows(rows: DataFrame) -> DataFrame:
     return out
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """doc_ids of more than one row, as ``twice``."""
-    return rows.groupBy(F.col("doc_id").alias("twice")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("twice")
-
-
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the documents that are not the first of their class.
-    Of rows that repeat a doc_id and a class one stays."""
-    classes = stage(jaccard_classes(docs).select("doc_id", "class_id"))
-    drop = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["gone"]), "left_anti")
-    again = _repeated(classes)
-    if again.limit(1).count():  # repeated ids are rare: only then are whole rows compared
-        same = kept["doc_id"].eqNullSafe(again["twice"])
-        single = kept.join(again, same, "left_anti")
-        return single.unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept
+    """``docs``, all columns, with one row of each class: that of least doc_id, of rows under
+    one id the least by its text's hash, and one without an id only where no other is in the
+    class. Texts without a word all stay, as each is a class of its own."""
+    rows = numbered(docs)
+    _, nodes, _, joined = _linked(rows)
+    heads = nodes.select("node", "head").join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("_class"))
+    heads = heads.agg(F.min("head").alias("_head")).select("_head")
+    marked = rows.join(heads, _same_row(rows, heads["_head"]), "left")
+    return marked.where(F.col("_head").isNotNull() | _bare()).select(*docs.columns)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,19 @@ def test_jaccard_equals_brute_force(plain):
     assert any(n for _, n in got.values())
 
 
+def test_one_row_of_each_class_goes_by_row(spark):
+    """Null and repeated ids: only the copies go, one of each class stays."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    near = lambda name: text(name) + " end"
+    rows = [(1, text("a")), (None, near("a")), (None, text("b")), (None, text("c")), (2, text("d")), (2, near("a")), (3, text("e")), (3, near("d")),
+            (None, text("f")), (None, near("f")), (None, text("g")), (None, text("g")), (4, text("h")), (4, text("h")), (None, None), (None, ""), (5, " ")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, node int")
+    got = Counter((r.doc_id, r.text) for r in jaccard.keep_one_of_each(df).collect())
+    assert sum(got.pop((None, t), 0) for t in (text("f"), near("f"))) == 1
+    want = [(1, "a"), (None, "b"), (None, "c"), (2, "d"), (3, "e"), (None, "g"), (4, "h")]
+    assert got == Counter([*((i, text(n)) for i, n in want), (None, None), (None, ""), (5, " ")])
+
+
 def test_large_group_is_split_into_blocks(spark, monkeypatch):
     """A group of near copies larger than a block: every link is counted once."""
     monkeypatch.setattr(jaccard, "BLOCK", 7)
