@@ -1,15 +1,15 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words, and decoding.
 
 Texts are cut into words by the tokenizer's own pattern (vectorised over code points in
-tasks). The words of all texts are counted and each distinct word is encoded once, by Spark
-higher-order functions: an array of byte strings is folded, each step merging the leftmost
+tasks). Words are encoded by Spark higher-order functions: an array of byte strings is folded, each step merging the leftmost
 neighbours of least rank, with the ranks in a literal map (dealt to hash buckets, as a map
 literal is searched from end to end). Words of more than ``LONG`` bytes take a fold whose
 step merges all places of the least rank at once wherever that gives the same result.
 
-Documents look words up in a table of the most frequent ones, of bounded size. A document
-with a word beyond it gets that word's ids by a join on the word. Decoding concatenates the
-byte pieces of the ids.
+The distinct words that occur most, up to a bound, are encoded first and sent to all tasks,
+which look them up. A word beyond the bound is rare: it is encoded, once for each document,
+by the same fold in the row where it stands, so no text and no word is shuffled for it.
+Decoding concatenates the byte pieces of the ids.
 """
 
 from __future__ import annotations
@@ -24,16 +24,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proxyscope.functions.fields import WHITE_SPACE
-from proxyscope.llm.common import ROW_KEY, numbered, read, slices, stage, text_or_empty
+from proxyscope.llm.common import read, slices, stage, text_or_empty
 
 # Fixed values of the production run.
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 LONG = 64  # bytes of a word
-FREQUENT = 1 << 17  # words looked up without a join,
+FREQUENT = 1 << 20  # words sent to all tasks at most,
 FREQUENT_BYTES = 64  # each of so many bytes at most
 BUCKETS = 1 << 16
 SLICE = 4 << 20
@@ -143,26 +143,35 @@ def rank_map(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
     return F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
 
 
-def encode_words(word: Column, ranks: dict[bytes, int], long: int = LONG) -> Column:
-    """Ids of a word (string), as an array of int: empty for the empty word."""
-    buckets = BUCKETS
+def _coded(word: Column, rank: Callable[[Column], Column], long: int = LONG) -> Column:
+    """Ids of a word that is not empty; ``rank`` gives a byte string's rank."""
+
+    def encoded(pieces: Column) -> Column:
+        merged = F.when(F.size(pieces) <= long, _fold(pieces, rank)).otherwise(_fold_long(pieces, rank))
+        return F.transform(merged, rank)
+
+    return _let(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), encoded)  # a character per byte
+
+
+def _with_ranks(ranks: dict[bytes, int], body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function that gives ranks; the literal map stands in the plan once."""
 
     def with_map(held: Column) -> Column:
-        def rank(piece: Column) -> Column:
-            # two's complement: the unsigned hash's low bits are the bucket
-            return F.element_at(F.get(held, F.xxhash64(piece).bitwiseAND(F.lit(buckets - 1)).cast("int")), piece)
+        # two's complement: the unsigned hash's low bits are the bucket
+        bucket = lambda piece: F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+        return body(lambda piece: F.element_at(F.get(held, bucket(piece)), piece))
+
+    return _let(rank_map(ranks), with_map)
 
-        def ids(pieces: Column) -> Column:
-            return F.transform(pieces, rank)
 
-        def encoded(pieces: Column) -> Column:
-            short = _fold(pieces, rank)
-            return F.when(F.size(pieces) <= long, ids(short)).otherwise(ids(_fold_long(pieces, rank)))
+def encode_words(word: Column, ranks: dict[bytes, int]) -> Column:
+    """Ids of a word (string, not empty), as an array of int."""
+    return _with_ranks(ranks, lambda rank: _coded(word, rank))
 
-        raw = F.decode(word.cast("binary"), "ISO-8859-1")  # a character per byte
-        return _let(F.split(raw, ""), encoded)
 
-    return F.when(word == "", F.array().cast("array<int>")).otherwise(_let(rank_map(ranks, buckets), with_map))
+def _each(words: Column, ranks: dict[bytes, int]) -> Column:
+    """Ids of each word of an array."""
+    return _with_ranks(ranks, lambda rank: F.transform(words, lambda w: _coded(w, rank)))
 
 
 def _pair_ranks(pieces: Column, rank: Callable[[Column], Column]) -> Column:
@@ -171,25 +180,27 @@ def _pair_ranks(pieces: Column, rank: Callable[[Column], Column]) -> Column:
 
 
 def _fold(pieces: Column, rank: Callable[[Column], Column]) -> Column:
-    """Merge the leftmost neighbours of least rank, once for each byte but one."""
+    """Merge the leftmost neighbours of least rank, once for each byte but one. The ranks of
+    neighbours stand between two nulls, so that a new pair always has a place on either side."""
+    rest, none = F.lit(1 << 30), F.lit(None).cast("int")
 
     def step(state: Column, _: Column) -> Column:
         p, r = state["p"], state["r"]
 
-        def merge(j: Column) -> Column:  # r[j], counted from 1, is the least
+        def merge(j: Column) -> Column:  # the least, counted from 1: pieces j - 2 and j - 1, from 0
             def joined(ab: Column) -> Column:
-                parts = F.concat(F.slice(p, F.lit(1), j - 1), F.array(ab), F.slice(p, j + 2, F.size(p)))
-                left = F.when(j > 1, F.array(rank(F.concat(F.get(p, j - 2), ab)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(j < F.size(r), F.array(rank(F.concat(ab, F.get(p, j + 1))))).otherwise(F.array().cast("array<int>"))
-                ranks = F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, F.size(p)))
+                parts = F.concat(F.slice(p, F.lit(1), j - 2), F.array(ab), F.slice(p, j + 1, rest))
+                new = F.array(rank(F.concat(F.get(p, j - 3), ab)), rank(F.concat(ab, F.get(p, j))))
+                ranks = F.concat(F.slice(r, F.lit(1), j - 2), new, F.slice(r, j + 2, rest))
                 return F.struct(parts.alias("p"), ranks.alias("r"))
 
-            return _let(F.concat(F.get(p, j - 1), F.get(p, j)), joined)
+            return _let(F.concat(F.get(p, j - 2), F.get(p, j - 1)), joined)
 
         least = F.array_min(r)
         return F.when(least.isNull(), state).otherwise(_let(F.array_position(r, least).cast("int"), merge))
 
-    start = F.struct(pieces.alias("p"), _pair_ranks(pieces, rank).alias("r"))
+    ranks = F.concat(F.array(none), _pair_ranks(pieces, rank), F.array(none))
+    start = F.struct(pieces.alias("p"), ranks.alias("r"))
     return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step)["p"]
 
 
@@ -241,13 +252,30 @@ def _fold_long(pieces: Column, rank: Callable[[Column], Column]) -> Column:
 
 
 class Codes:
-    """Ids of words, for lookup."""
+    """Ids of numbered words: ``ids[first[i]:first[i + 1]]`` of word i; ``words`` for lookup."""
 
     def __init__(self, table: pa.Table):
         self.words = table.column("word").combine_chunks().cast(pa.string())
-        ids = table.column("ids").combine_chunks()
-        self.first = np.asarray(ids.offsets, dtype=np.int64)
-        self.ids = np.asarray(ids.values, dtype=np.int64)
+        self.first, self.ids = _lists(table.column("ids").combine_chunks())
+
+    @classmethod
+    def _made(cls, first: np.ndarray, ids: np.ndarray) -> Codes:
+        out = cls.__new__(cls)
+        out.words, out.first, out.ids = pa.array([], pa.string()), first, ids
+        return out
+
+    @classmethod
+    def of(cls, lists: pa.Array) -> Codes:
+        return cls._made(*_lists(lists))
+
+    @classmethod
+    def single(cls, ids: np.ndarray) -> Codes:
+        """Words of one id each."""
+        return cls._made(np.arange(len(ids) + 1), np.asarray(ids, dtype=np.int64))
+
+    @classmethod
+    def joined(cls, a: Codes, b: Codes) -> Codes:
+        return cls._made(np.concatenate([a.first[:-1], b.first + len(a.ids)]), np.concatenate([a.ids, b.ids]))
 
     def find(self, words: pa.Array) -> np.ndarray:
         """Number of each word, -1 where it is not here."""
@@ -263,6 +291,12 @@ class Codes:
         return self.ids[at], first
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column without nulls."""
+    first = np.asarray(column.offsets, dtype=np.int64)
+    return first - first[0], column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 class Decoder:
     """Byte pieces of ids, and the decimal forms of these."""
 
@@ -283,7 +317,14 @@ class Decoder:
         return joined, decoded
 
 
-_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """Words of ``counts`` (word, n) of at least so many occurrences that there are at most
+    ``most``, of ``FREQUENT_BYTES`` bytes or fewer each."""
+    upto = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One row for each number of occurrences: about the root of the tokens at the most.
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(upto))
+    least = sizes.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    return counts.where((F.col("n") >= least) & (F.octet_length("word") <= FREQUENT_BYTES)) if least else counts.limit(0)
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = FREQUENT) -> DataFrame:
@@ -292,76 +333,64 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
 
     Null text is empty; an empty text has no ids. Repeated rows and rows without doc_id are
     documents of their own, no rows give no rows, and other columns are ignored.
-    ``frequent`` bounds the words that are sent to all tasks; others are found by a join.
+    ``frequent`` bounds the words that are sent to all tasks; it does not change the result.
     """
     spark = docs.sparkSession
-    rows = numbered(docs)
-    keys = ["doc_id", *ROW_KEY]
     kind = docs.schema["doc_id"].dataType.simpleString()
     context = spark.sparkContext
     classes = context.broadcast(character_classes())
+    counts = stage(count_words(docs, classes).where(F.col("word") != ""))
+    common = frequent_words(counts, frequent).repartition(64, "word").select("word", encode_words(F.col("word"), ranks).alias("ids"))
+    common = context.broadcast(common.toArrow())
+    size = len(ranks)
     pieces = context.broadcast([p for p, _ in sorted(ranks.items(), key=lambda x: x[1])])
-    codes = count_words(rows, classes).where(F.col("word") != "")
-    codes = stage(codes.withColumn("ids", encode_words(F.col("word"), ranks)))
-    common = codes.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.col("n").desc(), "word").limit(frequent)
-    common = context.broadcast(common.select("word", "ids").toArrow())
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, decoder = np.frombuffer(classes.value, np.uint8), Codes(common.value), Decoder(pieces.value)
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, coded, missing): ids, with -1, -2, ... for the words of ``missing``."""
+        table, known = np.frombuffer(classes.value, np.uint8), Codes(common.value)
         for batch in batches:
             for a, b, data, offsets in slices(batch.column("text"), SLICE, 1 << 20):
                 words, first = words_of(data, offsets, table)
-                number = known.find(words.dictionary)[words.indices.to_numpy()]
-                ids, begin = known.spell(np.maximum(number, 0)) if len(known.words) else (np.zeros(0, np.int64), np.zeros(len(number) + 1, np.int64))
-                missed = np.concatenate([[0], np.cumsum(number < 0)])
-                done = missed[first[1:]] == missed[first[:-1]]
-                joined, decoded = decoder.digests(ids, begin[first])
-                part = batch.slice(a, b - a)
-                lost = []
-                for ok, x, y in zip(done, first[:-1], first[1:], strict=True):
-                    lost.append([] if ok else pc.unique(words.slice(x, y - x).filter(pa.array(number[x:y] < 0)).dictionary_decode()).to_pylist())
-                text = part.column("text")
-                left = pa.array([None if ok else text[i].as_py() for i, ok in enumerate(done)], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in keys), pa.array(np.diff(begin[first])), pa.array(joined), pa.array(decoded),
-                     pa.array(lost, pa.list_(pa.string())), left],
-                    names=[*keys, "n_tokens", "ids_sha256", "decoded_sha256", "missing", "text"],
-                )
-
-    fields = f"doc_id {kind}, {ROW_KEY[0]} long, {ROW_KEY[1]} long"
-    first = rows.select(*keys, text_or_empty().alias("text")).mapInArrow(encode, f"{fields}, {_DIGESTS}, missing array<string>, text string")
-    first = stage(first)
-    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    rest = first.where(F.col("text").isNotNull())
-    wanted = rest.select(F.col("doc_id").alias("d"), *(F.col(k).alias(f"k{k}") for k in ROW_KEY), F.explode("missing").alias("word"))
-    wanted = wanted.join(codes.select("word", "ids"), "word")
-    found = wanted.groupBy("d", *(f"k{k}" for k in ROW_KEY)).agg(F.collect_list(F.struct("word", "ids")).alias("codes"))
-    same = rest["doc_id"].eqNullSafe(found["d"])
-    for k in ROW_KEY:
-        same &= rest[k] == found[f"k{k}"]
-    rest = rest.join(found, same).select("doc_id", "text", "codes")
+                at = words.indices.to_numpy().astype(np.int64)
+                number = known.find(words.dictionary)
+                lost = np.flatnonzero(number[at] < 0)
+                row = np.repeat(np.arange(b - a), np.diff(first))[lost]
+                # a text's missing words, each once, in the order of the slice's dictionary
+                pair, place = np.unique((row << 32) | at[lost], return_inverse=True)
+                begins = np.searchsorted(pair >> 32, np.arange(b - a + 1))
+                mark = np.zeros(len(at), dtype=np.int64)
+                mark[lost] = place - begins[row]
+                every = Codes.joined(known, Codes.single(-1 - np.arange(int(np.diff(begins).max(initial=0)))))
+                ids, begin = every.spell(np.where(number[at] < 0, len(known.words) + mark, number[at]))
+                raw, cut = ids.astype("<i4").tobytes(), 4 * begin[first]
+                missing = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), words.dictionary.take(pa.array(pair & 0xFFFFFFFF)))
+                coded = pa.array([raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), coded, missing], names=["doc_id", "coded", "missing"])
+
+    coded = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(look_up, f"doc_id {kind}, coded binary, missing array<string>")
+    coded = coded.select("doc_id", "coded", _each(F.col("missing"), ranks).alias("found"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, decoder = np.frombuffer(classes.value, np.uint8), Codes(common.value), Decoder(pieces.value)
-        size = len(known.words)
+        decoder, one = Decoder(pieces.value), Codes.single(np.arange(size))
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text"), SLICE, 1 << 20):
-                words, first = words_of(data, offsets, table)
-                flat = batch.column("codes").slice(a, b - a).flatten()
-                own = Codes(pa.table({"word": flat.field("word"), "ids": flat.field("ids")}))
-                number = known.find(words.dictionary)
-                number = np.where(number >= 0, number, own.find(words.dictionary) + size)
-                both = Codes.__new__(Codes)
-                both.ids = np.concatenate([known.ids, own.ids])
-                both.first = np.concatenate([known.first[:-1], own.first + len(known.ids)])
-                ids, begin = both.spell(number[words.indices.to_numpy()])
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                raw = part.column("coded").to_pylist()
+                first = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
+                number = np.frombuffer(b"".join(raw), "<i4").astype(np.int64)
+                found = part.column("found")
+                base = np.asarray(found.offsets, dtype=np.int64)
+                own = found.flatten()
+                row = np.repeat(np.arange(len(raw)), np.diff(first))
+                number = np.where(number < 0, size + (base[:-1] - base[0])[row] - 1 - number, number)
+                ids, begin = Codes.joined(one, Codes.of(own)).spell(number)
                 joined, decoded = decoder.digests(ids, begin[first])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(begin[first])), pa.array(joined), pa.array(decoded)], names=columns
+                    [part.column("doc_id"), pa.array(np.diff(begin[first])), pa.array(joined), pa.array(decoded)],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    finished = rest.mapInArrow(finish, f"doc_id {kind}, {_DIGESTS}")
-    return first.where(F.col("text").isNull()).select(*columns).unionByName(finished)
+    return coded.mapInArrow(finish, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
