@@ -9,6 +9,9 @@ phrases that they begin (and those that end in a pair scoring at or over the lev
 can only drop it), and so knows every phrase that scores at or over the level. A language is
 settled when so many phrases survive there that the level cannot hide another; else its
 level falls and a round follows.
+
+While counting, a word of a language is a 64-bit hash, so phrases are rows of two or three
+longs. The table of all words shows whether two share a hash; then another salt is taken.
 """
 
 from __future__ import annotations
@@ -17,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proxyscope.llm.common import _LOWER, Words, mix64, read, slices, stage, text_or_empty
+from proxyscope.llm.common import _LOWER, mix64, read, slices, stage, text_or_empty
 
 # Fixed values of the production run.
 LEAST_COUNT = 10
@@ -31,7 +33,6 @@ DROP_PERCENT = 50
 NO_LANGUAGE = "und"
 FRONTIER = 4 * TOP  # prefixes of a language in the first round; eight times as many in each next one
 HELD = 1 << 20  # prefixes sent to the tasks; beyond, tasks count all phrases of three words
-SLICE = 4 << 20
 
 _BETWEEN = np.zeros(256, dtype=bool)  # between words
 _BREAK = np.zeros(256, dtype=bool)  # between pieces
@@ -43,40 +44,46 @@ _BETWEEN |= _BREAK
 class Phrases:
     """The words of a slice of texts with their languages, and the phrases that they form."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: pa.Array):
-        words = Words(data, offsets, _BETWEEN)
-        self.n = n = len(words.start)
-        lower = _LOWER[data]
-        size = words.end - words.start
-        first = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(first[-1]) + np.repeat(words.start - first[:-1], size)
-        text = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(lower[at])])
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: pa.Array, salt: int):
+        import xxhash
+
+        inside = ~_BETWEEN[data]
+        edge = np.zeros(len(data) + 1, dtype=bool)  # a text begins
+        edge[offsets] = True
+        begins = inside & edge[:-1]
+        begins[1:] |= inside[1:] & ~inside[:-1]
+        ends = inside & edge[1:]
+        ends[:-1] |= inside[:-1] & ~inside[1:]
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.n = n = len(start)
+        first = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+        text = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(first), pa.py_buffer(_LOWER[data[inside]])])
         coded = text.dictionary_encode()
-        self.words, self.word = coded.dictionary.cast(pa.string()), coded.indices.to_numpy().astype(np.int64)
-        self.hash = np.zeros(len(self.words), np.uint64)
-        self.hash[self.word] = words.hash
         named = langs.dictionary_encode()
-        self.langs, self.lang = named.dictionary, named.indices.to_numpy().astype(np.int64)[words.row]
-        breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])
+        row = np.searchsorted(offsets, start, side="right") - 1
+        lang = named.indices.to_numpy().astype(np.int64)[row]
+        # words of a language, numbered: their first places, numbers and counts
+        key = lang * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+        _, at, self.word, self.count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        self.words = coded.dictionary.take(coded.indices.take(pa.array(at))).cast(pa.string())
+        self.langs = named.dictionary.take(pa.array(lang[at]))
+        seeds = [xxhash.xxh64_intdigest(x.as_buffer(), seed=salt) for x in named.dictionary.cast(pa.binary())]
+        hashes = [xxhash.xxh64_intdigest(w, seed=seeds[k]) for w, k in zip(self.words.cast(pa.binary()).to_pylist(), lang[at].tolist(), strict=True)]
+        self.hash = np.array(hashes, dtype=np.uint64)
+        breaks = np.cumsum(_BREAK[data])
         # whether a word and the next one stand in one piece
-        self.next = (words.row[1:] == words.row[:-1]) & (breaks[words.start[1:]] == breaks[words.end[:-1]]) if n else np.zeros(0, bool)
+        self.next = (row[1:] == row[:-1]) & (breaks[start[1:]] == breaks[end[:-1] - 1]) if n else np.zeros(0, bool)
 
     def grow(self, places: np.ndarray, groups: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct phrases made of the groups at ``places`` and the word ``step`` words on:
         a first place of each, the phrase at each place, and the counts."""
-        key = groups * max(1, len(self.words)) + self.word[places + step]
+        key = groups * max(1, len(self.hash)) + self.word[places + step]
         _, first, phrase, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         return places[first], phrase, count
 
-    def spelt(self, places: np.ndarray, size: int) -> pa.Array:
-        parts = [self.words.take(pa.array(self.word[places + j])) for j in range(size)]
-        return pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-
     def rows(self, places: np.ndarray, count: np.ndarray, size: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [self.langs.take(pa.array(self.lang[places])), self.spelt(places, size), pa.array(np.full(len(places), size, np.int32)), pa.array(count)],
-            names=["lang", "phrase", "size", "n"],
-        )
+        keys = [pa.array(self.hash[self.word[places + j]].view(np.int64)) for j in range(size)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(count)], names=[*"xyz"[:size], "n"])
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,31 +95,36 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), text_or_empty().alias("text"))
 
 
-_COUNTS = "lang string, phrase string, size int, n long"
+def _phrases(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[Phrases]:
+    for batch in batches:
+        for a, b, data, offsets in slices(batch.column("text"), most_rows=1 << 20):
+            yield Phrases(data, offsets, batch.column("lang").slice(a, b - a), salt)
+
+
+def count_words(docs: DataFrame, salt: int) -> DataFrame:
+    """(lang, word, x, n) of all words; x is the word's hash."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _phrases(batches, salt):
+            yield pa.RecordBatch.from_arrays([p.langs, p.words, pa.array(p.hash.view(np.int64)), pa.array(p.count)], names=["lang", "word", "x", "n"])
+
+    return _texts(docs).mapInArrow(work, "lang string, word string, x long, n long").groupBy("lang", "word", "x").agg(F.sum("n").alias("n"))
 
 
-def count_short(docs: DataFrame) -> DataFrame:
-    """(lang, phrase, size, n) of all words and pairs of words."""
+def count_pairs(docs: DataFrame, salt: int) -> DataFrame:
+    """(x, y, n) of all pairs of neighbours."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text"), SLICE, 1 << 20):
-                p = Phrases(data, offsets, batch.column("lang").slice(a, b - a))
-                if not p.n:
-                    continue
-                every = np.arange(p.n)
-                first, word, count = p.grow(every, p.lang, 0)
-                yield p.rows(first, count, 1)
-                places = every[:-1][p.next]
-                if len(places):
-                    first, _, count = p.grow(places, word[places], 1)
-                    yield p.rows(first, count, 2)
-
-    return _texts(docs).mapInArrow(work, _COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-
-
-def count_long(docs: DataFrame, begins: np.ndarray | None, ends: np.ndarray | None) -> DataFrame:
-    """(lang, phrase, n) of phrases of three words that begin with a pair of ``begins`` or end
+        for p in _phrases(batches, salt):
+            places = np.flatnonzero(p.next)
+            first, _, count = p.grow(places, p.word[places], 1)
+            yield p.rows(first, count, 2)
+
+    return _texts(docs).mapInArrow(work, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+
+
+def count_long(docs: DataFrame, salt: int, begins: np.ndarray | None, ends: np.ndarray | None) -> DataFrame:
+    """(x, y, z, n) of phrases of three words that begin with a pair of ``begins`` or end
     with one of ``ends`` (sorted pair keys); a few others may be among them. None: all."""
 
     def among(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -121,43 +133,33 @@ def count_long(docs: DataFrame, begins: np.ndarray | None, ends: np.ndarray | No
         return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text"), SLICE, 1 << 20):
-                p = Phrases(data, offsets, batch.column("lang").slice(a, b - a))
-                if p.n < 3:
-                    continue
-                places = np.flatnonzero(p.next[:-1] & p.next[1:])
-                if begins is not None:
-                    key = pair_keys(p.hash[p.word[:-1]], p.hash[p.word[1:]])
-                    places = places[among(key[places], begins) | among(key[places + 1], ends)]
-                if not len(places):
-                    continue
-                _, word, _ = p.grow(places, p.lang[places], 0)
-                _, pair, _ = p.grow(places, word, 1)
-                first, _, count = p.grow(places, pair, 2)
-                yield p.rows(first, count, 3).drop_columns(["size"])
-
-    return _texts(docs).mapInArrow(work, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        for p in _phrases(batches, salt):
+            near = np.flatnonzero(p.next)
+            first, pair, _ = p.grow(near, p.word[near], 1)
+            kind = np.full(p.n, -1)
+            kind[near] = pair
+            places = np.flatnonzero(p.next[:-1] & p.next[1:])
+            if begins is not None and len(places):
+                key = pair_keys(p.hash[p.word[first]], p.hash[p.word[first + 1]])
+                places = places[among(key, begins)[kind[places]] | among(key, ends)[kind[places + 1]]]
+            first, _, count = p.grow(places, kind[places], 2)
+            yield p.rows(first, count, 3)
 
-
-def _whole(c: str) -> Column:
-    return F.col(c).cast("decimal(38,0)")
+    return _texts(docs).mapInArrow(work, "x long, y long, z long, n long").groupBy("x", "y", "z").agg(F.sum("n").alias("n"))
 
 
 def _score(a: str, left: str, right: str) -> Column:
     """floor(UNIT a^2 / (left right)) in whole numbers of 38 digits."""
-    return F.expr(f"CAST({UNIT} AS DECIMAL(38,0)) * CAST({a} AS DECIMAL(38,0)) * CAST({a} AS DECIMAL(38,0)) DIV (CAST({left} AS DECIMAL(38,0)) * CAST({right} AS DECIMAL(38,0)))")
-
-
-def _pairs(short: DataFrame) -> DataFrame:
-    """Pairs of sufficient count: lang, phrase, x, y, a, fx, fy, score, and the bound of what
-    they begin."""
-    words = short.where(F.col("size") == 1)
-    x = words.select("lang", F.col("phrase").alias("x"), F.col("n").alias("fx"))
-    y = words.select("lang", F.col("phrase").alias("y"), F.col("n").alias("fy"))
-    parts = F.split("phrase", " ")
-    p = short.where(F.col("size") == 2).select("lang", "phrase", F.col("n").alias("a"), parts[0].alias("x"), parts[1].alias("y"))
-    p = p.join(x, ["lang", "x"]).join(y, ["lang", "y"])
+    whole = "CAST({} AS DECIMAL(38,0))".format
+    return F.expr(f"{whole(UNIT)} * {whole(a)} * {whole(a)} DIV ({whole(left)} * {whole(right)})")
+
+
+def _pairs(words: DataFrame, counted: DataFrame) -> DataFrame:
+    """Pairs of sufficient count: lang, x, y (hashes), first, second (words), a, fx, fy,
+    score, and the bound of what they begin."""
+    one = words.select("lang", "x", F.col("word").alias("first"), F.col("n").alias("fx"))
+    two = words.select(F.col("x").alias("y"), F.col("word").alias("second"), F.col("n").alias("fy"))
+    p = counted.withColumnRenamed("n", "a").join(one, "x").join(two, "y")
     bound = F.expr(f"CAST({UNIT} AS DECIMAL(38,0)) * a DIV fx")
     return p.withColumn("score", _score("a", "fx", "fy")).withColumn("bound", bound)
 
@@ -176,73 +178,67 @@ def _held_keys(pairs: DataFrame, most: int) -> np.ndarray | None:
     table = pairs.select("x", "y").limit(most + 1).toArrow()
     if table.num_rows > most:
         return None
+    return np.unique(pair_keys(*(table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in "xy")))
 
-    def hashes(name: str) -> np.ndarray:
-        column = table.column(name).cast(pa.large_string())
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        if not len(column):
-            return np.zeros(0, np.uint64)
-        first = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        data = np.frombuffer(column.buffers()[2], np.uint8)[first[0] : first[-1]]
-        return Words(data, first - first[0], np.zeros(256, dtype=bool)).hash
 
-    return np.unique(pair_keys(hashes("x"), hashes("y")))
+def _counted_words(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Staged word counts, and a salt under which no two words share a hash."""
+    for salt in range(100):
+        words = stage(count_words(docs, salt))
+        if not words.groupBy("x").count().where("count > 1").limit(1).count():
+            return words, salt
+    raise RuntimeError("collocations: words share hashes under every salt")
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST_COUNT, frontier: int = FRONTIER, held: int = HELD) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best phrases of two or three
-    words in ``docs`` (lang, text); see the module's head for the measure's terms.
+    words in ``docs`` (lang, text): the phrase's count a, those of the two parts of its lowest
+    cut (l, r), the language's words n, and floor(1,000,000 a^2 / (l r)).
 
     Null text is empty, a null lang is "und" (one language with rows that say so), repeated
     rows count as often as they stand there, and texts without words, or no rows, give nothing. Ties
     go by count, falling, then by phrase in byte order. Other columns are ignored.
     """
     docs = docs.select("lang", "text")
-    counted = stage(count_short(docs))
-    total = counted.where(F.col("size") == 1).groupBy("lang").agg(F.sum("n").alias("total"))
-    short = counted.where(F.col("n") >= least)
-    pairs = stage(_pairs(short))
+    words, salt = _counted_words(docs)
+    total = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    pairs = stage(_pairs(words.where(F.col("n") >= least), count_pairs(docs, salt).where(F.col("n") >= least)))
     size = frontier
     while True:
         levels = stage(_levels(pairs, size))
-        known = pairs.join(F.broadcast(levels) if levels.limit(4097).count() <= 4096 else levels, "lang")
-        ahead = known.where(F.col("bound") >= F.col("level"))  # the frontier's prefixes
-        risen = known.where(F.col("score") >= F.col("level"))
-        begins = _held_keys(ahead, held)
-        ends = _held_keys(risen, held) if begins is not None else None
+        known = pairs.join(levels, "lang")
+        begins = _held_keys(known.where(F.col("bound") >= F.col("level")), held)  # the frontier's prefixes
+        ends = _held_keys(known.where(F.col("score") >= F.col("level")), held) if begins is not None else None
         if ends is None:
             begins = None
-        long = stage(count_long(docs, begins, ends).where(F.col("n") >= least))
+        long = stage(count_long(docs, salt, begins, ends).where(F.col("n") >= least))
         surviving = stage(_surviving(pairs, long, levels, top))
         met = surviving.groupBy("lang").agg(F.count(F.lit(1)).alias("k"))
-        open_ = levels.where(F.col("level") > 0).join(met, "lang", "left").where(F.coalesce("k", F.lit(0)) < top)
-        if not open_.limit(1).count():
+        unsettled = levels.where(F.col("level") > 0).join(met, "lang", "left").where(F.coalesce("k", F.lit(0)) < top)
+        if not unsettled.limit(1).count():
             break
         size *= 8
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    best = surviving.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    best = surviving.withColumn("rank", F.row_number().over(order).cast("long"))
     return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
 def _surviving(pairs: DataFrame, long: DataFrame, levels: DataFrame, top: int) -> DataFrame:
     """(lang, phrase, a, l, r, score) of the best ``top`` phrases that score at or over their
     language's level and stay beside longer ones."""
-    w = F.split("phrase", " ")
-    long = long.select("lang", "phrase", F.col("n").alias("a"), F.concat_ws(" ", w[0], w[1]).alias("head"), F.concat_ws(" ", w[1], w[2]).alias("tail"))
     # Pairs inside longer phrases: the greatest count that takes each in.
-    inside = long.select("lang", F.explode(F.array_distinct(F.array("head", "tail"))).alias("phrase"), "a")
-    inside = inside.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    two = pairs.join(levels, "lang").where(F.col("score") >= F.col("level")).join(inside, ["lang", "phrase"], "left")
-    two = two.where(F.col("longer").isNull() | (_whole("longer") * 100 < _whole("a") * DROP_PERCENT))
-    two = two.select("lang", "phrase", "a", F.col("fx").alias("l"), F.col("fy").alias("r"), "score")
-    head = pairs.select("lang", F.col("phrase").alias("head"), F.col("a").alias("f_head"), F.col("fx").alias("f_first"))
-    tail = pairs.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("f_tail"), F.col("fy").alias("f_last"))
-    three = long.join(head, ["lang", "head"]).join(tail, ["lang", "tail"])
-    early, late = _score("a", "f_first", "f_tail"), _score("a", "f_head", "f_last")
-    three = three.withColumn("early", early).withColumn("late", late)
+    inside = long.select("x", "y", "n").unionAll(long.select("y", "z", "n")).groupBy("x", "y").agg(F.max("n").alias("longer"))
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    two = pairs.join(levels, "lang").where(F.col("score") >= F.col("level")).join(inside, ["x", "y"], "left")
+    two = two.where(F.col("longer").isNull() | (whole("longer") * 100 < whole("a") * DROP_PERCENT))
+    two = two.select("lang", F.concat_ws(" ", "first", "second").alias("phrase"), "a", F.col("fx").alias("l"), F.col("fy").alias("r"), "score")
+    head = pairs.select("lang", "x", "y", F.concat_ws(" ", "first", "second").alias("head"), F.col("a").alias("f_head"), F.col("fx").alias("f_first"))
+    tail = pairs.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("second").alias("last"), F.col("a").alias("f_tail"), F.col("fy").alias("f_last"))
+    three = long.withColumnRenamed("n", "a").join(head, ["x", "y"]).join(tail, ["y", "z"])
+    three = three.withColumn("early", _score("a", "f_first", "f_tail")).withColumn("late", _score("a", "f_head", "f_last"))
     by = F.col("early") <= F.col("late")  # the lower cut counts, of equal ones the earlier
     three = three.select(
-        "lang", "phrase", "a", F.when(by, F.col("f_first")).otherwise(F.col("f_head")).alias("l"),
+        "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "a", F.when(by, F.col("f_first")).otherwise(F.col("f_head")).alias("l"),
         F.when(by, F.col("f_tail")).otherwise(F.col("f_last")).alias("r"), F.least("early", "late").alias("score"),
     )
     three = three.join(levels, "lang").where(F.col("score") >= F.col("level")).drop("level")
