@@ -28,10 +28,9 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     ).where(F.col("conv_id").isNotNull()).distinct()
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     t = t.withColumn("position", F.row_number().over(order))
-    key = F.concat_ws("\x1f", F.col("position").cast("string"), "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for name, salt in (("high", 1), ("low", 2)):
-        t = t.withColumn(name, F.bit_xor(F.xxhash64(F.lit(salt), key)).over(upto))
+        t = t.withColumn(name, F.bit_xor(F.xxhash64(F.lit(salt), "position", F.xxhash64(F.lit(salt), "role"), F.xxhash64(F.lit(salt), "text"))).over(upto))
     return t
 
 
@@ -59,7 +58,10 @@ def _collapse(t: DataFrame) -> DataFrame:
     longer = heads.join(ends, "conv_id").where(F.col("n_turns") < F.col("full"))
     prefixes = longer.select("high", "low", "n_turns").distinct()
     maximal = whole.join(prefixes, ["high", "low", "n_turns"], "left_anti").select("conv_id", "n_turns", "copies")
-    taken = longer.join(whole.select("high", "low", "n_turns"), ["high", "low", "n_turns"], "left_semi")
+    # Only prefixes that are whole conversations are looked for, each one row; the heads of
+    # all conversations are the other side, a plain shuffle that Spark may split at a common turn.
+    wholes = stage(whole.join(prefixes, ["high", "low", "n_turns"], "left_semi").select("high", "low", "n_turns"))
+    taken = stage(longer).join(wholes, ["high", "low", "n_turns"])
     snapshots = taken.groupBy("conv_id").agg(F.count(F.lit(1)).alias("snapshots"))
     return maximal.join(snapshots, "conv_id", "left").withColumn("snapshots", F.coalesce("snapshots", F.lit(0).cast("long")))
 

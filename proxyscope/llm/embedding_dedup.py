@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxyscope.llm.common import mix64, read, stage
@@ -80,6 +80,13 @@ def bucket_numbers(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, ha
     return np.concatenate(out, axis=1).view(np.int64)
 
 
+def _usable() -> Column:
+    """Whether a row's label is there and its vector finite and not zero: what links at all."""
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
+    v = F.col("embedding")
+    return F.col("label").isNotNull() & F.coalesce(F.forall(v, finite) & F.exists(v, lambda c: c != 0), F.lit(False))
+
+
 def vector_rows(frame: DataFrame) -> DataFrame:
     """(vec_id, label, node, raw) of each usable vector; ``raw`` is its components as
     little-endian doubles and ``node`` a digest of label and components."""
@@ -90,12 +97,10 @@ def vector_rows(frame: DataFrame) -> DataFrame:
             vectors = batch.column("embedding")
             flat = vectors.flatten()
             values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0)
-            sizes = np.array([len(v) if v is not None else 0 for v in (vectors[i].values if vectors[i].is_valid else None for i in range(len(vectors)))], np.int64)
-            at = np.concatenate([[0], np.cumsum(sizes)])
+            at = np.asarray(vectors.offsets, dtype=np.int64)
+            at = at - at[0]
             for i, label in enumerate(batch.column("label").to_pylist()):
-                v = values[at[i] : at[i + 1]]  # null components are NaN here
-                if not len(v) or not np.isfinite(v).all() or not v.any():
-                    continue
+                v = values[at[i] : at[i + 1]]
                 raw = (v + 0.0).astype("<f8").tobytes()
                 ids.append(i)
                 labels.append(label)
@@ -107,7 +112,7 @@ def vector_rows(frame: DataFrame) -> DataFrame:
             )
 
     kind, label = (frame.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
-    rows = frame.select("vec_id", "label", "embedding").where(F.col("label").isNotNull() & F.col("embedding").isNotNull())
+    rows = frame.where(_usable()).select("vec_id", "label", "embedding")
     return rows.mapInArrow(work, f"vec_id {kind}, label {label}, node binary, raw binary")
 
 
@@ -203,12 +208,7 @@ def near_vectors(frame: DataFrame, min_cosine: float = MIN_COSINE, tables: int =
         F.coalesce("component_id", "least").alias("component_id"),
     )
     usable = rows.select("vec_id", "node").join(info, F.col("node") == F.col("of")).select("vec_id", "n_links", "component_id")
-    # the rest: rows that vector_rows left out
-    found = usable.groupBy("vec_id").agg(F.count(F.lit(1)).alias("used"))
-    unused = frame.groupBy("vec_id").agg(F.count(F.lit(1)).alias("all")).join(
-        found.withColumnRenamed("vec_id", "v"), F.col("vec_id").eqNullSafe(F.col("v")), "left"
-    )
-    unused = unused.select("vec_id", F.expr("explode(array_repeat(0L, cast(`all` - coalesce(used, 0) as int)))").alias("n_links"), F.col("vec_id").alias("component_id"))
+    unused = frame.where(~_usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = usable.unionByName(unused)
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

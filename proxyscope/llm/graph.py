@@ -82,32 +82,38 @@ def reach(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the least node it is connected to.
 
-    Alternating large-star and small-star steps: each node links its larger neighbours, then
-    its smaller ones, to the least of them, until nothing changes. A step is a partial
-    aggregation and a join. The least neighbours are written to the shared folder before the
-    join: both its sides are then plain shuffles, which Spark may split where a node has very many edges.
+    Edges point from the greater to the lesser node. In each round every node takes its least
+    neighbour for its parent, and then that one's parent; its other neighbours are linked to
+    the same. Once each node has one edge, only parents are followed, and the end is seen in
+    the round's own table: no node has two edges or a parent that has a parent. Parents are
+    written to the shared folder before they are joined: both sides of a join are then plain
+    shuffles, which Spark may split where very many nodes have one parent.
     """
     kind = edges.schema["a"].dataType.simpleString()
-    swapped = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = stage(swapped.where(F.col("a") != F.col("b")).distinct())
-    seen = None
+
+    def pointed(df: DataFrame) -> DataFrame:
+        out = df.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        return stage(out.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
+
+    now, single = pointed(edges), False
     for _ in range(most_rounds):
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
-        large = both.join(least, F.col("a") == F.col("u")).where(F.col("b") > F.col("a"))
-        large = stage(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        # now every edge points to a smaller node; link a node's smaller ones to their least
-        low = stage(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
-        small = large.join(low, F.col("a") == F.col("u"))
-        small = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = stage(small.where(F.col("a") != F.col("b")).distinct())
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
-        if state == seen:
+        low = now.withColumnRenamed("b", "m").withColumn("k", F.lit(1).cast("long")) if single else stage(
+            now.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
+        )
+        above = low.select(F.col("a").alias("m"), F.col("m").alias("over"))
+        jumped = stage(low.join(above, "m", "left").select("a", F.coalesce("over", "m").alias("b"), "m", "k", F.col("over").isNotNull().alias("moved")))
+        most, moved = jumped.agg(F.max("k"), F.max("moved")).first()
+        single = (most or 0) <= 1
+        if single and not moved:
             break
-        seen = state
+        parents = jumped.select("a", "b")
+        if single:
+            now = parents
+            continue
+        others = now.join(jumped.where(F.col("k") > 1).select("a", "m", F.col("b").alias("to")), "a").where(F.col("b") != F.col("m"))
+        now = pointed(parents.unionAll(others.select(F.col("b").alias("a"), F.col("to").alias("b"))))
     else:
         raise RuntimeError("components: no end reached")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
+    roots = jumped.groupBy("b").agg(F.lit(1).alias("one")).select(F.col("b").alias("node"), F.col("b").alias("component"))
+    found = jumped.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
     return found.select(F.col("node").cast(kind).alias("node"), "component")

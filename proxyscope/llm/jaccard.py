@@ -187,7 +187,8 @@ def verified_links(table: pa.Table) -> dict[str, pa.Array]:
         linked &= side[:, None] != side[None, :]
     root = reach(len(sets), lambda i, rest: linked[i, rest])
     node = table.column("node").combine_chunks()
-    return {"node": node, "links": pa.array(linked @ table.column("copies").to_numpy()), "root": _take(node, root)}
+    part = table.column("blocks").combine_chunks()
+    return {"node": node, "links": pa.array(linked @ table.column("copies").to_numpy()), "root": _take(node, root), "blocks": part}
 
 
 def _same_row(rows: DataFrame, key: Column) -> Column:
@@ -229,9 +230,13 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     texts = docs.select("doc_id", *ROW_KEY, text_or_empty().alias("text"))
     of = members.join(texts, _same_row(texts, members["head"]))
     listed = _shingle_rows(of.select("node", "component", "copies", "blocks", "text"))
-    found = stage(per_cell(cells(listed, "component", F.col("blocks")), verified_links, "node binary, links long, root binary"))
+    found = stage(per_cell(cells(listed, "component", F.col("blocks")), verified_links, "node binary, links long, root binary, blocks long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # A group of one block was searched whole in its cell; only the parts of others must be joined.
+    joined = found.where(F.col("blocks") == 1).select("node", F.col("root").alias("component"))
+    parted = found.where(F.col("blocks") > 1).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if parted.limit(1).count():
+        joined = joined.unionAll(components(parted))
     return known, nodes, links, joined
 
 

@@ -5,8 +5,8 @@ into full pieces, each a sequence of its own; what is left of a document is one
 has a demand vector (tokens, documents, attention cost = tokens squared) and a bin has as
 many capacities. Items are dealt by hash to groups of bounded size and packed within them by
 vector best-fit decreasing: of the open bins where the item fits in every dimension, the one
-with the largest dot product of the weighted demand and residual shares ("dot"), or with the
-least weighted norm of the residual afterwards ("norm").
+with the least dot product of the weighted demand and the residual shares afterwards, the
+fullest fit ("dot"), or with the least weighted norm of the residual afterwards ("norm").
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proxyscope.llm.common import read, stage, text_or_empty
+from proxyscope.llm.common import ROW_KEY, numbered, read, stage, text_or_empty
 
 # Fixed values of the production packing.
 CAPACITY = 2048
-MAX_DOCS = 512
+MAX_DOCS = CAPACITY  # a document has a token at least, so only tokens bind
 MAX_COST = CAPACITY * CAPACITY
 WEIGHTS = (1.0, 0.05, 0.05)
 TOKENIZER = "word_bpe_49k.json"
@@ -54,7 +54,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        marks = self.whole.get_added_tokens_decoder().values()
+        self.marks = re.compile("|".join(re.escape(m.content) for m in marks) or "(?!)", re.IGNORECASE)
         self.merge = self.whole.model.tokenize
         self.kept = kept // 2
         self.young: dict[str, bytes] = {}
@@ -80,6 +81,8 @@ class WordTokenizer:
         return self.whole.encode(word[1:], add_special_tokens=False).ids
 
     def ids(self, text: str) -> bytes:
+        if self.marks.search(text):  # a mark may be one id, also across words
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if _PLAIN.fullmatch(text):
             keys, make = _PARTS.findall(text.lower()), self._merge_part
         else:  # a space before a word tells it from a part; only ASCII white space is cut at
@@ -165,8 +168,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max
     Full pieces are sequences of their own and take no part in the search."""
     n = cut.where(F.col("length") < capacity).count()
     groups = max(1, -(-n // group_items))
-    digest = F.xxhash64("doc_id", "piece", "ids_crc32")
-    cut = cut.withColumn("group", F.pmod(digest, F.lit(groups)))
+    # dealt by row, as very many rows may be equal; ``cut`` is a written table
+    keys = [c for c in ROW_KEY if c in cut.columns]
+    cut = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *keys), F.lit(groups))).drop(*keys)
     limits = (capacity, max_docs, max_cost)
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
@@ -198,7 +202,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, **limits) -> Dat
     their own. No rows give no rows. Other columns are ignored. Sequence ids depend on the
     rows alone, not on how they are partitioned.
     """
-    cut = stage(pieces(docs, ["doc_id"], tokenizer, limits.get("capacity", CAPACITY)))
+    cut = stage(pieces(numbered(docs), ["doc_id", *ROW_KEY], tokenizer, limits.get("capacity", CAPACITY)))
     return pack(cut, **limits)
 
 

@@ -152,12 +152,19 @@ def chain_log_odds(chain: Sequence[Linear], data: np.ndarray, offsets: np.ndarra
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> pa.Table:
     """(doc_id, words, form, targets) of at most ``most`` labelled documents, those of least
-    seeded hash. Only their ids, a bounded number, are broadcast to the documents."""
+    seeded hash. Only their ids, a bounded number, are broadcast to the documents. Of rows under
+    one id, that of the least text hash stands for all."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_of")).agg(
         F.max((F.col("quality") == 0).cast("double")).alias("low_quality"), F.max((F.col("toxic") == 1).cast("double")).alias("toxic")
     )
     chosen = known.orderBy(F.xxhash64(F.lit(SEED), "label_of"), "label_of").limit(most)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_of"))
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    met = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_of"))
+    # hashes only: summed up in the tasks before they move, one row an id
+    least = met.groupBy("label_of").agg(F.min(F.xxhash64("text")).alias("hash"))
+    marked = chosen.join(least, "label_of")
+    rows = texts.join(F.broadcast(marked), (F.col("doc_id") == F.col("label_of")) & (F.xxhash64("text") == F.col("hash")))
+    rows = rows.groupBy("doc_id", *CHAIN).agg(F.first("text").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
