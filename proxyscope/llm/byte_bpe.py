@@ -36,7 +36,6 @@ LONG = 64  # bytes of a word
 FREQUENT = 1 << 20  # words sent to all tasks at most,
 FREQUENT_BYTES = 64  # each of so many bytes at most
 BUCKETS = 1 << 16
-SLICE = 4 << 20
 
 # Fixed value: the pattern that ``word_starts`` follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -116,7 +115,7 @@ def count_words(docs: DataFrame, classes) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes.value, np.uint8)
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text"), SLICE, 1 << 20):
+            for _, _, data, offsets in slices(batch.column("text"), most_rows=1 << 20):
                 words, _ = words_of(data, offsets, table)
                 n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
                 if len(n):
@@ -251,50 +250,58 @@ def _fold_long(pieces: Column, rank: Callable[[Column], Column]) -> Column:
     return parts_of(F.aggregate(pieces, start, step)["s"])
 
 
-class Codes:
-    """Ids of numbered words: ``ids[first[i]:first[i + 1]]`` of word i; ``words`` for lookup."""
+def word_hashes(words: pa.Array) -> np.ndarray:
+    import xxhash
 
-    def __init__(self, table: pa.Table):
-        self.words = table.column("word").combine_chunks().cast(pa.string())
-        self.first, self.ids = _lists(table.column("ids").combine_chunks())
+    return np.array([xxhash.xxh64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
 
-    @classmethod
-    def _made(cls, first: np.ndarray, ids: np.ndarray) -> Codes:
-        out = cls.__new__(cls)
-        out.words, out.first, out.ids = pa.array([], pa.string()), first, ids
-        return out
 
-    @classmethod
-    def of(cls, lists: pa.Array) -> Codes:
-        return cls._made(*_lists(lists))
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column without nulls."""
+    first = np.asarray(column.offsets, dtype=np.int64)
+    return first - first[0], column.flatten().to_numpy(zero_copy_only=False)
 
-    @classmethod
-    def single(cls, ids: np.ndarray) -> Codes:
-        """Words of one id each."""
-        return cls._made(np.arange(len(ids) + 1), np.asarray(ids, dtype=np.int64))
 
-    @classmethod
-    def joined(cls, a: Codes, b: Codes) -> Codes:
-        return cls._made(np.concatenate([a.first[:-1], b.first + len(a.ids)]), np.concatenate([a.ids, b.ids]))
+class Codes:
+    """Ids of numbered words: ``ids[first[i]:first[i + 1]]`` of word i."""
 
-    def find(self, words: pa.Array) -> np.ndarray:
-        """Number of each word, -1 where it is not here."""
-        if not len(self.words):
-            return np.full(len(words), -1, dtype=np.int64)
-        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    def __init__(self, lists: pa.Array):
+        self.first, self.ids = _lists(lists)
 
-    def spell(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of words in turn, and the first of each word (and the end)."""
-        size = self.first[numbers + 1] - self.first[numbers]
+    def spell(self, numbers: np.ndarray, singles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words in turn, and the first of each word (and the end). Where a number
+        is negative, the word's only id is that of ``singles``."""
+        own = numbers >= 0
+        size = np.ones(len(numbers), dtype=np.int64)
+        size[own] = self.first[numbers[own] + 1] - self.first[numbers[own]]
         first = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(first[-1]) + np.repeat(self.first[numbers] - first[:-1], size)
-        return self.ids[at], first
+        out = np.empty(first[-1], dtype=np.int64)
+        out[first[:-1][~own]] = singles[~own]
+        wanted = numbers[own]
+        held = np.repeat(own, size)
+        skip = np.concatenate([[0], np.cumsum(size[own])[:-1]]) if len(wanted) else np.zeros(0, np.int64)
+        out[held] = self.ids[np.arange(int(held.sum())) + np.repeat(self.first[wanted] - skip, size[own])]
+        return out, first
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of a list column without nulls."""
-    first = np.asarray(column.offsets, dtype=np.int64)
-    return first - first[0], column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+class KnownWords(Codes):
+    """Codes of words that can be looked up; made on the driver and sent to the tasks."""
+
+    def __init__(self, table: pa.Table):
+        words = table.column("word").combine_chunks().cast(pa.string()) if table.num_rows else pa.array([], pa.string())
+        hashes = word_hashes(words)
+        order = pa.array(np.argsort(hashes, kind="stable"))
+        self.hashes, self.words = hashes[order.to_numpy()], words.take(order)
+        super().__init__(table.column("ids").combine_chunks().take(order) if table.num_rows else pa.array([], pa.list_(pa.int32())))
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Number of each word, -1 where it is not here (or behind another of equal hash)."""
+        if not len(self.words) or not len(words):
+            return np.full(len(words), -1, dtype=np.int64)
+        hashes = word_hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
 
 
 class Decoder:
@@ -341,15 +348,14 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
     classes = context.broadcast(character_classes())
     counts = stage(count_words(docs, classes).where(F.col("word") != ""))
     common = frequent_words(counts, frequent).repartition(64, "word").select("word", encode_words(F.col("word"), ranks).alias("ids"))
-    common = context.broadcast(common.toArrow())
-    size = len(ranks)
+    common = context.broadcast(KnownWords(common.toArrow()))
     pieces = context.broadcast([p for p, _ in sorted(ranks.items(), key=lambda x: x[1])])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, coded, missing): ids, with -1, -2, ... for the words of ``missing``."""
-        table, known = np.frombuffer(classes.value, np.uint8), Codes(common.value)
+        table, known = np.frombuffer(classes.value, np.uint8), common.value
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column("text"), SLICE, 1 << 20):
+            for a, b, data, offsets in slices(batch.column("text"), most_rows=1 << 20):
                 words, first = words_of(data, offsets, table)
                 at = words.indices.to_numpy().astype(np.int64)
                 number = known.find(words.dictionary)
@@ -360,8 +366,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
                 begins = np.searchsorted(pair >> 32, np.arange(b - a + 1))
                 mark = np.zeros(len(at), dtype=np.int64)
                 mark[lost] = place - begins[row]
-                every = Codes.joined(known, Codes.single(-1 - np.arange(int(np.diff(begins).max(initial=0)))))
-                ids, begin = every.spell(np.where(number[at] < 0, len(known.words) + mark, number[at]))
+                ids, begin = known.spell(number[at], -1 - mark)
                 raw, cut = ids.astype("<i4").tobytes(), 4 * begin[first]
                 missing = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), words.dictionary.take(pa.array(pair & 0xFFFFFFFF)))
                 coded = pa.array([raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
@@ -371,7 +376,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
     coded = coded.select("doc_id", "coded", _each(F.col("missing"), ranks).alias("found"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, one = Decoder(pieces.value), Codes.single(np.arange(size))
+        decoder = Decoder(pieces.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
@@ -380,10 +385,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
                 number = np.frombuffer(b"".join(raw), "<i4").astype(np.int64)
                 found = part.column("found")
                 base = np.asarray(found.offsets, dtype=np.int64)
-                own = found.flatten()
                 row = np.repeat(np.arange(len(raw)), np.diff(first))
-                number = np.where(number < 0, size + (base[:-1] - base[0])[row] - 1 - number, number)
-                ids, begin = Codes.joined(one, Codes.of(own)).spell(number)
+                ids, begin = Codes(found.flatten()).spell(np.where(number < 0, (base[:-1] - base[0])[row] - 1 - number, -1), number)
                 joined, decoded = decoder.digests(ids, begin[first])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(begin[first])), pa.array(joined), pa.array(decoded)],
