@@ -10,7 +10,7 @@ result does not depend on DuckDB's time zone setting.
 
 from __future__ import annotations
 
-from proxyscope.plans.registry import FROM_START, NO_DATA, RANGE_END, RANGE_START, UNTIL_END
+from proxyscope.plans.registry import FROM_START, MID_HOURS, NO_DATA, ONE_HOUR, RANGE_END, RANGE_START, UNTIL_END
 
 
 def _lit(s: str) -> str:
@@ -329,6 +329,22 @@ _REPORTS = {
     "status_classes_range": status_classes(RANGE_START, RANGE_END),
     "weekday_totals": weekday_totals(),
     "weekday_totals_range": weekday_totals(RANGE_START, RANGE_END),
+    "stored_top_countries_range": top_countries(RANGE_START, RANGE_END),
+    "stored_host": "SELECT host, CAST(ts AS DATE) AS dt, status, count(*) AS n FROM requests WHERE host = (SELECT min(host) FROM requests) GROUP BY ALL",
+    "partials_requests_over_time": requests_over_time(),
+    "partials_requests_over_time_mid": requests_over_time(*MID_HOURS),
+    "partials_requests_over_time_hour": requests_over_time(*ONE_HOUR),
+    "partials_bandwidth_over_time_mid": bandwidth_over_time(*MID_HOURS),
+    "partials_status_codes_mid": status_codes(*MID_HOURS),
+    "partials_status_codes_from": status_codes(FROM_START, None),
+    "partials_hourly_heatmap_until": hourly_heatmap(None, UNTIL_END),
+    "partials_user_agents_mid": user_agents(*MID_HOURS),
+    "partials_status_classes_mid": status_classes(*MID_HOURS),
+    "partials_weekday_totals_range": weekday_totals(RANGE_START, RANGE_END),
+    "partials_weekday_totals_no_data": weekday_totals(NO_DATA, None),
+    "two_pass_top_hosts": top_hosts(),
+    "two_pass_top_paths": top_paths(),
+    "two_pass_top_paths_range": top_paths(RANGE_START, RANGE_END),
 }
 
 
@@ -364,6 +380,8 @@ def url_parts_general() -> str:
 def oracle_queries() -> dict[str, str]:
     """name -> complete DuckDB statement."""
     out = {name: BASE + sql for name, sql in {**_PARSE_ONLY, **_REPORTS}.items()}
+    for name in ("requests", "rejected_lines", "requests_by_day", "coverage"):  # the table read back holds the same
+        out[f"stored_{name}"] = out[{"requests": "parse_requests", "coverage": "table_coverage"}.get(name, name)]
     out["url_parts_general"] = url_parts_general()
     out["report_document"] = BASE + report_documents()
     out["report_document_no_data"] = BASE + report_documents((NO_DATA, None))

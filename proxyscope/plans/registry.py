@@ -7,16 +7,21 @@ result, so its work grows with the tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from proxyscope.operators import export as X
+from proxyscope.operators import heavy_keys as H
 from proxyscope.operators import parse as P
+from proxyscope.operators import partials as M
 from proxyscope.operators import reports as R
 from proxyscope.operators import rollups as D
 from proxyscope.session import use_utc
+from proxyscope.sources import partials as T
 from proxyscope.sources import table as S
+from proxyscope.sources.scratch import shared_folder
 from proxyscope.functions.url import with_url_parts
 from proxyscope.sources.fixtures import fixture_lines, general_urls
 from pyspark.sql import functions as F
@@ -62,6 +67,54 @@ def url_parts_general(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RANGE = (RANGE_START, RANGE_END)
+MID_HOURS = ("2024-01-05 07:20:30", "2024-01-20 18:45:59.999999")  # cut hours at both ends
+ONE_HOUR = ("2024-01-05 07:20:30", "2024-01-05 07:40:00")
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests, hourly partials, rejects) as an import leaves them: the lines are written as log files
+    below the shared folder and imported by two runs, each of which refreshes the partials.
+    Made once per application and folder of tables."""
+    use_utc(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        root = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+        lines = log_lines(spark, sf_dir).withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2)))
+        lines.write.partitionBy("half").text(f"{root}/logs")
+        for half in range(2):
+            S.import_logs(spark, f"{root}/logs/half={half}", f"{root}/requests", keep_rejects=True)
+            T.refresh_partials(spark, f"{root}/requests", f"{root}/partials")
+        _STORED[key] = root
+    root = _STORED[key]
+    return S.load_requests(spark, f"{root}/requests"), T.load_partials(spark, f"{root}/partials"), S.load_rejects(spark, f"{root}/requests")
+
+
+def _stored(op: Callable[..., DataFrame], *args, **kwargs) -> Query:
+    """On the stored table, read back from Parquet."""
+    return lambda spark, sf_dir: op(stored_tables(spark, sf_dir)[0], *args, **kwargs)
+
+
+def _partials(op: Callable[..., DataFrame], *args) -> Query:
+    """On the stored table and its hourly partials."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        requests, partials, _ = stored_tables(spark, sf_dir)
+        return op(partials, requests, *args)
+
+    return query
+
+
+def stored_rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tables(spark, sf_dir)[2]
+
+
+def stored_host(requests: DataFrame) -> DataFrame:
+    """Days of the host that ranks first by name, looked up in the stored table."""
+    host = requests.agg(F.min("host")).first()[0]
+    found = S.host_requests(requests, host)
+    return found.groupBy("host", "dt", "status").agg(F.count(F.lit(1)).alias("n"))
 
 QUERIES: dict[str, Query] = {
     "parse_requests": lambda spark, sf_dir: parsed_requests(spark, sf_dir),
@@ -115,6 +168,26 @@ QUERIES: dict[str, Query] = {
     "weekday_totals": _on_requests(D.weekday_totals),
     "weekday_totals_range": _on_requests(D.weekday_totals, *RANGE),
     "report_document": _on_requests(X.all_reports),
+    "stored_requests": _stored(lambda df: df.drop("dt")),
+    "stored_rejected_lines": stored_rejected_lines,
+    "stored_requests_by_day": _stored(lambda df: df.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))),
+    "stored_coverage": _stored(S.table_coverage),
+    "stored_host": _stored(stored_host),
+    "stored_top_countries_range": _stored(R.top_countries, *RANGE),
+    "partials_requests_over_time": _partials(M.requests_over_time),
+    "partials_requests_over_time_mid": _partials(M.requests_over_time, *MID_HOURS),
+    "partials_requests_over_time_hour": _partials(M.requests_over_time, *ONE_HOUR),
+    "partials_bandwidth_over_time_mid": _partials(M.bandwidth_over_time, *MID_HOURS),
+    "partials_status_codes_mid": _partials(M.status_codes, *MID_HOURS),
+    "partials_status_codes_from": _partials(M.status_codes, FROM_START, None),
+    "partials_hourly_heatmap_until": _partials(M.hourly_heatmap, None, UNTIL_END),
+    "partials_user_agents_mid": _partials(M.user_agents, *MID_HOURS),
+    "partials_status_classes_mid": _partials(M.status_classes, *MID_HOURS),
+    "partials_weekday_totals_range": _partials(M.weekday_totals, *RANGE),
+    "partials_weekday_totals_no_data": _partials(M.weekday_totals, NO_DATA, None),
+    "two_pass_top_hosts": _stored(H.top_hosts),
+    "two_pass_top_paths": _stored(H.top_paths),
+    "two_pass_top_paths_range": _stored(H.top_paths, *RANGE),
 }
 
-__all__ = ["QUERIES", "RANGE_START", "RANGE_END", "FROM_START", "UNTIL_END", "log_lines", "parsed_requests"]
+__all__ = ["QUERIES", "MID_HOURS", "ONE_HOUR", "stored_tables", "RANGE_START", "RANGE_END", "FROM_START", "UNTIL_END", "log_lines", "parsed_requests"]

@@ -33,6 +33,20 @@ REQUESTS_TABLE_SCHEMA = T.StructType(
     + [T.StructField("dt", T.DateType(), True)]
 )
 
+# Hourly partial aggregates of the stored table, by data file (see sources.partials).
+PARTIALS_SCHEMA = T.StructType(
+    [
+        T.StructField("file", T.StringType(), True),
+        T.StructField("hour", T.LongType(), True),
+        T.StructField("status", T.IntegerType(), True),
+        T.StructField("browser", T.StringType(), True),
+        T.StructField("n", T.LongType(), True),
+        T.StructField("bytes_hi", T.LongType(), True),
+        T.StructField("bytes_lo", T.LongType(), True),
+        T.StructField("dt", T.DateType(), True),
+    ]
+)
+
 # Output of classify_lines: the raw line, the reject reason (NULL when the
 # line is accepted) and the parsed fields.
 REJECT_REASONS = ("invalid_utf8", "no_match", "bad_timestamp", "bad_status", "bad_bytes")

@@ -11,6 +11,11 @@
 * Files are zstd-compressed: about a quarter smaller than Spark's default
   snappy for this table, at the same write speed, which is what scans of a
   large table are bound by.
+* Host and path have Parquet bloom filters: a lookup of one host reads only the row groups
+  that may hold it. Columns of few values (status, country) are skipped by dictionary.
+* ``compact_day`` rewrites one day into fewer files, in time order or clustered by host.
+* Rejected lines can be kept by the same write (``keep_rejects``): they have no ``ts``, so
+  they lie in the partition without a day, which ``load_requests`` prunes.
 * Appends need no shuffle: every task writes its own files, at most one per
   day it holds, each capped by ``maxRecordsPerFile``. Log files are written
   in time order, so a task's split covers few days.
@@ -24,8 +29,10 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from proxyscope.functions.fields import utc_day
+from proxyscope.operators.filters import time_range
 from proxyscope.operators.parse import classify_lines
 from proxyscope.schema import REQUESTS_COLUMNS, REQUESTS_TABLE_SCHEMA, REJECT_REASONS
 from proxyscope.sources.text import file_totals, read_lines
@@ -37,6 +44,15 @@ DEFAULT_MAX_RECORDS_PER_FILE = 5_000_000
 # of the write, for 2% more bytes).
 PARQUET_COLUMN_OPTIONS = {"parquet.enable.dictionary#raw": "false", "parquet.enable.dictionary#url": "false"}
 
+# Bloom filters take a few percent of the file. They are sized for this many
+# values of a row group, and left out where a column chunk is all dictionary (that is exact already).
+_BLOOM_OPTIONS = {
+    f"parquet.bloom.filter.{name}#{column}": value
+    for column, values in (("host", "20000"), ("path", "200000"))
+    for name, value in (("enabled", "true"), ("expected.ndv", values))
+}
+WRITE_OPTIONS = {"compression": "zstd", **PARQUET_COLUMN_OPTIONS, **_BLOOM_OPTIONS}
+
 
 def with_dt(requests: DataFrame) -> DataFrame:
     """The stored form of parsed rows: their columns and ``dt``, the UTC day of ``ts``."""
@@ -47,20 +63,48 @@ def append_requests(
     requests: DataFrame, path: str, max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE
 ) -> None:
     """Append parsed rows to the table at ``path`` (created when missing)."""
-    out = with_dt(requests).sortWithinPartitions("dt", "ts")
-    (
-        out.write.mode("append")
-        .partitionBy("dt")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .option("compression", "zstd")
-        .options(**PARQUET_COLUMN_OPTIONS)
-        .parquet(path)
-    )
+    _append(with_dt(requests), path, max_records_per_file)
+
+
+def _append(rows: DataFrame, path: str, max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE) -> None:
+    out = rows.sortWithinPartitions("dt", "ts").write.mode("append").option("maxRecordsPerFile", max_records_per_file)
+    out.partitionBy("dt").options(**WRITE_OPTIONS).parquet(path)
+
+
+def compact_day(
+    spark: SparkSession, path: str, day: str, files: int, cluster_by: str | None = None,
+    max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
+) -> None:
+    """Rewrite one day (``2026-02-15``) into about ``files`` files, leaving other days alone.
+
+    Rows are dealt by ranges of time, so each file covers one stretch of the day. With
+    ``cluster_by`` (``host``, say) they are dealt by ranges of that column, then time:
+    statistics and bloom filters then leave a lookup of one value a file or two, at the price
+    of reading all files for a stretch of the day. The day's old files go when the new ones
+    are committed; a reader that listed them before must start again. Partials of the table
+    name data files, so call ``partials.rebuild_partials`` for the day afterwards.
+    """
+    keys = [cluster_by, "ts"] if cluster_by else ["ts"]
+    rows = load_requests(spark, path).where(F.col("dt") == F.lit(day).cast("date"))
+    out = rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt")
+    writer.option("maxRecordsPerFile", max_records_per_file).options(**WRITE_OPTIONS).parquet(path)
+
+
+def host_requests(requests: DataFrame, host: str, start=None, end=None) -> DataFrame:
+    """All requests of one host in a time range, by the row-group filters of the stored table."""
+    return time_range(requests, start, end).where(F.col("host") == host)
 
 
 def load_requests(spark: SparkSession, path: str) -> DataFrame:
     """The table with its declared schema (no inference); ``dt`` comes from the folder names."""
-    return spark.read.schema(REQUESTS_TABLE_SCHEMA).parquet(path)
+    return spark.read.schema(REQUESTS_TABLE_SCHEMA).parquet(path).where(F.col("dt").isNotNull())
+
+
+def load_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that imports with ``keep_rejects`` rejected: ``raw`` and ``reason``."""
+    rows = spark.read.schema(StructType([*REQUESTS_TABLE_SCHEMA.fields, StructField("reason", StringType())])).parquet(path)
+    return rows.where(F.col("dt").isNull()).select("raw", "reason")
 
 
 def register_requests_table(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -81,7 +125,7 @@ def register_requests_table(spark: SparkSession, name: str, path: str) -> DataFr
         f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY (dt) LOCATION {location}"
     )
     spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
-    return spark.table(table)
+    return spark.table(table).where(F.col("dt").isNotNull())
 
 
 def import_logs(
@@ -90,6 +134,7 @@ def import_logs(
     table_path: str,
     max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
     rebalance_partitions: int | None = None,
+    keep_rejects: bool = False,
 ) -> dict[str, int]:
     """Read log files, parse them and append the accepted rows, in one job.
 
@@ -105,9 +150,14 @@ def import_logs(
     spread over several (one shuffle of the rows, after a pass that samples
     them; decompression itself stays one task per file). Leave it unset for
     splittable input, where the shuffle would only add cost.
+
+    With ``keep_rejects`` the same pass also stores the rejected lines and their reasons
+    (``load_rejects``): two sinks of one write, so the input is still parsed once.
     """
     classified = classify_lines(read_lines(spark, source))
     metrics = import_metrics()
+    if rebalance_partitions and keep_rejects:
+        raise ValueError("rejected lines have no time: give rebalance_partitions or keep_rejects, not both")
     if rebalance_partitions:
         # Range partitioning samples its input first, which would observe every row twice.
         totals = classified.agg(*metrics).first().asDict()
@@ -115,8 +165,12 @@ def import_logs(
         append_requests(accepted.repartitionByRange(rebalance_partitions, "dt", "ts"), table_path, max_records_per_file)
     else:
         obs = Observation("import_totals")
-        accepted = classified.observe(obs, *metrics).where(F.col("reason").isNull())
-        append_requests(accepted, table_path, max_records_per_file)
+        seen = classified.observe(obs, *metrics)
+        if keep_rejects:
+            day = F.when(F.col("reason").isNull(), utc_day(F.col("ts")))
+            _append(seen.select(*REQUESTS_COLUMNS, "reason", day.alias("dt")), table_path, max_records_per_file)
+        else:
+            append_requests(seen.where(F.col("reason").isNull()), table_path, max_records_per_file)
         totals = obs.get
     return {k: int(v) for k, v in totals.items()}
 
@@ -134,7 +188,11 @@ def import_metrics() -> list[Column]:
 COMPRESSED = (".gz", ".bz2", ".zst", ".deflate", ".lz4", ".snappy")
 
 
-def import_directory(spark: SparkSession, folder: str, table_path: str, pattern: str = "*.log*", **options) -> dict:
+# ``*.log``, and the same with a known compressed end; ``a.log.bak`` and ``a.log.tmp`` are no logs.
+LOG_FILES = "*.log{" + ",".join(("", *COMPRESSED)) + "}"
+
+
+def import_directory(spark: SparkSession, folder: str, table_path: str, pattern: str = LOG_FILES, **options) -> dict:
     """Import the files of a folder; files that cannot be read are reported, not imported.
 
     Returns the totals of ``import_logs``, ``files`` (one dict per imported file: ``file``,
