@@ -333,14 +333,60 @@ def test_repeated_passage_is_removed_wherever_it_stands(spark):
     rows = [(i, f"{word(40)} {passage if i in (2, 5, 8) else word(55)} {word(30)}") for i in range(10)]
     out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     gone = {i: r.n_removed for i, r in out.items() if r.n_removed}
-    assert set(gone) == {5, 8} and all(n > 0.6 * len(passage) for n in gone.values())
+    assert set(gone) == {5, 8} and all(n == len(passage) for n in gone.values())
     for i in (5, 8):
         (span,) = out[i].spans
         text = dict(rows)[i].encode()
-        assert text[span.start : span.end].decode() in passage
+        assert text[span.start : span.end].decode() == passage
         assert (text[: span.start] + text[span.end :]).decode() == out[i].text
 
 
+def test_runs_reach_to_the_ends_of_passages_and_no_further(spark):
+    """Passages of 51 to 400 words among unique words: what goes stood earlier, word for word,
+    and at least 95% of each later passage goes. Words beside them differ in case only, or in all."""
+    rng = np.random.default_rng(16)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 9))
+    passages = [" ".join(word() if rng.random() < 0.7 else "the" for _ in range(n)) for n in (51, 51, 60, 80, 120, 400)] + [" ".join(["same"] * 60 + [word() for _ in range(60)])]
+    rows, planted = [], {}
+    for i in range(40):
+        parts = []
+        for k in rng.permutation(len(passages))[: rng.integers(1, 4)]:
+            parts += [" ".join(word() for _ in range(rng.integers(1, 30))), passages[k].upper() if i % 5 == 0 else passages[k]]
+            planted.setdefault(int(k), []).append(i)
+        rows.append((i, " ".join([*parts, word()])))
+    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    before = ""
+    for i, text in rows:
+        raw, at = text.encode(), 0
+        for span in out[i].spans:
+            cut = " ".join(raw[span.start : span.end].decode().lower().split())
+            here = " ".join(raw[: span.start].decode().lower().split())
+            assert f" {cut} " in f"{before} | {here} ", cut
+            at += span.end - span.start
+        assert at == out[i].n_removed
+        before += " | " + " ".join(text.lower().split())
+    left = {i: f" {' '.join(r.text.lower().split())} " for i, r in out.items()}
+    for k, where in planted.items():
+        ws = passages[k].lower().split()
+        assert f" {' '.join(ws)} " in left[where[0]]
+        for i in where[1:]:
+            run = max((n for n in range(len(ws)) for a in range(len(ws) - n + 1) if f" {' '.join(ws[a : a + n])} " in left[i] and len(set(ws[a : a + n]) - {"the", "same"}) > 1), default=0) if len(ws) < 130 else 0
+            assert run <= 0.05 * len(ws) + 1, (k, i, run)
+
+
+def test_long_equal_stretches_are_compared_to_their_ends(spark):
+    """Hundreds of equal words without a cut beside a repeated run, and a text of one word."""
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("klmnop"), 9))
+    shared = " ".join(["x"] * 700 + [word() for _ in range(40)] + ["y"] * 900)
+    rows = [(1, f"{word()} {shared} {word()}"), (2, f"{word()} {shared} {word()}"), (3, " ".join(["z"] * 500)), (4, None), (None, shared)]
+    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[None].text == shared  # a null id ranks first
+    for i in (1, 2):
+        assert out[i].n_removed == len(shared) and len(out[i].text.split()) == 2
+    assert out[3].n_removed == 0 and out[4].text is None
+
+
 def test_lines_equal_brute_force(spark):
     """Whole lines of enough words: first occurrence by (doc_id, position) stays."""
     rng = np.random.default_rng(7)
