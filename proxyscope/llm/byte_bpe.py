@@ -251,9 +251,10 @@ def _fold_long(pieces: Column, rank: Callable[[Column], Column]) -> Column:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
+    """As F.xxhash64, unsigned."""
     import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+    return np.array([xxhash.xxh64_intdigest(w, seed=42) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -285,14 +286,17 @@ class Codes:
 
 
 class KnownWords(Codes):
-    """Codes of words that can be looked up; made on the driver and sent to the tasks."""
+    """Codes of words that can be looked up, from rows (word, ids, hash); made on the driver
+    and sent to the tasks."""
 
     def __init__(self, table: pa.Table):
-        words = table.column("word").combine_chunks().cast(pa.string()) if table.num_rows else pa.array([], pa.string())
-        hashes = word_hashes(words)
-        order = pa.array(np.argsort(hashes, kind="stable"))
-        self.hashes, self.words = hashes[order.to_numpy()], words.take(order)
-        super().__init__(table.column("ids").combine_chunks().take(order) if table.num_rows else pa.array([], pa.list_(pa.int32())))
+        table = table.sort_by("hash").combine_chunks() if table.num_rows else table
+        one = lambda name, kind: pa.concat_arrays(table.column(name).chunks).cast(kind) if table.num_rows else pa.array([], kind)
+        hashes = one("hash", pa.int64()).to_numpy().view(np.uint64)
+        half = int(np.searchsorted(hashes.view(np.int64), 0))  # signed order has the greater half first
+        self.hashes = np.concatenate([hashes[half:], hashes[:half]])
+        self.turn, self.words = half, one("word", pa.string())
+        super().__init__(one("ids", pa.list_(pa.int32())))
 
     def find(self, words: pa.Array) -> np.ndarray:
         """Number of each word, -1 where it is not here (or behind another of equal hash)."""
@@ -300,6 +304,7 @@ class KnownWords(Codes):
             return np.full(len(words), -1, dtype=np.int64)
         hashes = word_hashes(words)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = (at + self.turn) % len(self.hashes)
         same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
         return np.where(same, at, -1)
 
@@ -347,7 +352,9 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
     context = spark.sparkContext
     classes = context.broadcast(character_classes())
     counts = stage(count_words(docs, classes).where(F.col("word") != ""))
-    common = frequent_words(counts, frequent).repartition(64, "word").select("word", encode_words(F.col("word"), ranks).alias("ids"))
+    common = frequent_words(counts, frequent).repartition(64, "word").select(
+        "word", encode_words(F.col("word"), ranks).alias("ids"), F.xxhash64("word").alias("hash")
+    )
     common = context.broadcast(KnownWords(common.toArrow()))
     pieces = context.broadcast([p for p, _ in sorted(ranks.items(), key=lambda x: x[1])])
 
