@@ -33,7 +33,7 @@ from proxyscope.llm.common import read, slices, stage, text_or_empty
 # Fixed values of the production run.
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 LONG = 64  # bytes of a word
-FREQUENT = 1 << 20  # words sent to all tasks at most,
+FREQUENT = 1 << 19  # words sent to all tasks at most,
 FREQUENT_BYTES = 64  # each of so many bytes at most
 BUCKETS = 1 << 16
 
@@ -109,12 +109,20 @@ def words_of(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tupl
     return words.dictionary_encode(), np.searchsorted(starts, offsets)
 
 
+def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that the one before needed goes back to the system."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def count_words(docs: DataFrame, classes) -> DataFrame:
     """(word, n) of every distinct word of the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes.value, np.uint8)
-        for batch in batches:
+        for batch in _released(batches):
             for _, _, data, offsets in slices(batch.column("text"), most_rows=1 << 20):
                 words, _ = words_of(data, offsets, table)
                 n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
@@ -361,7 +369,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, coded, missing): ids, with -1, -2, ... for the words of ``missing``."""
         table, known = np.frombuffer(classes.value, np.uint8), common.value
-        for batch in batches:
+        for batch in _released(batches):
             for a, b, data, offsets in slices(batch.column("text"), most_rows=1 << 20):
                 words, first = words_of(data, offsets, table)
                 at = words.indices.to_numpy().astype(np.int64)
@@ -384,7 +392,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(pieces.value)
-        for batch in batches:
+        for batch in _released(batches):
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 raw = part.column("coded").to_pylist()
