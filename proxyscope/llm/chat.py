@@ -79,6 +79,7 @@ def render(conversations: DataFrame) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maximal conversations, rendered; see ``collapse`` for nulls, repeats and ties."""
     return render(read(spark, sf_dir, "conversations"))
 
 

@@ -218,6 +218,7 @@ def _take(column, rows: np.ndarray) -> pa.Array:
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors; see ``near_vectors`` for unusable ones."""
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 

@@ -154,6 +154,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts; see ``edited_fingerprints``."""
     return edited_fingerprints(read(spark, sf_dir, "documents"))
 
 

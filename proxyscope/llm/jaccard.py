@@ -304,4 +304,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents; see ``jaccard_classes`` for nulls, repeats and empty tables."""
     return jaccard_classes(read(spark, sf_dir, "documents"))

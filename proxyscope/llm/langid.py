@@ -244,4 +244,5 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; see ``identify``."""
     return identify(read(spark, sf_dir, "documents"))

@@ -457,4 +457,5 @@ def score_documents(docs: DataFrame, trainable: Column | None = None, depth: int
 
 
 def op2_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the context tree learnt from the training rows; see ``score_documents``."""
     return score_documents(read(spark, sf_dir, "documents"))

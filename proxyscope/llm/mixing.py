@@ -237,6 +237,7 @@ def _passes(i: Column) -> Column:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents; see ``mix_sources`` for nulls, repeats and empty tables."""
     return mix_sources(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )

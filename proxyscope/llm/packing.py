@@ -207,4 +207,5 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, **limits) -> Dat
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences; see ``pack_documents`` for nulls, repeats and empty tables."""
     return pack_documents(read(spark, sf_dir, "documents"))

@@ -225,4 +225,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from ``labels``; see ``score_toxicity``."""
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
