@@ -11,6 +11,7 @@ fullest fit ("dot"), or with the least weighted norm of the residual afterwards
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -55,6 +56,7 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         marks = self.whole.get_added_tokens_decoder().values()
+        self.hint = re.match(r"[^\w\s]*", os.path.commonprefix([m.content for m in marks]))[0]  # the same in any case
         self.marks = re.compile("|".join(re.escape(m.content) for m in marks) or "(?!)", re.IGNORECASE)
         self.merge = self.whole.model.tokenize
         self.kept = kept // 2
@@ -81,7 +83,7 @@ class WordTokenizer:
         return self.whole.encode(word[1:], add_special_tokens=False).ids
 
     def ids(self, text: str) -> bytes:
-        if self.marks.search(text):  # a mark may be one id, also across words
+        if self.hint in text and self.marks.search(text):  # a mark may be one id, also across words
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if _PLAIN.fullmatch(text):
             keys, make = _PARTS.findall(text.lower()), self._merge_part
