@@ -1,12 +1,16 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Words are the tokens. The words of each source are one stream: its documents, dealt to
-256 shards by the first two hex digits of md5(seed, doc_id) and ordered by that digest.
+shards by the first hex digits of md5(seed, doc_id, text) and ordered by that digest. There
+are 256 shards, and 16 times as many whenever they would hold more than 4,096 rows on average;
+the text takes part, so rows under one id (or none) are spread too.
 The stream is cut into blocks of equally many words. Blocks go to sources by highest
 quotients target / (2k + 1), then within a source to its shards by size in the same way,
 and a shard takes its quota as whole passes over its blocks plus a seeded choice (an affine
 permutation of the block numbers) for the rest. All is arithmetic on sizes: the only
-shuffles move (doc_id, size) rows, partially summed wherever a total is meant.
+shuffles move (doc_id, size) rows, partially summed wherever a total is meant. Words are
+counted once: those rows are written as a table that all later steps read. Windows over
+sources alone hold one row a source or a shard, never one a document.
 """
 
 from __future__ import annotations
@@ -18,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proxyscope.llm.common import WORD, Words, read, text_or_empty
+from proxyscope.llm.common import ROW_KEY, WORD, Words, numbered, read, stage, text_or_empty
 
 # Fixed values of the production mix.
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK = 32
 SEED = "mix"
+SHARD_ROWS = 4_096
 STEP = 1_000_000_007  # a prime above any number of blocks in a shard
 TURN = 12_345
 
@@ -100,6 +105,14 @@ def sainte_lague(parties: DataFrame, keys: list[str], tie: list[Column]) -> Data
     return listed.withColumn("rank", rank).groupBy(*keys, *ties).agg((F.max("given") + F.count(F.when(taken, 1))).alias("quota"))
 
 
+def shard_digits(n: int) -> int:
+    """Hex digits that name a shard when there are ``n`` rows."""
+    digits = 2
+    while digits < 8 and n > SHARD_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def placed_documents(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -108,11 +121,13 @@ def placed_documents(
     seed: str = SEED,
 ) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, source) at its place in its source's stream, with
-    what its shard takes: doc_id, source, size, source_size, target and ``parts``, an array
-    of (start, end, times): word numbers in the document and how often they are taken."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
-    rows = docs.select("doc_id", "source", n_words(text_or_empty()).alias("size"), digest.alias("digest"))
-    rows = rows.withColumn("shard", F.substring("digest", 1, 2))
+    what its shard takes: ROW_KEY of ``numbered``, doc_id, source, size, source_size, target and
+    ``parts``, an array of (start, end, times): word numbers in the document and how often they
+    are taken. ``docs`` has been through ``numbered``."""
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), id_text, F.md5(text_or_empty().cast("binary"))).cast("binary"))
+    rows = stage(docs.select(*ROW_KEY, "doc_id", "source", n_words(text_or_empty()).alias("size"), digest.alias("digest")))
+    rows = rows.withColumn("shard", F.substring("digest", 1, shard_digits(rows.count())))
     shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     sizes = shards.groupBy("source").agg(F.sum("shard_size").alias("source_size"))
     goal = source_targets(sizes, weights, max_repeats).withColumn("all", F.lit(1))
@@ -146,7 +161,9 @@ def placed_documents(
         "source_size", "target", "offset", "first", "blocks", "passes", "extra", "before",
     )
 
-    stream = Window.partitionBy("source", "shard").orderBy("digest", "doc_id", "size")
+    # Empty rows have no part in the stream: they are spread, however many are alike.
+    apart = F.when(F.col("size") == 0, F.pmod(F.col(ROW_KEY[1]), F.lit(1024)))
+    stream = Window.partitionBy("source", "shard", apart).orderBy("digest", "doc_id", *ROW_KEY)
     d = rows.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.join(s, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
     d = d.withColumn("end", F.col("end") + F.col("offset")).withColumn("start", F.col("end") - F.col("size"))
@@ -159,7 +176,7 @@ def placed_documents(
 
     blocks = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))
     parts = F.when(F.col("size") > 0, F.transform(blocks, part))
-    return d.select("doc_id", "source", "size", "source_size", "target", parts.alias("parts"))
+    return d.select(*ROW_KEY, "doc_id", "source", "size", "source_size", "target", parts.alias("parts"))
 
 
 def mix_sources(docs: DataFrame, **mix) -> DataFrame:
@@ -170,7 +187,7 @@ def mix_sources(docs: DataFrame, **mix) -> DataFrame:
     for itself; no rows give no rows. Other columns are ignored.
     """
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda t, p: t + (p["end"] - p["start"]) * p["times"])
-    return placed_documents(docs, **mix).select(
+    return placed_documents(numbered(docs.select("doc_id", "text", "source")), **mix).select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0).cast("long")).alias("taken")
     )
 
@@ -199,18 +216,15 @@ def _copies(text: str, parts: list[dict]) -> Iterator[str]:
 def mixed_documents(docs: DataFrame, **mix) -> DataFrame:
     """The mix itself: ``docs``, all columns, with one row for each pass that takes words of
     the document and in ``text`` the words it takes (``n_chars`` follows the text).
-    Documents of which no words are taken go."""
-    size = n_words(text_or_empty())
-    same = [F.col("doc_id"), F.col("source"), size]
-    turn = F.row_number().over(Window.partitionBy(*same).orderBy("doc_id"))
-    place = placed_documents(docs, **mix).withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")))
+    Documents of which no words are taken go, null and empty texts among them. Rows that repeat,
+    also under one id or none, are told apart by ROW_KEY, so each has its own place in the mix
+    and no key holds more than one row. No rows give no rows."""
+    rows = numbered(docs)
     taken = F.filter("parts", lambda p: p["times"] > 0)
-    place = place.select(
-        F.struct("doc_id", "source", "size", "turn").alias("mix_key"), taken.alias("_mix_parts")
-    ).where(F.size("_mix_parts") > 0)
-    key = F.struct("doc_id", "source", size.alias("size"), turn.alias("turn"))
-    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key.alias("_key"))
-    joined = left.join(place, F.col("_key").eqNullSafe(F.col("mix_key"))).select("_row.*", "_mix_parts")
+    place = placed_documents(rows, **mix).select(F.struct(*ROW_KEY).alias("mix_key"), taken.alias("_mix_parts"))
+    place = place.where(F.size("_mix_parts") > 0)
+    left = rows.select(F.struct(*[rows[c] for c in docs.columns]).alias("_row"), F.struct(*ROW_KEY).alias("_key"))
+    joined = left.join(place, F.col("_key") == F.col("mix_key")).select("_row.*", "_mix_parts")
     at = docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -246,7 +260,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
-         md5('{SEED}:' || CAST(doc_id AS VARCHAR)) AS digest FROM documents),
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS digest FROM documents),
+nd AS (SELECT 2 + CAST(count(*) > {SHARD_ROWS} * 256 AS INT) + CAST(count(*) > {SHARD_ROWS} * 4096 AS INT)
+       + CAST(count(*) > {SHARD_ROWS} * 65536 AS INT) AS digits FROM documents),
+dd AS (SELECT *, substr(digest, 1, (SELECT digits FROM nd)) AS shard FROM d),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM d GROUP BY source),
@@ -264,7 +281,7 @@ quot AS (SELECT source, pos, target / (2 * k + 1) AS q, k FROM goal,
 seat AS (SELECT source, pos, count(*) AS seats FROM
          (SELECT *, row_number() OVER (ORDER BY q DESC, pos, k) AS r FROM quot)
          WHERE r <= (SELECT round(sum(size) / {BLOCK}) FROM d) GROUP BY ALL),
-sh AS (SELECT source, substr(digest, 1, 2) AS shard, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY ALL),
+sh AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS n FROM dd GROUP BY ALL),
 so AS (SELECT sh.source, goal.pos, shard, n, coalesce(seats, 0) AS seats, source_size, target,
        sum(n) OVER (PARTITION BY goal.pos ORDER BY shard) - n AS off
        FROM sh JOIN goal ON sh.source IS NOT DISTINCT FROM goal.source LEFT JOIN seat ON seat.pos = goal.pos),
@@ -275,10 +292,10 @@ won AS (SELECT pos, shard, count(*) AS quota FROM
 blocks AS (SELECT bl.pos, bl.shard, CAST(b0 + i AS BIGINT) AS b, CAST(coalesce(quota, 0) // m AS BIGINT)
            + CAST((i * {STEP} + {TURN}) % CAST(m AS BIGINT) < coalesce(quota, 0) % m AS BIGINT) AS passes
            FROM bl LEFT JOIN won USING (pos, shard), unnest(range(0, CAST(m AS BIGINT))) AS t(i)),
-dp AS (SELECT d.doc_id, d.size, so.pos, so.source_size, so.target,
-       CAST(so.off + sum(d.size) OVER (PARTITION BY so.pos, so.shard ORDER BY digest, doc_id, size
+dp AS (SELECT dd.doc_id, dd.size, so.pos, so.source_size, so.target,
+       CAST(so.off + sum(dd.size) OVER (PARTITION BY so.pos, so.shard ORDER BY digest, doc_id, size
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS e
-       FROM d JOIN so ON d.source IS NOT DISTINCT FROM so.source AND substr(d.digest, 1, 2) = so.shard),
+       FROM dd JOIN so ON dd.source IS NOT DISTINCT FROM so.source AND dd.shard = so.shard),
 hit AS (SELECT doc_id, pos, e, unnest(range((e - size) // {BLOCK}, (e - 1) // {BLOCK} + 1)) AS b FROM dp WHERE size > 0),
 got AS (SELECT hit.doc_id, hit.pos, hit.e, sum(passes * (least(hit.e, (hit.b + 1) * {BLOCK}) - greatest(hit.e - dp.size, hit.b * {BLOCK}))) AS taken
         FROM hit JOIN blocks USING (pos, b) JOIN dp ON dp.doc_id = hit.doc_id AND dp.pos = hit.pos AND dp.e = hit.e GROUP BY ALL)

@@ -3,7 +3,8 @@
 import zlib
 
 import numpy as np
-from proxyscope.llm import chat, embedding_dedup, graph, packing, toxicity
+from proxyscope.llm import chat, embedding_dedup, graph, mixing, packing, toxicity
+from proxyscope.llm.common import numbered
 
 
 def test_null_texts_fill_one_sequence(spark):
@@ -96,3 +97,24 @@ def test_components_of_chains_stars_and_loops(spark):
     assert {r.node: r.component for r in rows} == {n: c for n, c in label.items() if n not in alone}
     assert len(rows) == len({r.node for r in rows})
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_third_of_the_documents_without_id_are_mixed(spark):
+    """They lie in many shards, and every pass of the mix holds the words it counts."""
+    rows = [(i if i % 3 else None, f"w{i} " * (i % 50), "a" if i % 2 else "b") for i in range(3000)]
+    docs = spark.createDataFrame([*rows, *[(None, None, "a")] * 500], "doc_id long, text string, source string")
+    placed = mixing.placed_documents(numbered(docs)).where("size > 0").collect()
+    assert len(placed) == sum(1 for _, t, _ in rows if t) and len({(r["_row_text"], r["_row_place"]) for r in placed}) == len(placed)
+    first = {}
+    for r in placed:  # a shard of one source ends where another begins, so places never overlap
+        first.setdefault(r.source, []).append(sum((p["end"] - p["start"]) for p in r.parts))
+    assert {s: sum(v) for s, v in first.items()} == {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    taken = sum(r.taken for r in mixing.mix_sources(docs).collect())
+    assert sum(len(r.text.split()) for r in mixing.mixed_documents(docs).collect()) == taken
+    same = sorted((r.source, r.text) for r in mixing.mixed_documents(docs).collect())
+    assert same == sorted((r.source, r.text) for r in mixing.mixed_documents(docs.repartition(5)).collect())
+
+
+def test_shards_grow_with_the_rows():
+    for n, digits in ((0, 2), (256 * 4096, 2), (256 * 4096 + 1, 3), (4096 * 4096 + 1, 4)):
+        assert mixing.shard_digits(n) == digits
