@@ -382,6 +382,8 @@ def oracle_queries() -> dict[str, str]:
     out = {name: BASE + sql for name, sql in {**_PARSE_ONLY, **_REPORTS}.items()}
     for name in ("requests", "rejected_lines", "requests_by_day", "coverage"):  # the table read back holds the same
         out[f"stored_{name}"] = out[{"requests": "parse_requests", "coverage": "table_coverage"}.get(name, name)]
+    out["footer_coverage"] = out["table_coverage"]
+    out["ledger_requests"], out["ledger_totals"] = out["parse_requests"], out["import_totals"]
     out["url_parts_general"] = url_parts_general()
     out["report_document"] = BASE + report_documents()
     out["report_document_no_data"] = BASE + report_documents((NO_DATA, None))

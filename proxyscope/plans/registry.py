@@ -19,6 +19,7 @@ from proxyscope.operators import partials as M
 from proxyscope.operators import reports as R
 from proxyscope.operators import rollups as D
 from proxyscope.session import use_utc
+from proxyscope.sources import ledger as L
 from proxyscope.sources import partials as T
 from proxyscope.sources import table as S
 from proxyscope.sources.scratch import shared_folder
@@ -106,6 +107,37 @@ def _partials(op: Callable[..., DataFrame], *args) -> Query:
     return query
 
 
+def ledgered_table(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of a table filled by a directory import of half of the log files and a stream over all
+    of them, each run twice; made once per application and folder of tables."""
+    use_utc(spark)
+    key = (spark.sparkContext.applicationId, sf_dir + "#ledger")
+    if key not in _STORED:
+        root = f"{shared_folder(spark)}/ledgered-{uuid.uuid4().hex}"
+        lines = log_lines(spark, sf_dir).withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2)))
+        lines.write.partitionBy("half").text(f"{root}/logs")
+        for _ in range(2):
+            L.import_new(spark, f"{root}/logs/half=0", f"{root}/requests", pattern="*.txt")
+            L.stream_into(spark, f"{root}/logs/half=*", f"{root}/requests", "lines", pattern="*.txt").awaitTermination()
+        _STORED[key] = f"{root}/requests"
+    return _STORED[key]
+
+
+def ledger_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.load_ledgered(spark, ledgered_table(spark, sf_dir)).drop("dt")
+
+
+def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import totals added up over the files of the ledger."""
+    files = L.load_ledger(spark, ledgered_table(spark, sf_dir))
+    return files.agg(*[F.sum(c).alias(c) for c in ("lines", "accepted", "rejected")])
+
+
+def footer_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored_tables(spark, sf_dir)
+    return S.stored_coverage(spark, f"{_STORED[spark.sparkContext.applicationId, sf_dir]}/requests")
+
+
 def stored_rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tables(spark, sf_dir)[2]
 
@@ -173,6 +205,9 @@ QUERIES: dict[str, Query] = {
     "stored_requests_by_day": _stored(lambda df: df.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))),
     "stored_coverage": _stored(S.table_coverage),
     "stored_host": _stored(stored_host),
+    "footer_coverage": footer_coverage,
+    "ledger_requests": ledger_requests,
+    "ledger_totals": ledger_totals,
     "stored_top_countries_range": _stored(R.top_countries, *RANGE),
     "partials_requests_over_time": _partials(M.requests_over_time),
     "partials_requests_over_time_mid": _partials(M.requests_over_time, *MID_HOURS),

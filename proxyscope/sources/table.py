@@ -35,7 +35,7 @@ from proxyscope.functions.fields import utc_day
 from proxyscope.operators.filters import time_range
 from proxyscope.operators.parse import classify_lines
 from proxyscope.schema import REQUESTS_COLUMNS, REQUESTS_TABLE_SCHEMA, REJECT_REASONS
-from proxyscope.sources.text import file_totals, read_lines
+from proxyscope.sources.text import MOST_FILES, file_metric, file_totals, read_file_metric, read_lines
 
 DEFAULT_MAX_RECORDS_PER_FILE = 5_000_000
 
@@ -135,7 +135,8 @@ def import_logs(
     max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
     rebalance_partitions: int | None = None,
     keep_rejects: bool = False,
-) -> dict[str, int]:
+    files: int = 0,
+) -> dict:
     """Read log files, parse them and append the accepted rows, in one job.
 
     Returns the totals of the run: ``lines``, ``accepted``, ``rejected`` and one
@@ -153,9 +154,13 @@ def import_logs(
 
     With ``keep_rejects`` the same pass also stores the rejected lines and their reasons
     (``load_rejects``): two sinks of one write, so the input is still parsed once.
+
+    With ``files`` (a bound on the number of source files) the totals hold ``files``, a dict
+    per file with any lines: ``file``, ``lines``, ``accepted``, ``rejected``. They come from the
+    same pass, so they add up to the totals also where a file grows meanwhile.
     """
-    classified = classify_lines(read_lines(spark, source))
-    metrics = import_metrics()
+    classified = classify_lines(read_lines(spark, source, with_file=files > 0))
+    metrics = import_metrics() + ([file_metric(files)] if files else [])
     if rebalance_partitions and keep_rejects:
         raise ValueError("rejected lines have no time: give rebalance_partitions or keep_rejects, not both")
     if rebalance_partitions:
@@ -172,7 +177,9 @@ def import_logs(
         else:
             append_requests(seen.where(F.col("reason").isNull()), table_path, max_records_per_file)
         totals = obs.get
-    return {k: int(v) for k, v in totals.items()}
+    counts = totals.pop("by_file", None)
+    out = {k: int(v) for k, v in totals.items()}
+    return {**out, "files": read_file_metric(counts, out["lines"])} if files else out
 
 
 def import_metrics() -> list[Column]:
@@ -199,28 +206,30 @@ def import_directory(spark: SparkSession, folder: str, table_path: str, pattern:
     ``lines``, ``accepted``, ``rejected``) and ``failed`` (the files left out). All files are
     first imported as one job, which commits all rows or none. Only if it fails is each
     compressed file read through by a job of its own, and the sound ones are then imported
-    as one job; so no file is imported in part.
+    as one job; so no file is imported in part. Totals by file come from the writing pass; only
+    for more than MOST_FILES files are they counted by a second one.
     """
     paths = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").orderBy("path").collect()]
     if not paths:
         return {**dict.fromkeys(("lines", "accepted", "rejected", *REJECT_REASONS), 0), "files": [], "failed": []}
     failed: list[str] = []
+    nothing = {**dict.fromkeys(("lines", "accepted", "rejected", *REJECT_REASONS), 0), "files": []}
+    few = len(paths) if len(paths) <= MOST_FILES else 0
     try:
-        totals = import_logs(spark, paths, table_path, **options)
+        totals = import_logs(spark, paths, table_path, files=few, **options)
     except Exception:
-        failed = _unreadable(spark, [p for p in paths if p.endswith(COMPRESSED)])
+        failed = unreadable(spark, [p for p in paths if p.endswith(COMPRESSED)])
         if not failed:  # something else is wrong
             raise
         paths = [p for p in paths if p not in set(failed)]
-        totals = import_logs(spark, paths, table_path, **options) if paths else dict.fromkeys(("lines", "accepted", "rejected", *REJECT_REASONS), 0)
-    files = []
-    if paths:
+        totals = import_logs(spark, paths, table_path, files=few, **options) if paths else nothing
+    if "files" not in totals:
         per_file = file_totals(classify_lines(read_lines(spark, paths, with_file=True)))
-        files = [r.asDict() for r in per_file.orderBy("file").collect()]
-    return {**totals, "files": files, "failed": failed}
+        totals["files"] = [r.asDict() for r in per_file.orderBy("file").collect()]
+    return {**totals, "failed": failed}
 
 
-def _unreadable(spark: SparkSession, paths: list[str]) -> list[str]:
+def unreadable(spark: SparkSession, paths: list[str]) -> list[str]:
     """Files whose text cannot be read to its end, each tried by a Spark job."""
 
     def broken(path: str) -> bool:
@@ -239,3 +248,24 @@ def table_coverage(requests: DataFrame) -> DataFrame:
     return requests.agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
+
+
+def stored_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """``table_coverage`` of the stored table without reading it through.
+
+    Rows are counted by day from the Parquet footers: the count is pushed into the scan, which
+    reads no column (this needs Spark's newer file reader, so it is set for a session of its
+    own). The first and last instant then come from the ``ts`` of the first and last day only.
+    """
+    meta = spark.newSession()
+    meta.conf.set("spark.sql.sources.useV1SourceList", "")
+    meta.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    ends = rows_by_day(meta, path).agg(F.sum("n").alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last")).first()
+    days = load_requests(spark, path).where(F.col("dt").isin(ends["first"], ends["last"]))
+    n = F.lit(ends["n"] or 0).cast("long").alias("n")
+    return days.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select(n, "first_ts", "last_ts")
+
+
+def rows_by_day(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of each stored day (``dt``, ``n``)."""
+    return load_requests(spark, path).groupBy("dt").agg(F.count(F.lit(1)).alias("n"))

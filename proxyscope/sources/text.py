@@ -43,3 +43,28 @@ def file_totals(classified: DataFrame) -> DataFrame:
         F.count_if(F.col("reason").isNull()).alias("accepted"),
         F.count_if(F.col("reason").isNotNull()).alias("rejected"),
     )
+
+
+# Files whose totals one metric can hold: the sketch behind it takes 100,000 keys at most.
+MOST_FILES = 50_000
+
+
+def file_metric(files: int) -> Column:
+    """Lines by source file and outcome of classified lines, as one observable aggregate for
+    an input of at most ``files`` files (up to MOST_FILES). The sketch keeps a counter for each
+    key as long as there are no more keys than it tracks, and then its counts are exact."""
+    key = F.concat(F.col("file"), F.when(F.col("reason").isNull(), F.lit("+")).otherwise(F.lit("-")))
+    keys = 2 * files
+    return F.call_function("approx_top_k", key, F.lit(keys), F.lit(keys)).alias("by_file")
+
+
+def read_file_metric(counts, lines: int) -> list[dict]:
+    """``file_totals`` rows, ordered by file, from the value of ``file_metric``."""
+    out: dict[str, dict] = {}
+    for item, n in counts or []:
+        row = out.setdefault(item[:-1], {"file": item[:-1], "lines": 0, "accepted": 0, "rejected": 0})
+        row["lines"] += n
+        row["accepted" if item[-1] == "+" else "rejected"] += n
+    if sum(r["lines"] for r in out.values()) != lines:
+        raise ValueError("totals by file do not add up to the lines read")
+    return [out[f] for f in sorted(out)]
