@@ -14,13 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proxyscope.llm.common import read, stage, text_or_empty
+from proxyscope.llm.common import ROW_KEY, numbered, read, stage, text_or_empty
 
 WIDE = 8  # counters of 32 bits from the digest
 SIGNS = 32  # packed pairs of 0/1 counters: 2 * SIGNS lanes
 MODULUS = 1 << 32
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
 ROWS_PER_RUN = 2048
+QUANTILES = 256
 
 
 def paragraphs(text: Column) -> Column:
@@ -85,31 +86,67 @@ def likeness(a_units: Column, a: Column, b_units: Column, b: Column) -> Column:
     return F.when(same, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
+def run_of(docs: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> Column:
+    """Number of the run of a row of ``docs`` (doc_id and ROW_KEY): ascending along descending
+    doc_id with null last, and about ``rows_per_run`` rows each.
+
+    Quantiles of doc_id (QUANTILES + 1 numbers on the driver) cut the ids into segments,
+    and each is cut into runs of equal width, so outlying ids only widen the runs of their own
+    segment. An id that is several quantiles at once holds many rows: it is a segment by
+    itself, cut evenly by the hash of the row's place, as are the rows without id.
+    """
+    points = [i / QUANTILES for i in range(QUANTILES + 1)]
+    seen = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.percentile_approx("doc_id", points).alias("at")).first()
+    marks = seen["at"] or [0]
+    edges = sorted(set(marks))
+    each = max(1, seen["ids"] // QUANTILES)  # rows between neighbouring quantiles
+
+    def bits(rows: int) -> int:
+        return max(0, -(-rows // rows_per_run) - 1).bit_length()
+
+    def by_place(bits: Column) -> Column:  # an even cut of a 64-bit hash, whose order is that of the hash
+        return F.when(bits == 0, F.lit(0)).otherwise(F.call_function("shiftright", F.col(ROW_KEY[1]), (F.lit(64) - bits).cast("int"))).cast("long")
+
+    ids = F.array(*[F.lit(e).cast("long") for e in edges])
+    repeats = F.array(*[F.lit(bits(each * marks.count(e))) for e in edges])
+    below = F.least(F.size(F.filter(ids, lambda e: e < F.col("doc_id"))), F.lit(len(edges) - 1))
+    high, low = F.get(ids, below), F.coalesce(F.get(ids, below - 1), F.get(ids, below) - 1)
+    share = (high.cast("double") - F.col("doc_id").cast("double")) / (high.cast("double") - low.cast("double"))
+    pieces = -(-each // rows_per_run)
+    within = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * pieces)
+    segment = F.lit(-2) * below - F.when(F.col("doc_id") == high, F.lit(1)).otherwise(F.lit(0))
+    piece = F.when(F.col("doc_id") == high, by_place(F.get(repeats, below))).otherwise(within)
+    null_piece = by_place(F.lit(bits(seen["n"] - seen["ids"])))
+    width = F.lit(1 << 40)
+    return F.when(F.col("doc_id").isNull(), width + null_piece).otherwise(segment * width + piece)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with ``row`` (a key of the row) and ``next_text`` and
-    ``next_row`` of the next row in order of descending doc_id (then text); after the last
-    comes the first.
+    ``next_row`` of the next row in order of descending doc_id, null last (rows under one id:
+    of the hash of their place in the table); after the last comes the first.
 
-    The order is cut into runs of about ROWS_PER_RUN ids of equal width, so no task sees it
-    whole: within a run the next row is a window function, and the last row of each run gets
-    the first row of the following run by a join of one row per run.
+    The order is cut into runs (``run_of``), so no task sees it whole: within a run the next
+    row is a window function, and the last row of a run gets the first row of the following
+    run by a join of one row per run. The following run is found among the runs of a segment,
+    and for a segment's last among the segments, of which there are at most 2 * QUANTILES + 2.
     """
-    span = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    low, high = span["lo"] or 0, span["hi"] or 0
-    width = max(1, -(-(high - low + 1) * ROWS_PER_RUN // max(span["n"], 1)))
-    run = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / width), F.lit(-1)).cast("long")
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("run", run)
-    order = Window.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    rows = numbered(docs.select("doc_id", "text"))
+    rows = rows.select("doc_id", text_or_empty().alias("text"), F.col(ROW_KEY[1]).alias("spot"), run_of(rows).alias("run"))
+    order = Window.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last(), "spot")
     rows = rows.withColumn("place", F.row_number().over(order))
     rows = rows.withColumn("next_text", F.lead("text").over(order))
-    heads = rows.where(F.col("place") == 1).select("run", "text")
-    after = Window.orderBy(F.col("run").desc())
-    whole = after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = F.coalesce(F.lead("run").over(after), F.first("run").over(whole))
-    follow = heads.select("run").withColumn("follow", following)
-    follow = follow.select(F.col("run").alias("of"), F.col("follow").alias("run")).join(heads, "run")
-    follow = follow.select(F.col("of").alias("run"), F.col("run").alias("follow"), F.col("text").alias("follow_text"))
-    rows = rows.join(follow, "run")
+    heads = stage(rows.where(F.col("place") == 1).select("run", "text"))
+    runs = heads.select("run", F.round(F.col("run") / (1 << 40)).alias("segment"))
+    inner = runs.withColumn("follow", F.lead("run").over(Window.partitionBy("segment").orderBy("run")))
+    firsts = runs.groupBy("segment").agg(F.min("run").alias("first"))
+    along = Window.orderBy("segment")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    then = F.coalesce(F.lead("first").over(along), F.first("first").over(whole))
+    firsts = firsts.select(F.col("segment").alias("of"), then.alias("then"))
+    follow = inner.join(firsts, F.col("segment") == F.col("of")).select(F.col("run").alias("of_run"), F.coalesce("follow", "then").alias("follow"))
+    follow = follow.join(heads, F.col("follow") == F.col("run")).select("of_run", "follow", F.col("text").alias("follow_text"))
+    rows = rows.join(follow, F.col("run") == F.col("of_run"))
     inside = F.col("next_text").isNotNull()
     next_row = F.when(inside, F.struct("run", (F.col("place") + 1).alias("place"))).otherwise(
         F.struct(F.col("follow").alias("run"), F.lit(1).alias("place"))
@@ -123,7 +160,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, with likeness to that and to the
     next text (see ``op5_fingerprints``). Null text is empty; rows with equal or null doc_id
-    are ordered by text and each keep a row of their own; other columns are ignored."""
+    follow each other by the hash of their place and each keep a row of their own; other columns are ignored."""
     rows = with_next(docs)
     n = F.char_length("text")
     half = F.shiftright(n, 1)

@@ -3,7 +3,8 @@
 import zlib
 
 import numpy as np
-from proxyscope.llm import chat, embedding_dedup, graph, mixing, packing, toxicity
+import pytest
+from proxyscope.llm import chat, embedding_dedup, fingerprint, graph, mixing, packing, toxicity
 from proxyscope.llm.common import numbered
 
 
@@ -118,3 +119,32 @@ def test_a_third_of_the_documents_without_id_are_mixed(spark):
 def test_shards_grow_with_the_rows():
     for n, digits in ((0, 2), (256 * 4096, 2), (256 * 4096 + 1, 3), (4096 * 4096 + 1, 4)):
         assert mixing.shard_digits(n) == digits
+
+
+ID_SETS = {
+    "dense": list(range(4000)),
+    "a third null": [i if i % 3 else None for i in range(6000)],
+    "one outlier": [*range(4000), 1 << 60],
+    "one id for a third": [i if i % 3 else 5000 for i in range(6000)],
+    "extremes": [-(1 << 63), (1 << 63) - 1, 0, None, *range(-500, 500)],
+    "all null": [None] * 1000, "one": [7], "none": [],
+}
+
+
+@pytest.mark.parametrize("case", ID_SETS)
+def test_next_documents_make_one_ring_in_small_runs(spark, case):
+    ids = ID_SETS[case]
+    docs = numbered(spark.createDataFrame([(d, f"t{i}") for i, d in enumerate(ids)], "doc_id long, text string"))
+    runs = [r["count"] for r in docs.select(fingerprint.run_of(docs, 64).alias("run")).groupBy("run").count().collect()]
+    assert max(runs, default=0) <= 400
+    rows = fingerprint.with_next(docs.select("doc_id", "text")).collect()
+    assert len(rows) == len(ids)
+    by_row = {r.row: r for r in rows}
+    assert len(by_row) == len(ids) and {r.next_row for r in rows} == set(by_row)
+    down = lambda d: (d is None, -(d or 0))
+    breaks = 0
+    for r in rows:
+        after = by_row[r.next_row]
+        assert r.next_text == after.text
+        breaks += down(after.doc_id) < down(r.doc_id)
+    assert breaks <= 1  # from the last row back to the first, and nowhere else
