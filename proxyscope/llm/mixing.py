@@ -187,7 +187,7 @@ def mix_sources(docs: DataFrame, **mix) -> DataFrame:
     for itself; no rows give no rows. Other columns are ignored.
     """
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda t, p: t + (p["end"] - p["start"]) * p["times"])
-    return placed_documents(numbered(docs.select("doc_id", "text", "source")), **mix).select(
+    return placed_documents(numbered(docs), **mix).select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0).cast("long")).alias("taken")
     )
 
