@@ -1,16 +1,16 @@
 """Split a URL into scheme, host, port, path and query, WHATWG style.
 
 Built from native Spark SQL expressions only (regex extraction, ``CASE``,
-string functions), so the split runs inside generated code. It is a
-DataFrame transformation made of small projection stages: every intermediate
-value (the text after the scheme, the authority, the raw host...) is computed
-once into a named column and referenced by later stages, instead of being
-re-derived inside every branch. The stages are written as SQL text in one
-``selectExpr`` whose later expressions refer to earlier aliases (lateral
-column aliases). Three common shapes (plain special URLs, scheme-less text,
-CONNECT targets) are decided by fast paths; the general stages see NULL for
-them. Higher-order functions end a whole-stage-codegen span, so only one step
-uses them, dot-segment removal, behind a guard. Patterns are written so that Java's backtracking engine stays
+string functions): no shuffle, no Python. Three common shapes (plain special
+URLs, scheme-less text, CONNECT targets) are decided by fast paths, written as
+SQL text in one ``selectExpr`` whose later expressions refer to earlier aliases
+(lateral column aliases). Every other URL goes through the general split, a
+chain of small stages: every intermediate value (the text after the scheme, the
+authority, the raw host...) is computed once and referenced by later stages,
+instead of being re-derived inside every branch. The chain is one ``CASE``
+branch, so rows of a common shape do not pay for it; as it uses higher-order
+functions, the projection that holds it ends a whole-stage-codegen span.
+Patterns are written so that Java's backtracking engine stays
 linear and never recurses per repetition on hostile input.
 
 Semantics (the URL Standard, as implemented by common URL libraries):
@@ -478,7 +478,6 @@ _FAST_STAGES: list[dict[str, str]] = [
         ),
     },
     {
-        "__url": "CASE WHEN __shape IS NULL THEN __url0 END",
         "__fast_port": "CAST(nullif(__fast[2], '') AS INT)",
         "__fast_scheme": "lower(__fast[0])",
     },
@@ -503,22 +502,28 @@ _OPAQUE_RESULT = (
 _NAME = re.compile(r"\b(__[A-Za-z0-9_]+)\b")
 
 
-def _general_path(stages: list[dict[str, str]]) -> tuple[list[str], dict[str, str]]:
-    """The general stages as plain columns, each guarded by ``__url IS NULL``.
+def _general_sql(url: str) -> str:
+    """The general split of the text ``url`` as one expression.
 
-    A URL that took the fast path has ``__url`` NULL; every general value is
-    then a NULL check and nothing more, while all stages stay top-level
-    columns that Catalyst prunes once they are dead, so the chain fits in one
-    whole-stage-codegen span. Returns the projection list and the name map
-    used by the final expressions (identity here).
+    An array of one struct goes through a chain of ``transform`` steps, one a stage; each step
+    adds the stage's values to the struct and keeps those that later stages name. As a value,
+    not a list of columns, it can stand in a ``CASE`` branch, so that only rows without a common
+    shape pay for it. (The steps follow each other; nested lambdas do not plan in useful time.)
     """
-    exprs: list[str] = []
-    names: dict[str, str] = {}
-    for stage in stages:
-        for n, e in stage.items():
-            exprs.append(f"CASE WHEN __url IS NULL THEN NULL ELSE ({e}) END AS {n}")
-            names[n] = n
-    return exprs, names
+
+    def scoped(expr: str) -> str:
+        return _NAME.sub(lambda m: f"__s.{m.group(1)}" if m.group(1) in known else m.group(1), expr)
+
+    later = [{n for s in _STAGES[i + 1 :] for e in s.values() for n in _NAME.findall(e)} for i in range(len(_STAGES))]
+    final = set(_NAME.findall(_RESULT))
+    known = {"__url": None}
+    chain = f"array(named_struct('__url', {url}))"
+    for stage, needed in zip(_STAGES, later, strict=True):
+        fields = [f"'{n}', __s.{n}" for n in known if n in needed | final]
+        fields += [f"'{n}', {scoped(e)}" for n, e in stage.items()]
+        known = {n: None for n in (*(k for k in known if k in needed | final), *stage)}
+        chain = f"transform({chain}, __s -> named_struct({', '.join(fields)}))"
+    return f"transform({chain}, __s -> {scoped(_RESULT)})[0]"
 
 
 def with_url_parts(df: DataFrame, url_col: str, out_col: str = "url_parts", fast_path: bool = True) -> DataFrame:
@@ -529,21 +534,16 @@ def with_url_parts(df: DataFrame, url_col: str, out_col: str = "url_parts", fast
     through the general stages (used by tests to check both paths agree).
     """
     keep = [f"`{c}`" for c in df.columns]
-    pre = _FAST_STAGES if fast_path else [{"__url": "__url0"}]
+    if not fast_path:
+        return df.selectExpr("*", f"`{url_col}` AS __url0").selectExpr(*keep, f"{_general_sql('__url0')} AS `{out_col}`")
     # One projection list; later expressions refer to earlier aliases (lateral
     # column aliases), which Spark resolves into the chain of projections.
-    exprs = [f"`{url_col}` AS __url0"]
-    for stage in pre:
-        exprs += [f"{expr} AS {name}" for name, expr in stage.items()]
-    general, fields = _general_path(_STAGES)
-    slow = _NAME.sub(lambda m: fields.get(m.group(1), m.group(1)), _RESULT)
+    exprs = [f"{expr} AS {name}" for stage in _FAST_STAGES for name, expr in stage.items()]
     result = (
         f"CASE __shape WHEN 'special' THEN {_FAST_RESULT} WHEN 'none' THEN {_NULL_PARTS} "
-        f"WHEN 'opaque' THEN {_OPAQUE_RESULT} ELSE {slow} END"
-        if fast_path
-        else slow
+        f"WHEN 'opaque' THEN {_OPAQUE_RESULT} ELSE {_general_sql('__url0')} END"
     )
-    return df.selectExpr("*", *exprs, *general).selectExpr(*keep, f"{result} AS `{out_col}`")
+    return df.selectExpr("*", f"`{url_col}` AS __url0", *exprs).selectExpr(*keep, f"{result} AS `{out_col}`")
 
 
 def url_parts_of(df: DataFrame, url_col: str = "url", fast_path: bool = True) -> DataFrame:

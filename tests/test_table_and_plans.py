@@ -90,13 +90,14 @@ def test_import_plan_has_no_shuffle(spark):
 
 
 def test_url_split_keeps_generated_code(spark):
-    """Only the exact dot-segment removal (a higher-order function) may run outside whole-stage codegen."""
+    """Only the general split (higher-order functions) runs outside whole-stage codegen, and as no column of its own."""
     from proxyscope.functions.url import url_parts_of
 
     df = spark.createDataFrame([("http://a.example/x?y",), ("www.example.org:443",), ("http://[::1]/a/../b",)], "url string")
     lines = [line.lstrip(" :+-") for line in _plan(url_parts_of(df, "url")).splitlines()]
     outside = [line for line in lines if line.startswith("Project")]
     assert len(outside) <= 1, outside
+    assert not any(f"__{name}#" in line for line in lines for name in ("auth", "host_raw", "v4", "v6host", "path3"))
 
 
 def test_gzip_import_with_rebalance_equals_plain(spark):
