@@ -32,7 +32,9 @@ SNIPPETS = 4  # windows of each
 STEPS, BATCH, RATE = 500, 96, 0.01
 SEED = 9
 UNKNOWN = "und"
-MIN_SCORE = 0.3
+WEAKEST = 0.01  # share of the rightly told held-out rows that sets the lowest score kept
+LEEWAY = 0.5  # of their margin over chance
+_BINS = 1000
 _PAD = max(WIDTHS) - 1
 _SLICE = 1 << 17
 
@@ -225,20 +227,52 @@ def identify(docs: DataFrame, trainable: Column | None = None) -> DataFrame:
     return rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is told with ``min_score`` or more;
-    texts that are null or have no letter go. Without labelled rows every text with a letter
-    stays."""
+def lowest_score(docs: DataFrame, network: ByteNetwork) -> float:
+    """The score below which a text counts as in none of the learnt languages.
+
+    All labelled rows held out of training are scored. Of those told rightly, the weakest
+    hundredth reach a margin over chance (one in the number of languages); half of that margin
+    is asked of every text. The scores are counted in thousandths, so the result is the same in
+    any order and nothing but those counts comes to the driver. With one language, or no such
+    row, it is 0: nothing can be told then.
+    """
+    chance = 1 / len(network.labels)
+    held = docs.where(held_out() & F.col("lang").isin(network.labels) & F.col("text").rlike(r"\p{L}"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(network.labels, dtype=object)
+        for batch in batches:
+            best, score = _score(network, batch.column("text"))
+            right = names[best] == batch.column("lang").to_numpy(zero_copy_only=False)
+            place = np.minimum(score[right] * _BINS, _BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(place)], names=["place"])
+
+    counts = held.select("lang", "text").mapInArrow(work, "place int").groupBy("place").count().collect()
+    if not counts or chance == 1:
+        return 0.0
+    total, seen = sum(r["count"] for r in counts), 0
+    for place, n in sorted((r["place"], r["count"]) for r in counts):
+        seen += n
+        if seen >= WEAKEST * total:
+            break
+    return chance + LEEWAY * max(place / _BINS - chance, 0.0)
+
+
+def keep_identified(docs: DataFrame, min_score: float | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is told with ``min_score`` or more (if
+    None, ``lowest_score``); texts that are null or have no letter go. Without labelled rows
+    every text with a letter stays."""
     network = fit(docs, ~held_out())
     lettered = docs.where(F.col("text").rlike(r"\p{L}"))
     if network is None:
         return lettered
+    least = lowest_score(docs, network) if min_score is None else min_score
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, score = _score(network, pc.fill_null(batch.column(at), ""))
-            yield batch.filter(pa.array(score >= min_score))
+            yield batch.filter(pa.array(score >= least))
 
     return lettered.mapInArrow(work, docs.schema)
 

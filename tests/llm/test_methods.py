@@ -444,6 +444,34 @@ def test_language_accuracy_on_held_out(plain, spark):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in rows]) > 0.97
 
 
+def test_texts_in_no_learnt_language_go_and_others_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(4)
+    alphabets = ("的一是不了人我在有他", "abcdefghijklmnopqrstuvwxyz", "!?;:-_()[]{}<>a")
+    junk = [(-1 - i, "".join(rng.choice(list(alphabets[i % 3]), 3000))) for i in range(30)]
+    rows = docs.unionByName(spark.createDataFrame(junk, "doc_id bigint, text string"), allowMissingColumns=True)
+    lettered = {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    kept = {r.doc_id for r in langid.keep_identified(rows).collect()}
+    assert not {i for i, _ in junk} & kept and kept <= lettered
+    assert len(kept) >= 0.99 * len(lettered)
+
+
+def test_lowest_score_follows_the_number_of_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for languages in (["de"], ["de", "en"]):
+        some = docs.where(F.col("lang").isin(languages))
+        network = langid.fit(some, ~langid.held_out())
+        least = langid.lowest_score(some, network)
+        held = some.where(langid.held_out() & F.col("text").rlike(r"\p{L}")).select("lang", "text").collect()
+        best, score = langid._score(network, pa.array([r.text for r in held]))
+        right = np.sort(score[np.array(network.labels)[best] == np.array([r.lang for r in held])])
+        weakest = right[int(np.ceil(langid.WEAKEST * len(right))) - 1]
+        chance = 1 / len(languages)
+        expected = 0.0 if len(languages) == 1 else chance + langid.LEEWAY * (weakest - chance)
+        assert expected - 0.001 <= least <= expected + 1e-9
+    assert langid.lowest_score(docs.where("false"), network) == 0.0
+
+
 def test_tables_give_the_plain_convolution():
     rng = np.random.default_rng(1)
     net = langid.ByteNetwork(["a", "b"], rng)
