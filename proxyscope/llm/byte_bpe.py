@@ -9,13 +9,14 @@ step merges all places of the least rank at once wherever that gives the same re
 The distinct words that occur most, up to a bound, are encoded first and sent to all tasks,
 which look them up. A word beyond the bound is rare: it is encoded, once for each document,
 by the same fold in the row where it stands, so no text and no word is shuffled for it.
-Decoding concatenates the byte pieces of the ids.
+Decoding concatenates the byte pieces of the ids. The look-up writes and decodes the runs of
+ids between rare words; Spark expressions put the rare words' own between them and take the
+digests, so that each task has one Python worker only.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import sys
 import unicodedata
@@ -271,29 +272,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return first - first[0], column.flatten().to_numpy(zero_copy_only=False)
 
 
-class Codes:
-    """Ids of numbered words: ``ids[first[i]:first[i + 1]]`` of word i."""
-
-    def __init__(self, lists: pa.Array):
-        self.first, self.ids = _lists(lists)
-
-    def spell(self, numbers: np.ndarray, singles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of words in turn, and the first of each word (and the end). Where a number
-        is negative, the word's only id is that of ``singles``."""
-        own = numbers >= 0
-        size = np.ones(len(numbers), dtype=np.int64)
-        size[own] = self.first[numbers[own] + 1] - self.first[numbers[own]]
-        first = np.concatenate([[0], np.cumsum(size)])
-        out = np.empty(first[-1], dtype=np.int64)
-        out[first[:-1][~own]] = singles[~own]
-        wanted = numbers[own]
-        held = np.repeat(own, size)
-        skip = np.concatenate([[0], np.cumsum(size[own])[:-1]]) if len(wanted) else np.zeros(0, np.int64)
-        out[held] = self.ids[np.arange(int(held.sum())) + np.repeat(self.first[wanted] - skip, size[own])]
-        return out, first
-
-
-class KnownWords(Codes):
+class KnownWords:
     """Codes of words that can be looked up, from rows (word, ids, hash); made on the driver
     and sent to the tasks."""
 
@@ -304,7 +283,7 @@ class KnownWords(Codes):
         half = int(np.searchsorted(hashes.view(np.int64), 0))  # signed order has the greater half first
         self.hashes = np.concatenate([hashes[half:], hashes[:half]])
         self.turn, self.words = half, one("word", pa.string())
-        super().__init__(one("ids", pa.list_(pa.int32())))
+        self.first, self.ids = _lists(one("ids", pa.list_(pa.int32())))
 
     def find(self, words: pa.Array) -> np.ndarray:
         """Number of each word, -1 where it is not here (or behind another of equal hash)."""
@@ -317,24 +296,37 @@ class KnownWords(Codes):
         return np.where(same, at, -1)
 
 
-class Decoder:
-    """Byte pieces of ids, and the decimal forms of these."""
+    def spell(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words in turn, and the first of each word (and the end)."""
+        size = self.first[numbers + 1] - self.first[numbers]
+        first = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.arange(first[-1]) + np.repeat(self.first[numbers] - first[:-1], size)], first
+
+
+def written(pieces: list[bytes]) -> tuple[list[str], list[str]]:
+    """For every id, its decimal form with a comma, and its bytes (a character per byte)."""
+    return [f"{i}," for i in range(len(pieces))], [p.decode("latin-1") for p in pieces]
+
 
-    def __init__(self, pieces: list[bytes]):
-        self.pieces = pa.array(pieces, pa.binary())
-        self.shown = pa.array([str(i) for i in range(len(pieces))])
+def runs_of(table: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> pa.StringArray:
+    """What ``table`` has for the ids, joined from each of ``cuts`` to the next (and the end)."""
+    parts = table.take(pa.array(ids))
+    bounds = np.frombuffer(parts.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    data = parts.buffers()[2] if len(ids) else pa.py_buffer(b"")
+    return pa.StringArray.from_buffers(len(cuts), pa.py_buffer(bounds[np.append(cuts, len(ids))]), data)
 
-    def digests(self, ids: np.ndarray, first: np.ndarray) -> tuple[list[str], list[str]]:
-        """Per text: digest of its ids joined by commas, and of the decoded bytes."""
-        index = pa.array(ids)
-        lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), self.shown.take(index))
-        joined = [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(lists, ",")]
-        pieces = self.pieces.take(index)
-        bounds = np.frombuffer(pieces.buffers()[1], np.int32)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
-        raw = memoryview(pieces.buffers()[2]) if len(pieces) else memoryview(b"")
-        at = bounds[first]
-        decoded = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-        return joined, decoded
+
+def _filled(runs: str, found: Column, table: list[str]) -> Column:
+    """The strings of ``runs``, and between each two what ``table`` has for the ids of the
+    list of ``found`` that ``between`` names."""
+
+    def joined(own: Column) -> Column:
+        return F.array_join(F.zip_with(F.col(runs), F.col("between"), lambda run, i: F.concat(run, F.coalesce(F.get(own, i), F.lit("")))), "")
+
+    def with_table(held: Column) -> Column:
+        return _let(F.transform(found, lambda ids: F.array_join(F.transform(ids, lambda i: F.get(held, i)), "")), joined)
+
+    return _let(F.from_json(F.lit(json.dumps(table)), "array<string>"), with_table)
 
 
 def frequent_words(counts: DataFrame, most: int) -> DataFrame:
@@ -364,51 +356,52 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
         "word", encode_words(F.col("word"), ranks).alias("ids"), F.xxhash64("word").alias("hash")
     )
     common = context.broadcast(KnownWords(common.toArrow()))
-    pieces = context.broadcast([p for p, _ in sorted(ranks.items(), key=lambda x: x[1])])
+    pa.default_memory_pool().release_unused()
+    pieces = [p for p, _ in sorted(ranks.items(), key=lambda x: x[1])]
+    tables = context.broadcast(tuple(map(pa.array, written(pieces))))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, coded, missing): ids, with -1, -2, ... for the words of ``missing``."""
+        """(doc_id, n, shown, raw, between, missing): the number of ids of known words; these
+        written out and decoded, from one word that is not known to the next; the places that
+        those words have in ``missing``."""
         table, known = np.frombuffer(classes.value, np.uint8), common.value
+        shown, raw = tables.value
         for batch in _released(batches):
             for a, b, data, offsets in slices(batch.column("text"), most_rows=1 << 20):
                 words, first = words_of(data, offsets, table)
                 at = words.indices.to_numpy().astype(np.int64)
                 number = known.find(words.dictionary)
-                lost = np.flatnonzero(number[at] < 0)
+                own = number[at] >= 0
+                lost = np.flatnonzero(~own)
                 row = np.repeat(np.arange(b - a), np.diff(first))[lost]
                 # a text's missing words, each once, in the order of the slice's dictionary
                 pair, place = np.unique((row << 32) | at[lost], return_inverse=True)
                 begins = np.searchsorted(pair >> 32, np.arange(b - a + 1))
-                mark = np.zeros(len(at), dtype=np.int64)
-                mark[lost] = place - begins[row]
-                ids, begin = known.spell(number[at], -1 - mark)
-                raw, cut = ids.astype("<i4").tobytes(), 4 * begin[first]
                 missing = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), words.dictionary.take(pa.array(pair & 0xFFFFFFFF)))
-                coded = pa.array([raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), coded, missing], names=["doc_id", "coded", "missing"])
-
-    coded = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(look_up, f"doc_id {kind}, coded binary, missing array<string>")
-    coded = coded.select("doc_id", "coded", _each(F.col("missing"), ranks).alias("found"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(pieces.value)
-        for batch in _released(batches):
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                raw = part.column("coded").to_pylist()
-                first = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
-                number = np.frombuffer(b"".join(raw), "<i4").astype(np.int64)
-                found = part.column("found")
-                base = np.asarray(found.offsets, dtype=np.int64)
-                row = np.repeat(np.arange(len(raw)), np.diff(first))
-                ids, begin = Codes(found.flatten()).spell(np.where(number < 0, (base[:-1] - base[0])[row] - 1 - number, -1), number)
-                joined, decoded = decoder.digests(ids, begin[first])
+                ids, begin = known.spell(number[at[own]])
+                # a run begins with each text and behind each missing word
+                start, of = np.concatenate([first[:-1], lost + 1]), np.concatenate([np.arange(b - a), row])
+                begin = begin[np.concatenate([[0], np.cumsum(own)])]  # the first id of each word, known or not
+                cuts = begin[start[np.lexsort((start, of))]]
+                upto = np.searchsorted(row, np.arange(b - a + 1))  # missing words before each text
+                runs = pa.array((upto + np.arange(b - a + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(begin[first])), pa.array(joined), pa.array(decoded)],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return coded.mapInArrow(finish, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                    [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(begin[first])),
+                     *(pa.ListArray.from_arrays(runs, runs_of(x, ids, cuts)) for x in (shown, raw)),
+                     pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array((place - begins[row]).astype(np.int32))), missing],
+                    names=["doc_id", "n", "shown", "raw", "between", "missing"],
+                )
+
+    schema = f"doc_id {kind}, n long, shown array<string>, raw array<string>, between array<int>, missing array<string>"
+    coded = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(look_up, schema)
+    coded = coded.select("doc_id", "n", "shown", "raw", "between", _each(F.col("missing"), ranks).alias("found"))
+    found, (decimals, characters) = F.col("found"), written(pieces)
+    return coded.select(
+        "doc_id",
+        F.aggregate("between", F.col("n"), lambda n, i: n + F.size(F.get(found, i))).alias("n_tokens"),
+        F.sha2(F.rtrim(_filled("shown", found, decimals), F.lit(",")), 256).alias("ids_sha256"),
+        F.sha2(F.encode(_filled("raw", found, characters), "ISO-8859-1"), 256).alias("decoded_sha256"),
+    )
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

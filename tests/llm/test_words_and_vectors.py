@@ -49,6 +49,18 @@ def test_bpe_of_driver_documents(spark, plain):
     assert got == {r.doc_id: expected(r.text) for r in plain.collect()}
 
 
+def test_bpe_takes_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "some words, and some words again"), (2, "rare")], "doc_id long, text string")
+    out = byte_bpe.encode_documents(docs, RANKS, 3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow ") == 1
+    # rare words first, last, next to each other, alone and repeated
+    texts = ["a a a a xylo", "xylo a a", "xylo marimba a marimba xylo", "xylo", " xylo xylo", "", "a a", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frequent in (1, 2):
+        got = {r.doc_id: tuple(r)[1:] for r in byte_bpe.encode_documents(docs, RANKS, frequent).collect()}
+        assert got == {i: expected(t) for i, t in enumerate(texts)}
+
+
 def test_bpe_without_rows(no_documents):
     assert byte_bpe.encode_documents(no_documents, RANKS).collect() == []
 
