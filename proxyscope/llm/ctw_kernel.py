@@ -25,12 +25,11 @@ _LOG_PI = float(np.log(np.pi))
 
 def grams_of(data: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """One gram per byte of ``data[depth:]``; the first ``depth`` bytes are context only."""
-    n = len(data) - depth
-    wide = data.astype(np.uint64)
-    out = wide[depth:].copy()
-    for j in range(1, depth + 1):
-        out |= wide[depth - j : depth - j + n] << np.uint64(8 * (depth + 1 - j))
-    return out
+    n = max(len(data) - depth, 0)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    # the eight bytes from each place on as one number: the context, farthest byte lowest, then the byte
+    wide = np.ndarray(n, "<u8", padded, strides=(1,)).astype(np.uint64)
+    return (wide & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8) | (wide >> np.uint64(8 * depth)) & np.uint64(0xFF)
 
 
 def joined(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:

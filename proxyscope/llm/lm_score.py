@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proxyscope.llm import ctw_kernel as ctw
-from proxyscope.llm.common import doc_crc, read, slices, stage, text_or_empty
+from proxyscope.llm.common import _SPACE, doc_crc, read, slices, stage, text_or_empty, utf8
 
 # Fixed values of the production model.
 DEPTH = 5
@@ -121,6 +121,43 @@ def distinct_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarr
     return ctw.merged(keys, counts)
 
 
+def joint(sorted_runs: list[np.ndarray]) -> np.ndarray:
+    """The distinct numbers of all runs, in order."""
+    keys = np.sort(np.concatenate(sorted_runs))
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def ranked(grams: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of n-grams: the distinct ones in order, how often each occurs, and the place in
+    the run of every n-gram, in that order. Sorts n-gram and place as one number if both fit."""
+    free = 64 - 8 * (depth + 1)
+    size = 1 << min(free, 16)
+    if free < 12:
+        order = np.argsort(grams, kind="stable")
+        yield *np.unique(grams, return_counts=True), order
+        return
+    for at in range(0, len(grams), size):
+        part = grams[at : at + size]
+        both = np.sort(part << np.uint64(free) | np.arange(len(part), dtype=np.uint64))
+        keys = both >> np.uint64(free)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        yield keys[first], np.diff(np.append(first, len(part))).astype(np.int32), (both & np.uint64(size - 1)).astype(np.uint16)
+
+
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words with A-Z in lower case, which of these each word is, and the first
+    word of each text (and the end)."""
+    data = np.frombuffer(b"\n".join(texts).lower(), dtype=np.uint8)
+    inside = ~_SPACE[data]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))  # begin and end of each word, in turn
+    bounds = np.concatenate([[0], np.cumsum(edge[1::2] - edge[::2])]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
+    first = np.searchsorted(edge[::2], np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+    own, cuts = utf8(words.dictionary)
+    raw, cuts = own.tobytes(), cuts.tolist()
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], words.indices.to_numpy(), first
+
+
 def gather(docs: DataFrame, trainable: Column, depth: int, buckets: int) -> DataFrame:
     """Step 1: rows (kind, chunk, bucket, a, b, ids, held), see the module's head."""
     id_type = docs.schema["doc_id"].dataType
@@ -156,13 +193,10 @@ def gather(docs: DataFrame, trainable: Column, depth: int, buckets: int) -> Data
             test = [t for t, h in zip(texts, held, strict=True) if h]
             keys, counts = distinct_grams(learn, depth)
             sums["grams"] = ctw.merged([sums["grams"][0], keys], [sums["grams"][1], counts])
-            asked = np.union1d(keys, distinct_grams(test, depth)[0])
-            found = Counter()
-            for t in learn:
-                found.update(t.lower().split())
-            sums["words"].update(found)
-            for t in test:
-                found.update(t.lower().split())
+            asked, _ = ctw.merged([keys, more := distinct_grams(test, depth)[0]], [counts, np.zeros(len(more), np.int64)])
+            found, index, first = words_of(texts)
+            n = np.bincount(index[np.repeat(~np.array(held), np.diff(first))], minlength=len(found)).tolist()
+            sums["words"].update({w: c for w, c in zip(found, n, strict=True) if c})
             body = zstandard.compress(b"".join(texts), 1)
             yield from rows(TEXTS, chunk, [(-1, body, np.array([len(t) for t in texts], "<i8").tobytes())], ids, held)
             yield from rows(ASKED, chunk, [(b, pack_sorted(asked[at]), None) for b, at in by_bucket(bucket_of(asked, depth, buckets), buckets)])
@@ -360,29 +394,36 @@ def score_chunks(texts: DataFrame, answers: DataFrame, depth: int, buckets: int,
     lowest = math.log10(1 / 256)
 
     def words_part(raw: list[bytes], parts: dict[int, bytes]):
-        per_doc = [t.lower().split() for t in raw]
-        found = {w for ws in per_doc for w in ws}
+        found, index, first = words_of(raw)
         counts: dict[bytes, int] = {}
         for b, ws in dealt_words(found, buckets):
             counts.update(zip(ws, unpack_numbers(parts[b], "<i8").tolist(), strict=True))
         base = math.log10(total + distinct + 1)
-        logs = {w: math.log10(c + 1) - base for w, c in counts.items()}
+        count = [counts[w] for w in found]
+        logs = np.array([math.log10(c + 1) - base for c in count])[index]
         end = math.log10(ends + 1) - base
-        n_tokens = [len(ws) + 1 for ws in per_doc]
-        n_known = [sum(counts[w] > 0 for w in ws) + (ends > 0) for ws in per_doc]
-        return n_tokens, n_known, [math.fsum(map(logs.__getitem__, ws)) + end for ws in per_doc]
+        known_before = np.concatenate([[0], np.cumsum(np.array(count, dtype=np.int64)[index] > 0)])
+        n_known = np.diff(known_before[first]) + (ends > 0)
+        each = zip(first[:-1].tolist(), first[1:].tolist(), strict=True)
+        return np.diff(first) + 1, n_known, [math.fsum(logs[a:b].tolist()) + end for a, b in each]
 
     def grams_part(raw: list[bytes], parts: dict[int, bytes]) -> np.ndarray:
         score = np.zeros(len(raw))
         if not known:
             return np.array([(len(t) + 1) * lowest for t in raw])
-        asked, _ = distinct_grams(raw, depth)
+        held, seen = [], []
+        for rows, grams, sizes in segments(raw, depth):
+            held.append((rows, sizes, list(ranked(grams, depth))))
+            seen.append(joint([own for own, _, _ in held[-1][2]]))
+        asked = joint(seen)
         value = np.zeros(len(asked))
         for b, at in by_bucket(bucket_of(asked, depth, buckets), buckets):
             value[at] = unpack_numbers(parts[b], "<f4")
-        for rows, grams, sizes in segments(raw, depth):
-            own, index = np.unique(grams, return_inverse=True)
-            each = value[np.searchsorted(asked, own)][index]
+        for rows, sizes, runs in held:
+            each, at = np.empty(int(sizes.sum())), 0
+            for own, n, order in runs:
+                each[at : at + len(order)][order] = np.repeat(value[np.searchsorted(asked, own)], n)
+                at += len(order)
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             np.add.at(score, rows, np.add.reduceat(each, first))
         return score

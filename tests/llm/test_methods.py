@@ -208,6 +208,28 @@ def test_probabilities_of_all_bytes_sum_to_one():
         assert math.isclose(total, 1.0, rel_tol=1e-9)
 
 
+def test_each_run_of_grams_is_sorted_once():
+    rng = np.random.default_rng(2)
+    for depth, n in ((5, 200_000), (2, 1000), (7, 1000), (5, 1), (5, 1 << 16)):
+        grams = ctw_kernel.grams_of(rng.choice(np.array([32, 97, 98, 0xC3, 255], np.uint8), n + depth), depth)
+        back = np.empty(n, np.uint64)
+        at = 0
+        for keys, counts, order in lm_score.ranked(grams, depth):
+            assert (np.diff(keys.astype(object)) > 0).all()
+            back[at : at + len(order)][order] = np.repeat(keys, counts)
+            at += len(order)
+        assert at == n and (back == grams).all()
+
+
+def test_words_of_texts_equal_split():
+    texts = [b"", b" A b\x0bB\n", "ÉA\u00a0x é".encode(), b"", b"b", b"\t", b"a"]
+    found, index, first = lm_score.words_of(texts)
+    assert len(set(found)) == len(found)
+    words = [found[i] for i in index]
+    assert [words[a:b] for a, b in zip(first[:-1], first[1:])] == [t.lower().split() for t in texts]
+    assert lm_score.words_of([b""])[0] == []
+
+
 def test_packed_numbers_round_trip():
     rng = np.random.default_rng(1)
     x = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
