@@ -37,6 +37,8 @@ LONG = 64  # bytes of a word
 FREQUENT = 1 << 19  # words sent to all tasks at most,
 FREQUENT_BYTES = 64  # each of so many bytes at most
 BUCKETS = 1 << 16
+PLACE = 7  # bits of a place in a word of at most LONG bytes
+NO_RANK = 1 << 31
 
 # Fixed value: the pattern that ``word_starts`` follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -135,8 +137,9 @@ def count_words(docs: DataFrame, classes) -> DataFrame:
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is worked out once: what a fold of nothing ends with. (An item
+    of an array has Spark derive the type of all of ``body`` for each row, and copies its value.)"""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
 
 def rank_map(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
@@ -148,17 +151,17 @@ def rank_map(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
     for piece, rank in ranks.items():
         key = piece.decode("latin-1")
         held[xxhash.xxh64_intdigest(key.encode(), seed=42) % buckets][key] = rank  # as F.xxhash64
-    return F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(held)), "array<map<string,bigint>>")
 
 
 def _coded(word: Column, rank: Callable[[Column], Column], long: int = LONG) -> Column:
     """Ids of a word that is not empty; ``rank`` gives a byte string's rank."""
 
-    def encoded(pieces: Column) -> Column:
-        merged = F.when(F.size(pieces) <= long, _fold(pieces, rank)).otherwise(_fold_long(pieces, rank))
-        return F.transform(merged, rank)
+    def encoded(text: Column) -> Column:
+        longer = _let(F.split(text, ""), lambda pieces: _fold_long(pieces, rank))
+        return F.transform(F.when(F.length(text) <= long, _fold(text, rank)).otherwise(longer), rank)
 
-    return _let(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), encoded)  # a character per byte
+    return _let(F.decode(word.cast("binary"), "ISO-8859-1"), encoded)  # a character per byte
 
 
 def _with_ranks(ranks: dict[bytes, int], body: Callable[[Callable[[Column], Column]], Column]) -> Column:
@@ -167,7 +170,7 @@ def _with_ranks(ranks: dict[bytes, int], body: Callable[[Callable[[Column], Colu
     def with_map(held: Column) -> Column:
         # two's complement: the unsigned hash's low bits are the bucket
         bucket = lambda piece: F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-        return body(lambda piece: F.element_at(F.get(held, bucket(piece)), piece))
+        return body(lambda piece: _let(piece, lambda key: F.element_at(F.get(held, bucket(key)), key)))
 
     return _let(rank_map(ranks), with_map)
 
@@ -187,29 +190,47 @@ def _pair_ranks(pieces: Column, rank: Callable[[Column], Column]) -> Column:
     return F.transform(head, lambda p, i: rank(F.concat(p, F.get(pieces, i + 1))))
 
 
-def _fold(pieces: Column, rank: Callable[[Column], Column]) -> Column:
-    """Merge the leftmost neighbours of least rank, once for each byte but one. The ranks of
-    neighbours stand between two nulls, so that a new pair always has a place on either side."""
-    rest, none = F.lit(1 << 30), F.lit(None).cast("int")
+def _fold(text: Column, rank: Callable[[Column], Column]) -> Column:
+    """Merge the leftmost neighbours of least rank, once for each byte but one.
+
+    A pair of neighbours is one number: its rank (``NO_RANK`` if none), then the places where it
+    begins and ends, so that the least number is the leftmost pair of least rank. The state has
+    for every place in the word the pair that meets there, null at both ends and inside of
+    pieces. It holds numbers only, as Spark copies it with all that is in it; what is used
+    more than once has a name, as Spark works out a lambda's expressions wherever they stand."""
+    rest, none = F.lit(1 << 30), F.lit(None).cast("bigint")
+    begin = lambda pair: F.shiftright(pair, PLACE).bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+    end = lambda pair: pair.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+
+    def pair(a: Column, b: Column, joined: Column | None = None) -> Column:  # null if a place is
+        ranked = F.coalesce(rank(F.substring(text, a + 1, b - a) if joined is None else joined), F.lit(NO_RANK))
+        return F.shiftleft(ranked, 2 * PLACE) + (F.shiftleft(a, PLACE) + b)
 
     def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
+        def merge(least: Column) -> Column:
+            return F.when(least < NO_RANK << 2 * PLACE, _let(begin(least), lambda a: _let(end(least), lambda b: merged(a, b)))).otherwise(state)
+
+        def merged(a: Column, b: Column) -> Column:
+            left = _let(begin(F.get(state, a)), lambda before: pair(before, b))
+            right = _let(end(F.get(state, b)), lambda behind: pair(a, behind))
+            return F.concat(F.slice(state, F.lit(1), a), F.array(left), F.array_repeat(none, b - a - 1), F.array(right), F.slice(state, b + 2, rest))
+
+        return _let(F.array_min(state), merge)
+
+    def pieces(state: Column) -> Column:
+        """Each pair has the left one of its pieces begin; the last piece goes on to the end."""
 
-        def merge(j: Column) -> Column:  # the least, counted from 1: pieces j - 2 and j - 1, from 0
-            def joined(ab: Column) -> Column:
-                parts = F.concat(F.slice(p, F.lit(1), j - 2), F.array(ab), F.slice(p, j + 1, rest))
-                new = F.array(rank(F.concat(F.get(p, j - 3), ab)), rank(F.concat(ab, F.get(p, j))))
-                ranks = F.concat(F.slice(r, F.lit(1), j - 2), new, F.slice(r, j + 2, rest))
-                return F.struct(parts.alias("p"), ranks.alias("r"))
+        def cut(places: Column) -> Column:
+            return F.transform(places, lambda a, i: F.substring(text, a + 1, F.coalesce(F.get(places, i + 1), F.lit(1 << 20)) - a))
 
-            return _let(F.concat(F.get(p, j - 2), F.get(p, j - 1)), joined)
+        met = F.filter(F.transform(state, lambda pair, i: F.when(pair.isNotNull(), i)), lambda i: i.isNotNull())
+        return _let(F.concat(F.array(F.lit(0)), met), cut)
 
-        least = F.array_min(r)
-        return F.when(least.isNull(), state).otherwise(_let(F.array_position(r, least).cast("int"), merge))
+    def fold(turns: Column) -> Column:
+        start = F.concat(F.array(none), F.transform(turns, lambda i: pair(i - 1, i + 1, F.substring(text, i, F.lit(2)))), F.array(none))
+        return F.aggregate(turns, start, step, pieces)
 
-    ranks = F.concat(F.array(none), _pair_ranks(pieces, rank), F.array(none))
-    start = F.struct(pieces.alias("p"), ranks.alias("r"))
-    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step)["p"]
+    return F.when(F.length(text) == 1, F.array(text)).otherwise(_let(F.sequence(F.lit(1), F.length(text) - 1), fold))
 
 
 _OPEN, _CLOSE = "Ā", "ā"  # around each piece; pieces hold characters up to U+00FF

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from proxyscope.llm import byte_bpe, collocations, whitening
 
@@ -65,6 +66,24 @@ def test_bpe_without_rows(no_documents):
     assert byte_bpe.encode_documents(no_documents, RANKS).collect() == []
 
 
+def test_bpe_folds_numbers(spark):
+    """Spark copies the state of a fold at each step: arrays of strings there take longer than the merge."""
+    texts = ["".join(random.Random(n).choices(kind, k=n)) for n in (1, 2, 3, 62, 63, 64, 65, 66) for kind in ("abcinst", "=", "aé")]
+    words = spark.createDataFrame([(t,) for t in texts], "word string")
+    out = words.select("word", byte_bpe.encode_words(F.col("word"), RANKS).alias("ids"))
+    assert {r.word: r.ids for r in out.collect()} == {t: TIKTOKEN.encode_ordinary(t) for t in texts}
+    states = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "ArrayAggregate" and not node.argument().foldable():
+            states.append(node.zero().dataType().simpleString())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(out._jdf.queryExecution().analyzed().expressions().last())
+    assert "array<bigint>" in states and not [s for s in states if "array<string>" in s]
+
+
 def test_words_follow_the_pattern():
     classes = np.frombuffer(byte_bpe.character_classes(), np.uint8)
     texts = [t or "" for t in hard_texts()]
