@@ -151,7 +151,7 @@ def rank_map(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
     for piece, rank in ranks.items():
         key = piece.decode("latin-1")
         held[xxhash.xxh64_intdigest(key.encode(), seed=42) % buckets][key] = rank  # as F.xxhash64
-    return F.from_json(F.lit(json.dumps(held)), "array<map<string,bigint>>")
+    return F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
 
 
 def _coded(word: Column, rank: Callable[[Column], Column], long: int = LONG) -> Column:
@@ -203,7 +203,7 @@ def _fold(text: Column, rank: Callable[[Column], Column]) -> Column:
     end = lambda pair: pair.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
 
     def pair(a: Column, b: Column, joined: Column | None = None) -> Column:  # null if a place is
-        ranked = F.coalesce(rank(F.substring(text, a + 1, b - a) if joined is None else joined), F.lit(NO_RANK))
+        ranked = F.coalesce(rank(F.substring(text, a + 1, b - a) if joined is None else joined).cast("bigint"), F.lit(NO_RANK))
         return F.shiftleft(ranked, 2 * PLACE) + (F.shiftleft(a, PLACE) + b)
 
     def step(state: Column, _: Column) -> Column:
@@ -379,7 +379,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
     common = context.broadcast(KnownWords(common.toArrow()))
     pa.default_memory_pool().release_unused()
     pieces = [p for p, _ in sorted(ranks.items(), key=lambda x: x[1])]
-    tables = context.broadcast(tuple(map(pa.array, written(pieces))))
+    decimals, characters = written(pieces)
+    tables = context.broadcast((pa.array(decimals), pa.array(characters)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, n, shown, raw, between, missing): the number of ids of known words; these
@@ -416,7 +417,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], frequent: int = F
     schema = f"doc_id {kind}, n long, shown array<string>, raw array<string>, between array<int>, missing array<string>"
     coded = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(look_up, schema)
     coded = coded.select("doc_id", "n", "shown", "raw", "between", _each(F.col("missing"), ranks).alias("found"))
-    found, (decimals, characters) = F.col("found"), written(pieces)
+    found = F.col("found")
     return coded.select(
         "doc_id",
         F.aggregate("between", F.col("n"), lambda n, i: n + F.size(F.get(found, i))).alias("n_tokens"),

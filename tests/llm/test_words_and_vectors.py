@@ -71,6 +71,7 @@ def test_bpe_folds_numbers(spark):
     texts = ["".join(random.Random(n).choices(kind, k=n)) for n in (1, 2, 3, 62, 63, 64, 65, 66) for kind in ("abcinst", "=", "aé")]
     words = spark.createDataFrame([(t,) for t in texts], "word string")
     out = words.select("word", byte_bpe.encode_words(F.col("word"), RANKS).alias("ids"))
+    assert out.schema["ids"].dataType.simpleString() == "array<int>"  # they go through the driver
     assert {r.word: r.ids for r in out.collect()} == {t: TIKTOKEN.encode_ordinary(t) for t in texts}
     states = []
 
