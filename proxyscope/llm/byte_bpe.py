@@ -1,8 +1,9 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words, and decoding.
 
 Texts are cut into words by the tokenizer's own pattern (vectorised over code points in
-tasks). Words are encoded by Spark higher-order functions: an array of byte strings is folded, each step merging the leftmost
-neighbours of least rank, with the ranks in a literal map (dealt to hash buckets, as a map
+tasks). Words are encoded by Spark higher-order functions: the pairs of neighbouring byte
+strings are folded, each step merging the leftmost of least rank, with the ranks in a literal
+map (dealt to hash buckets, as a map
 literal is searched from end to end). Words of more than ``LONG`` bytes take a fold whose
 step merges all places of the least rank at once wherever that gives the same result.
 
